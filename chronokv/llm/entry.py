@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronokv.llm import packing, sstable
+from chronokv.llm import packing, sstable, warc
 from chronokv.llm.common import table
 
 
@@ -18,9 +18,13 @@ def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents")).drop("uri")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op7_sstable)}
+    return {f.__name__: f for f in (op2_packing, op7_sstable, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.ARCHIVE_SQL}
