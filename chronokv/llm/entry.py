@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronokv.llm import packing, sstable, warc
+from chronokv.llm import media, packing, sstable, warc
 from chronokv.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents")).drop("uri")
 
@@ -23,7 +27,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op7_sstable, op9_warc)}
+    return {f.__name__: f for f in (op2_packing, op4_media, op7_sstable, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
