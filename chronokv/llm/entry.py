@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronokv.llm import media, packing, sstable, warc
+from chronokv.llm import media, packing, quality, sstable, toxicity, warc
 from chronokv.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents")).drop("uri")
 
@@ -26,8 +30,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_media, op7_sstable, op9_warc)}
+    return {f.__name__: f for f in (op2_packing, op4_media, op5_toxicity, op7_sstable, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
