@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronokv.llm import media, packing, quality, sstable, toxicity, warc
+from chronokv.llm import media, packing, quality, sstable, substrings, toxicity, warc
 from chronokv.llm.common import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -35,7 +39,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_media, op5_toxicity, op7_sstable, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_substrings, op2_packing, op4_media, op5_toxicity, op7_sstable, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
