@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronokv.llm import media, packing, quality, sstable, substrings, toxicity, warc
+from chronokv.llm import jaccard, media, packing, quality, sstable, substrings, toxicity, warc
 from chronokv.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90).drop("uid")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_packing, op4_media, op5_toxicity, op7_sstable, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_substrings, op2_packing, op3_jaccard, op4_media, op5_toxicity, op7_sstable, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
