@@ -36,11 +36,14 @@ def expand(blob: bytes, dtype=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=dtype)
 
 
-def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, ids, offsets, body, n_bytes): ids and offsets are arrays of 64-bit numbers, a null doc_id the largest."""
+def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, others: str | None = None) -> DataFrame:
+    """(chunk, ids, offsets, body, n_bytes, others): ids and offsets are arrays of 64-bit numbers, a null doc_id the largest.
+
+    ``others`` names a string column that stays with the documents, as an array.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), text_bytes(text).alias("data"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), text_bytes(text).alias("data"), (F.col(others) if others else F.lit(None)).cast("string").alias("others"))
 
     def pack(batches):
         from pyspark import TaskContext
@@ -49,11 +52,11 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_b
         for k, batch in enumerate(gathered(batches, "data", chunk_bytes)):
             data, at = binary_view(batch.column("data"))
             ids = batch.column("doc_id").to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([squeeze(at)], pa.binary()), pa.array([squeeze(data, 3)], pa.binary()), pa.array([len(data)], pa.int64())], names=["chunk", "ids", "offsets", "body", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([squeeze(at)], pa.binary()), pa.array([squeeze(data, 3)], pa.binary()), pa.array([len(data)], pa.int64()), pa.array([batch.column("others").to_pylist() if others else None], pa.list_(pa.string()))], names=["chunk", "ids", "offsets", "body", "n_bytes", "others"])
 
     path, name = f"{shared_dir(spark)}/chunks", f"chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(pack, "chunk long, ids binary, offsets binary, body binary, n_bytes long")
+    packed = rows.mapInArrow(pack, "chunk long, ids binary, offsets binary, body binary, n_bytes long, others array<string>")
     packed.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 

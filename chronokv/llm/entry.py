@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronokv.llm import jaccard, media, packing, quality, sstable, substrings, toxicity, warc
+from chronokv.llm import decontaminate, jaccard, licenses, media, packing, quality, sstable, substrings, toxicity, warc
 from chronokv.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents")).drop("uri")
 
@@ -43,8 +51,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_packing, op3_jaccard, op4_media, op5_toxicity, op7_sstable, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_substrings, op2_packing, op3_jaccard, op4_media, op5_toxicity, op6_licenses, op7_sstable, op8_decontaminate, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ARCHIVE_SQL}
+    return {"op6_licenses": licenses.scan_sql(), "op8_decontaminate": decontaminate.CONTAMINATED_SQL, "op9_warc": warc.ARCHIVE_SQL}

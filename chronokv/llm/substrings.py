@@ -328,16 +328,8 @@ def covered(n: int, parts: list[dict] | None, length: int = LENGTH) -> np.ndarra
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), kept_sha256.
-
-    A byte goes if a ``length``-byte string that covers it also starts in a document with a
-    smaller doc_id; strings are judged on the input. A null text is an empty one. A null doc_id
-    counts as larger than all others; rows with equal doc_ids do not remove from each other. An
-    empty table gives no rows; other columns are ignored.
-    """
-    chunks = chunked(docs, doc_id, text)
-    marks = mark_repeats(chunks, length, kgram)
+def _kept(chunks: DataFrame, marks: DataFrame, length: int):
+    """The chunks' documents, in order, with what is left of each: see :func:`remove_repeats`."""
 
     def keep(batches):
         for x in rows_of(batches):
@@ -351,10 +343,40 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, do
             left = data[~gone]
             kept_at = offsets - total[offsets]
             kept = [left[kept_at[i] : kept_at[i + 1]].tobytes() for i in range(len(ids))]
+            extra = x["others"] or [None] * len(ids)
+            texts = [k.decode("utf-8", "ignore") for k in kept] if x["others"] else [None] * len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=ids == NULL_ID), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(spans[offsets])), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
+                [pa.array(ids, mask=ids == NULL_ID), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(spans[offsets])), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(extra, pa.string()), pa.array(texts, pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "others", "left"],
             )
 
-    joined = chunks.join(marks.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offsets", "body", "parts")
-    return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    joined = chunks.join(marks.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offsets", "body", "others", "parts")
+    return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, others string, left string")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), kept_sha256.
+
+    A byte goes if a ``length``-byte string that covers it also starts in a document with a
+    smaller doc_id; strings are judged on the input. A null text is an empty one. A null doc_id
+    counts as larger than all others; rows with equal doc_ids do not remove from each other. An
+    empty table gives no rows; other columns are ignored.
+    """
+    chunks = chunked(docs, doc_id, text)
+    return _kept(chunks, mark_repeats(chunks, length, kgram), length).drop("others", "left")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with all its columns, the repeated passages cut out of the text.
+
+    Where a cut parts a character, its other bytes go too. A text that was null stays null.
+    """
+    names = [c for c in docs.columns if c != text]
+    others = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.col(text).isNull().alias("absent")), {"ignoreNullFields": "false"})
+    chunks = chunked(docs.withColumn("_others", others), doc_id, text, others="_others")
+    rows = _kept(chunks, mark_repeats(chunks, length, kgram), length)
+    kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names)) + ", absent boolean"
+    told = rows.select(F.from_json("others", kinds).alias("o"), "left")
+    out = {c: F.col(f"o.c{k}") for k, c in enumerate(names)} | {text: F.when(F.col("o.absent"), F.lit(None).cast("string")).otherwise(F.col("left"))}
+    return told.select(*[out[c].alias(c) for c in docs.columns])
+
