@@ -198,6 +198,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, d
     for k, f in fraction.items():
         kept = F.when(F.col("label") == k, F.lit(f)).otherwise(kept)
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    rows = known.withColumn("kept", kept).where(uniform < F.col("kept")).select("doc_id", "label", (1.0 / F.col("kept")).alias("weight"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int").alias("fold"))
+    rows = known.withColumn("kept", kept).where(uniform < F.col("kept")).select("doc_id", "label", F.try_divide(F.lit(1.0), F.col("kept")).alias("weight"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int").alias("fold"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return texts.join(F.broadcast(rows) if sum(min(n, most) for n in total.values()) <= 100_000 else rows, "doc_id")
