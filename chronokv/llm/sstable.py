@@ -61,6 +61,18 @@ def put(uri: str, blob: bytes) -> None:
     store.move(own, path)
 
 
+def fetch(uri: str) -> bytes:
+    store, path = file_system(uri)
+    with store.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A list of files (uri) dealt out evenly, so that many tasks read them."""
+    n = files.count()
+    return files.repartition(max(1, min(n, 4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+
+
 def key_of(doc_id: int | None, ordinal: int = 0) -> bytes:
     return b"\0" * 9 + struct.pack(">Q", ordinal) if doc_id is None else b"\1" + struct.pack(">QQ", (doc_id + (1 << 63)) & ((1 << 64) - 1), ordinal)
 
@@ -177,12 +189,14 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, doc_id
     def write(batches):
         from pyspark import TaskContext
 
-        part, shard, writer, first, last = TaskContext.get().partitionId(), 0, None, None, None
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        shard, writer, first = 0, None, None
         ordinal, done = 0, []
 
         def close():
             nonlocal shard, writer
-            blob, name = writer.finish(), f"{uri}/part-{part:06d}-{shard:06d}.sst"
+            # Each attempt writes names of its own, and the manifest has those of the attempt that Spark commits.
+            blob, name = writer.finish(), f"{uri}/part-{part:06d}-{shard:06d}-{attempt}.sst"
             put(name, blob)
             done.append((part, shard, name, len(writer.keys), writer.total, first))
             shard, writer = shard + 1, None
@@ -212,17 +226,17 @@ def _parts(spark: SparkSession) -> list[int]:
     return [int(spark.conf.get("spark.sql.shuffle.partitions"))]
 
 
-def read_shards(spark: SparkSession, uri: str) -> DataFrame:
-    """The records of every shard below ``uri``: (uri, doc_id, n_before, ids), ids as 32-bit little-endian.
+def read_shards(manifest: DataFrame) -> DataFrame:
+    """The records of every shard in the manifest: (uri, doc_id, n_before, ids), ids as 32-bit little-endian.
 
-    ``n_before`` counts the ids of the records before it in its shard.
+    ``n_before`` counts the ids of the records before it in its shard. A shard is of bounded size.
     """
 
     def read(batches):
         for batch in batches:
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name in batch.column(0).to_pylist():
                 docs, starts, raws, at, size = [], [], [], 0, 0
-                for key, ids in Reader(blob.as_py()):
+                for key, ids in Reader(fetch(name)):
                     raw = ids.astype("<u4").tobytes()
                     docs.append(doc_of(key)), starts.append(at), raws.append(raw)
                     at, size = at + len(ids), size + len(raw)
@@ -232,9 +246,7 @@ def read_shards(spark: SparkSession, uri: str) -> DataFrame:
                 if docs:
                     yield _records(name, docs, starts, raws)
 
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(uri).select("path", "content")
-    return files.mapInArrow(read, "uri string, doc_id long, n_before long, ids binary")
+    return spread(manifest.select("uri")).mapInArrow(read, "uri string, doc_id long, n_before long, ids binary")
 
 
 def _records(name, docs, starts, raws) -> pa.RecordBatch:
@@ -250,8 +262,6 @@ def token_shards(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     uri = f"{shared_dir(spark)}/tokens"
     manifest = write_shards(docs, uri, tokenizer)
     # One row per shard: the window without a partition runs over file names, not documents.
-    base = manifest.select(F.element_at(F.split("uri", "/"), -1).alias("file"), (F.sum("n_ids").over(Window.orderBy("part", "shard")) - F.col("n_ids")).alias("base"))
-    if not manifest.limit(1).count():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, uri string")
-    records = read_shards(spark, uri).select(F.element_at(F.split("uri", "/"), -1).alias("file"), "uri", "doc_id", "n_before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return records.join(base, "file").select("doc_id", (F.col("base") + F.col("n_before")).alias("start"), "n_tokens", "ids_crc32", "uri")
+    base = manifest.select("uri", (F.sum("n_ids").over(Window.orderBy("part", "shard")) - F.col("n_ids")).alias("base"))
+    records = read_shards(manifest).select("uri", "doc_id", "n_before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return records.join(base, "uri").select("doc_id", (F.col("base") + F.col("n_before")).alias("start"), "n_tokens", "ids_crc32", "uri")

@@ -16,11 +16,11 @@ import struct
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import gathered, shared_dir, small_batches, stage, text_bytes
-from chronokv.llm.sstable import put
+from chronokv.llm.common import shared_dir, small_batches, stage, text_bytes
+from chronokv.llm.sstable import fetch, put, spread
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 EPOCH = "1970-01-01T00:00:00Z"
@@ -144,11 +144,13 @@ def write_bundles(pages: DataFrame, uri: str, least: int = 0, page_id: str = "pa
     def write(batches):
         from pyspark import TaskContext
 
-        part, bundle, shard, held = TaskContext.get().partitionId(), Bundle(group=group), 0, []
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        bundle, shard, held = Bundle(group=group), 0, []
 
         def close():
             nonlocal bundle, shard, held
-            name = f"{uri}/part-{part:06d}-{shard:06d}.warc.zst"
+            # Each attempt writes names of its own, and the map has those of the attempt that Spark commits.
+            name = f"{uri}/part-{part:06d}-{shard:06d}-{attempt}.warc.zst"
             put(name, bundle.finish())
             out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[(p, k, name, f, o, n) for p, k, (f, o), n in held], strict=True), (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "record_type", "uri", "frame", "frame_offset", "length"])
             bundle, shard, held = Bundle(group=group), shard + 1, []
@@ -168,16 +170,16 @@ def write_bundles(pages: DataFrame, uri: str, least: int = 0, page_id: str = "pa
     return stage(marked.mapInArrow(write, "page_id long, record_type string, uri string, frame int, frame_offset long, length long"), "record-map")
 
 
-def read_bundles(spark: SparkSession, uri: str) -> DataFrame:
-    """Every record below ``uri``: (page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to, ok).
+def read_bundles(record_map: DataFrame) -> DataFrame:
+    """Every record of the bundles in the record map: (page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to, ok).
 
     ``payload`` is null for a revisit. ``ok``: a response's payload has the digest and size that its header states.
     """
 
     def read(batches):
         for batch in batches:
-            for blob in batch.column(0):
-                blob, rows, size = blob.as_py(), [], 0
+            for name in batch.column(0).to_pylist():
+                blob, rows, size = fetch(name), [], 0
                 table = seek_table(blob)
                 for i in range(len(table)):
                     plain, at = frame(blob, i, table), 0
@@ -194,9 +196,7 @@ def read_bundles(spark: SparkSession, uri: str) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(uri).select("content")
-    return files.mapInArrow(read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, ok boolean")
+    return spread(record_map.select("uri").distinct()).mapInArrow(read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, ok boolean")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -207,10 +207,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes the bundles, reads them back and gives a row per page: what its record says."""
     spark = pages.sparkSession
-    uri = f"{shared_dir(spark)}/warc"
-    if not write_bundles(pages, uri, least).limit(1).count():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    read = read_bundles(spark, uri)
+    read = read_bundles(write_bundles(pages, f"{shared_dir(spark)}/warc", least))
     checked = F.when(F.col("ok"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("string"))
     return read.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
