@@ -90,14 +90,14 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         lo = hi
 
 
-def gathered(batches, column: str, most: int = 8 << 20):
-    """Joins successive record batches until ``column`` holds ``most`` bytes; splits larger ones."""
+def gathered(batches, column: str, most: int = 8 << 20, rows: int = 100_000):
+    """Joins successive record batches until ``column`` holds ``most`` bytes or there are ``rows`` rows; splits larger ones."""
     held, size = [], 0
     for batch in batches:
         for lo, hi in pieces(batch, column, most):
             part = batch.slice(lo, hi - lo)
             n = int(binary_view(part.column(column))[1][-1])
-            if held and size + n > most:
+            if held and (size + n > most or sum(x.num_rows for x in held) + part.num_rows > rows):
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
             if part.num_rows:
