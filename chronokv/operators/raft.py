@@ -18,8 +18,9 @@ def quorum_commit(match: DataFrame) -> DataFrame:
 
 
 def votes_granted(votes: DataFrame) -> DataFrame:
-    """Per voter and term the first request whose log is not behind the voter's best seen in earlier terms' requests."""
-    first = votes.groupBy("voter", "term").agg(F.min_by(F.struct("candidate", "last_term", "last_index"), "seq").alias("v"), F.min("seq").alias("seq"))
+    """Per voter and term the first request of a candidate whose log is not behind the voter's: by last term, then index."""
+    current = F.struct("last_term", "last_index") >= F.struct(F.col("own_term").alias("last_term"), F.col("own_index").alias("last_index"))
+    first = votes.where(current).groupBy("voter", "term").agg(F.min_by(F.struct("candidate", "last_term", "last_index"), "seq").alias("v"), F.min("seq").alias("seq"))
     return first.select("voter", "term", "seq", "v.*")
 
 

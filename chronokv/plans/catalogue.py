@@ -229,7 +229,7 @@ def raft_terms(spark, sf):
     return each.withColumn("so_far", F.sum("requests").over(Window.partitionBy("voter").orderBy("term")))
 
 
-GRANTED = "SELECT voter, term, seq, candidate, last_term, last_index FROM raft_votes QUALIFY row_number() OVER (PARTITION BY voter, term ORDER BY seq) = 1"
+GRANTED = "SELECT voter, term, seq, candidate, last_term, last_index FROM raft_votes WHERE last_term > own_term OR (last_term = own_term AND last_index >= own_index) QUALIFY row_number() OVER (PARTITION BY voter, term ORDER BY seq) = 1"
 
 
 @query(GRANTED)
@@ -493,11 +493,21 @@ def prom_parse(spark, sf):
 
 @query(""", c AS (SELECT method, us, count(*) OVER (PARTITION BY method ORDER BY us, event_id) AS cnt, event_id FROM http_log), s AS (SELECT *, CASE WHEN lag(cnt) OVER w IS NULL THEN 0 ELSE 1 END AS step FROM c WINDOW w AS (PARTITION BY method ORDER BY us))
 SELECT method, us, cnt, round(sum(step) OVER (PARTITION BY method ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) / 3600.0, 9) AS rate FROM s""")
-def prom_rate_quantile(spark, sf):
+def prom_rate(spark, sf):
     c = views.http_log(spark, sf).select("method", "us", F.count("*").over(Window.partitionBy("method").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("cnt"))
     return metrics.rate(c, ["method"], 3_600_000_000).withColumn("rate", F.round("rate", 9))
 
 
+@query(f", q AS (SELECT * FROM http_log WHERE us > (SELECT max(us) - 86400000000 FROM http_log)), r AS (SELECT method, {ROUTE} AS route, duration_s FROM q), h AS (SELECT method, route, le, count(*) FILTER (duration_s <= le) AS cnt FROM r, (SELECT * FROM (VALUES {BOUNDS}, ('inf'::DOUBLE)) b(le)) GROUP BY ALL)" + QUANTILE.format(by="route,", part="route", q="0.99"))
+def prom_rate_quantile(spark, sf):
+    """The 0.99 quantile of the bucket rates over the last day; a rate's divisor is the same for all buckets."""
+    requests = routed(spark, sf)
+    since = requests.agg((F.max("us") - 86_400_000_000).alias("since"))
+    recent = requests.crossJoin(F.broadcast(since)).where("us > since")
+    rates = metrics.merge_histograms(metrics.histogram(recent, ["method", "route"]), ["route"])
+    return metrics.quantile(rates, 0.99, ["route"]).withColumn("quantile", F.round("quantile", 9))
+
+
 @query("SELECT user_id % 8 AS worker, method, count(*) AS ops FROM http_log JOIN (SELECT event_id, user_id FROM events) USING (event_id) GROUP BY ALL")
 def op_mix(spark, sf):
     e = views.table(spark, sf, "events")

@@ -73,8 +73,9 @@ def raft_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raft_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vote requests in order, each with the candidate's last entry and the voter's own."""
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(e.alias("seq"), intdiv("event_id", 50).alias("term"), (F.col("user_id") % 5).alias("voter"), (e % 3).alias("candidate"), intdiv("event_id", 100).alias("last_term"), (e % 1000).alias("last_index"))
+    return table(spark, sf_dir, "events").select(e.alias("seq"), intdiv("event_id", 50).alias("term"), (F.col("user_id") % 5).alias("voter"), (e % 3).alias("candidate"), intdiv("event_id", 100).alias("last_term"), (e % 1000).alias("last_index"), (intdiv("event_id", 100) - F.col("user_id") % 2).alias("own_term"), (F.col("user_id") * 7 % 1000).alias("own_index"))
 
 
 def sim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,8 @@ raft_log AS (SELECT node, idx, CASE WHEN off THEN term + 1 ELSE term END AS term
 raft_nodes AS (SELECT node, floor(last * 9 / 10)::BIGINT - node AS commit_index, last // 2 AS applied, 1 + last // 100 - (CASE WHEN node = 3 THEN 1 ELSE 0 END) AS term,
   CASE WHEN node < 3 THEN 'Leader' ELSE 'Follower' END AS role FROM (SELECT max(o_orderkey) AS last FROM orders), (VALUES (1::BIGINT), (2), (3)) n(node)),
 raft_match AS (SELECT o_custkey % 20 AS grp, o_orderkey % 4 AS peer, max(o_orderkey) AS match_index FROM orders GROUP BY ALL),
-raft_votes AS (SELECT event_id AS seq, event_id // 50 AS term, user_id % 5 AS voter, event_id % 3 AS candidate, event_id // 100 AS last_term, event_id % 1000 AS last_index FROM events),
+raft_votes AS (SELECT event_id AS seq, event_id // 50 AS term, user_id % 5 AS voter, event_id % 3 AS candidate, event_id // 100 AS last_term, event_id % 1000 AS last_index,
+  event_id // 100 - user_id % 2 AS own_term, user_id * 7 % 1000 AS own_index FROM events),
 sim_events AS (SELECT event_id AS sequence, user_id % 5 AS src, event_id % 5 AS dst, epoch_us(ts) AS us FROM events),
 membership AS (SELECT event_id AS idx, CASE WHEN event_type = 'signup' THEN 'Add' ELSE 'Remove' END AS kind, user_id % 50 AS peer FROM events WHERE event_type IN ('signup', 'error')),
 experiments AS (SELECT l_returnflag || l_linestatus AS name, round(sum(l_quantity), 2) / count(*) AS throughput, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus)
