@@ -93,7 +93,7 @@ def bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
 
 
-def bucket_bits(chunks: DataFrame, bytes_each: int = 8 << 20) -> int:
+def bucket_bits(chunks: DataFrame, bytes_each: int = 2 << 20) -> int:
     """So many buckets that one has the keys of about ``bytes_each`` of text, 2 at least and 2^20 at most."""
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     return int(min(20, max(1, np.ceil(np.log2(max(2, total / bytes_each))))))

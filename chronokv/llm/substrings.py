@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, rows_of, squeeze
 from chronokv.llm.common import mix, words8
@@ -26,6 +27,7 @@ from chronokv.llm.common import mix, words8
 LENGTH = 50
 KGRAM = 26
 PIECE = 128  # starts in a piece at most
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 HOT = 12  # class of a hash in 2048 documents or more: its strings are dealt by a second hash too
 
 
@@ -39,36 +41,53 @@ def _sliding(h: np.ndarray, width: int, f=np.minimum) -> np.ndarray:
     return out
 
 
-def minima(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kgram: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row, least hash) of the runs of string starts with one least hash, and the hashes."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+BLOCK = 1 << 15  # starts at a step, so that a step's arrays stay in the processor's cache
+
+
+def kgram_hashes(data: np.ndarray, kgram: int = KGRAM) -> np.ndarray:
+    """A 64-bit hash of every ``kgram`` successive bytes, ``kgram`` eight at least."""
     w, last = words8(data), len(data) - kgram + 1
     h = np.zeros(last, np.uint64)
     for k, at in enumerate([*range(0, kgram - 8, 8), kgram - 8]):
-        h += w[at : at + last] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1) + (w[at : at + last] >> np.uint64(29)) * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 3)) & (2**64 - 1) | 1)
-    h = mix(h)
-    least = _sliding(h, length - kgram + 1)
+        part = w[at : at + last]
+        h += part * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1) + (part >> np.uint64(29)) * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 3)) & (2**64 - 1) | 1)
+    return mix(h)
+
+
+def minima(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kgram: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, least hash) of the runs of string starts in one row with one least hash."""
+    none = np.zeros(0, np.int64)
+    total = len(data) - length + 1
+    if total <= 0:
+        return none, none, none, np.zeros(0, np.uint64)
     size = np.diff(offsets)
-    first, stop = offsets[:-1], offsets[1:] - length + 1
-    valid = np.zeros(len(least) + 1, np.int8)
     has = size >= length
-    np.add.at(valid, first[has], 1)
-    np.add.at(valid, stop[has], -1)
-    ok = np.cumsum(valid[:-1]).astype(bool)
-    head = ok.copy()
-    head[1:] &= (least[1:] != least[:-1]) | ~ok[:-1]
-    head[first[has]] = True
-    tail = ok.copy()
-    tail[:-1] &= head[1:] | ~ok[1:]
-    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    return start, end, np.searchsorted(offsets, start, "right") - 1, least[start], h
+    first, stop = offsets[:-1][has], offsets[1:][has] - length + 1  # where a row's starts begin and end
+    heads, values, before = [], [], None
+    for lo in range(0, total, BLOCK):
+        hi = min(total, lo + BLOCK)
+        least = _sliding(kgram_hashes(data[lo : hi + length - 1], kgram), length - kgram + 1)
+        head = np.empty(hi - lo, dtype=bool)
+        head[0] = before is None or least[0] != before
+        head[1:] = least[1:] != least[:-1]
+        head[first[np.searchsorted(first, lo) : np.searchsorted(first, hi)] - lo] = True
+        at = np.flatnonzero(head)
+        heads.append(at + lo)
+        values.append(least[at])
+        before = least[-1]
+    start, value = np.concatenate(heads), np.concatenate(values)
+    row = np.searchsorted(offsets, start, "right") - 1
+    end = np.append(start[1:], total)
+    bound = np.zeros(len(size), np.int64)
+    bound[has] = stop
+    end = np.minimum(end, bound[row])
+    ok = start < end
+    return start[ok], end[ok], row[ok], value[ok]
 
 
 def _keys(length: int, kgram: int):
     def keys_of(data, offsets):
-        _, _, row, least, _ = minima(data, offsets, length, kgram)
+        _, _, row, least = minima(data, offsets, length, kgram)
         return distinct_pairs(row, least)
 
     return keys_of
@@ -92,6 +111,9 @@ class RunIndex:
         size = self.end - self.start
         self.lf = np.cumsum(size) - size  # where a run's first row goes: runs of smaller bytes, then earlier ones
         self.key = self.char * (n + 1) + self.start
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        self.run_at = np.repeat(place, end - start)  # a directory from rows to runs, instead of a search
         self.first, self.last = self.sa[self.start], self.sa[self.end - 1]  # samples at the runs' ends
         self.eight = words8(text)
 
@@ -128,13 +150,12 @@ class RunIndex:
             place = end[order[:m]] - 1 - step
             c = text[place].astype(np.int64)
             q, p, s = row[:m], at[:m], stat[:m]
-            run = np.searchsorted(self.key, c * (self.n + 1) + q, "right") - 1
-            here = (run >= 0) & (self.char[np.maximum(run, 0)] == c)
-            inside = here & (q < self.end[np.maximum(run, 0)])
-            off = np.flatnonzero(~inside)
+            run = self.run_at[q].astype(np.int64)
+            off = np.flatnonzero(self.char[run] != c)  # the row's byte is another: go to the nearest run of this one
             if len(off):
-                up, down = run[off], run[off] + 1
-                can_up = here[off]
+                up = np.searchsorted(self.key, c[off] * (self.n + 1) + q[off], "right") - 1
+                down = up + 1
+                can_up = (up >= 0) & (self.char[np.maximum(up, 0)] == c[off])
                 can_down = (down < self.runs) & (self.char[np.minimum(down, self.runs - 1)] == c[off])
                 far_up, far_down = np.full(len(off), -1, np.int64), np.full(len(off), -1, np.int64)
                 far_up[can_up] = self.common(p[off][can_up], self.last[up[can_up]], most)
@@ -165,7 +186,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     stands for what lies beyond the end.
     """
     n, eight = len(text), words8(text)
-    order = np.argsort(eight.byteswap(), kind="stable")
+    order = np.argsort(eight.byteswap())
     w = eight[order]
     head = np.ones(n, dtype=bool)
     head[1:] = w[1:] != w[:-1]
@@ -176,7 +197,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         at = order[tied]
         after = at + depth
         first, second = rank[at], np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        by = np.lexsort((second, first))
+        by = np.argsort(first * (n + 1) + second + 1)
         order[tied], first, second = at[by], first[by], second[by]
         fresh = np.ones(len(tied), dtype=bool)
         fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
@@ -203,7 +224,7 @@ def smallest_owner(strings: np.ndarray, offsets: np.ndarray, owner: np.ndarray,
     end = start + size
     index = RunIndex(text)
     sa = index.sa
-    of = np.searchsorted(start, sa, "right") - 1
+    of = np.repeat(np.arange(n), size + 1)[sa]
     fits = sa + length <= end[of]
     same = np.zeros(len(sa), dtype=bool)
     live = np.flatnonzero(fits[1:] & fits[:-1]) + 1
@@ -211,7 +232,7 @@ def smallest_owner(strings: np.ndarray, offsets: np.ndarray, owner: np.ndarray,
         live = live[index.eight[sa[live] + k] == index.eight[sa[live - 1] + k]]
     same[live] = True
     group = np.flatnonzero(~same)  # rows at which an interval of one string begins
-    least = np.minimum.reduceat(np.where(fits, owner[of], NULL_ID), group)
+    least = np.repeat(np.minimum.reduceat(np.where(fits, owner[of], NULL_ID), group), np.diff(np.append(group, len(sa))))
     starts = np.maximum(0, size - length + 1)
     out_at = np.concatenate([[0], np.cumsum(starts)])
     out = np.empty(out_at[-1], np.int64)
@@ -222,7 +243,7 @@ def smallest_owner(strings: np.ndarray, offsets: np.ndarray, owner: np.ndarray,
             continue
         if (stat[ok] < length).any():
             raise AssertionError("an indexed string was not found")
-        out[out_at[which[ok]] + begin[ok]] = least[np.searchsorted(group, row[ok], "right") - 1]
+        out[out_at[which[ok]] + begin[ok]] = least[row[ok]]
     return out, out_at
 
 
@@ -254,7 +275,7 @@ def _mark(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "at": table.column("at"), "starts": table.column("starts"), "marks": pa.array(marks, pa.binary())})
 
 
-def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
+def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot_class: int = HOT) -> DataFrame:
     """(chunk, parts): for each chunk the places in its bytes whose string also starts in a smaller document."""
     bits = bucket_bits(chunks)
     shared = count_classes(chunks, _keys(length, kgram), bits)
@@ -262,24 +283,24 @@ def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
     def send(batches):
         for x in rows_of(batches):
             data, offsets, ids = opened(x)
-            start, end, row, least, h = minima(data, offsets, length, kgram)
+            start, end, row, least = minima(data, offsets, length, kgram)
             keys, _ = key_counts(distinct_pairs(row, least)[1])
             kind = classes_of(keys, x["parts"], bits)[np.searchsorted(keys, least)]
             deal = least.copy()
-            hot = np.flatnonzero(kind >= HOT)
+            hot = np.flatnonzero(kind >= hot_class)
             if len(hot):  # within these runs the largest hash parts the strings further
-                most = _sliding(h, length - kgram + 1, np.maximum)
                 n = end[hot] - start[hot]
                 place = np.repeat(start[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 of = np.repeat(hot, n)
+                most = np.concatenate([_sliding(kgram_hashes(data[start[k] : end[k] + length - 1], kgram), length - kgram + 1, np.maximum) for k in hot])
                 head = np.ones(len(place), dtype=bool)
-                head[1:] = (of[1:] != of[:-1]) | (most[place[1:]] != most[place[:-1]])
+                head[1:] = (of[1:] != of[:-1]) | (most[1:] != most[:-1])
                 first = np.flatnonzero(head)
-                cool = np.flatnonzero((kind > 0) & (kind < HOT))
+                cool = np.flatnonzero((kind > 0) & (kind < hot_class))
                 start = np.concatenate([start[cool], place[first]])
                 end = np.concatenate([end[cool], place[np.append(first[1:], len(place)) - 1] + 1])
                 row = np.concatenate([row[cool], row[of[first]]])
-                deal = np.concatenate([deal[cool], mix(deal[of[first]] ^ most[place[first]])])
+                deal = np.concatenate([deal[cool], mix(deal[of[first]] ^ most[first])])
             else:
                 some = kind > 0
                 start, end, row, deal = start[some], end[some], row[some], deal[some]
@@ -354,7 +375,7 @@ def _kept(chunks: DataFrame, marks: DataFrame, length: int):
     return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, others string, left string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text", hot_class: int = HOT) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), kept_sha256.
 
     A byte goes if a ``length``-byte string that covers it also starts in a document with a
@@ -363,7 +384,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, do
     empty table gives no rows; other columns are ignored.
     """
     chunks = chunked(docs, doc_id, text)
-    return _kept(chunks, mark_repeats(chunks, length, kgram), length).drop("others", "left")
+    return _kept(chunks, mark_repeats(chunks, length, kgram, hot_class), length).drop("others", "left")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -372,11 +393,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, d
     Where a cut parts a character, its other bytes go too. A text that was null stays null.
     """
     names = [c for c in docs.columns if c != text]
-    others = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.col(text).isNull().alias("absent")), {"ignoreNullFields": "false"})
+    others = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.col(text).isNull().alias("absent")), {"ignoreNullFields": "false"} | TIMES)
     chunks = chunked(docs.withColumn("_others", others), doc_id, text, others="_others")
     rows = _kept(chunks, mark_repeats(chunks, length, kgram), length)
-    kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names)) + ", absent boolean"
-    told = rows.select(F.from_json("others", kinds).alias("o"), "left")
+    kinds = StructType([*[StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(names)], StructField("absent", BooleanType())])
+    told = rows.select(F.from_json("others", kinds, TIMES).alias("o"), "left")
     out = {c: F.col(f"o.c{k}") for k, c in enumerate(names)} | {text: F.when(F.col("o.absent"), F.lit(None).cast("string")).otherwise(F.col("left"))}
     return told.select(*[out[c].alias(c) for c in docs.columns])
 

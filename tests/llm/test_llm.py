@@ -65,13 +65,17 @@ def test_substrings_equal_brute_force(docs, rows):
 
 
 def test_hot_strings_are_split_and_still_right(spark, rows, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", 2)
     some = [r for r in rows if r[0] is not None]
-    data, ids = b"".join((t or "").encode() for _, t in some), None
+    data = b"".join((t or "").encode() for _, t in some)
     at = np.concatenate([[0], np.cumsum([len((t or "").encode()) for _, t in some])])
-    start, end, row, least, h = substrings.minima(np.frombuffer(data, np.uint8), at)
-    assert (np.diff(at).clip(49) - 49).sum() == (end - start).sum()  # every string start is in one run
-    assert ids is None and len(h) == len(data) - substrings.KGRAM + 1
+    for block in (1 << 15, 37):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        start, end, row, _ = substrings.minima(np.frombuffer(data, np.uint8), at)
+        assert (np.diff(at).clip(49) - 49).sum() == (end - start).sum()  # every string start is in one run
+        assert (end + 49 <= at[row + 1]).all() and (start >= at[row]).all()
+    want = Counter((i, *brute.removed(rows)[i, t]) for i, t in rows)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(brute.frame(spark, rows).repartition(4), hot_class=1).collect())
+    assert got == want
 
 
 def test_cut_texts_keep_their_columns(docs, rows):
