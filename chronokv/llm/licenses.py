@@ -5,9 +5,11 @@ text. A file without a licence of its own takes that of the nearest ancestor dir
 a licence file. DataFrame operations only.
 
 Weights: term count times 1 + ln((1 + T) / (1 + number of the T templates with the term)); a term
-of no template has the largest weight. A line is looked at only if it has one of the telling
-terms: these are taken from the templates, rarest first, until what is left of each template is
-too light to reach the threshold alone, so by Cauchy and Schwarz no line is missed.
+of no template has the largest weight; stop words have none. A line is looked at only if it has
+one of the telling terms: these are taken from the templates, rarest first, until what is left of
+each template is too light to reach the threshold alone, so by Cauchy and Schwarz no line is
+missed. For the same reason a line is dropped if the terms that it shares with each template are
+too light together. Only what is left is taken apart and shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from chronokv.llm.common import stage
 
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+STOP = frozenset("a an and any are as at be by can for from in is it may not of on or that the this to under was which with you your".split())
 LICENSE_FILE = "(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 #: Public short notices of common licences (fixed values).
 TEMPLATES = [
@@ -43,9 +46,13 @@ TEMPLATES = [
 ]
 
 
+def terms(text: str) -> list[str]:
+    return [t for t in re.findall(TERM, text.lower()) if t not in STOP]
+
+
 def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float]:
     """(weight of every template term, weight of any other term)."""
-    n = Counter(t for _, text in templates for t in set(re.findall(TERM, text.lower())))
+    n = Counter(t for _, text in templates for t in set(terms(text)))
     total = len(templates)
     return {t: 1 + math.log((1 + total) / (1 + k)) for t, k in n.items()}, 1 + math.log(1 + total)
 
@@ -55,7 +62,7 @@ def vectors(templates: list[tuple[str, str]]) -> list[tuple[int, str, str, float
     weight, _ = weights(templates)
     out = []
     for i, (name, text) in enumerate(templates):
-        v = {t: k * weight[t] for t, k in Counter(re.findall(TERM, text.lower())).items()}
+        v = {t: k * weight[t] for t, k in Counter(terms(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         out += [(i, name, t, x / norm) for t, x in sorted(v.items())]
     return out
@@ -66,7 +73,6 @@ def telling(templates: list[tuple[str, str]], threshold: float) -> list[str]:
     rows = vectors(templates)
     weight, _ = weights(templates)
     chosen: set[str] = set()
-    # A stop word is chosen only when nothing rarer is left: longest of the rarest first.
     for i in range(len(templates)):
         mine = sorted(((t, x) for k, _, t, x in rows if k == i), key=lambda p: (-weight[p[0]], -len(p[0]), p[0]))
         left = sum(x * x for t, x in mine if t not in chosen)
@@ -101,7 +107,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, thres
 
     known = spark.createDataFrame([(t, float(w)) for t, w in weight.items()], "term string, weight double")
     unit = spark.createDataFrame(vectors(templates), "template int, license string, term string, share double")
-    counts = rows.select("row", F.posexplode("lines").alias("line", "s")).select("row", "line", F.explode(F.regexp_extract_all("s", F.lit(TERM), 0)).alias("term")).groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
+    counts = rows.select("row", F.posexplode("lines").alias("line", "s")).select("row", "line", F.regexp_extract_all("s", F.lit(TERM), 0).alias("terms")).where(_reach(vectors(templates)) >= threshold * threshold * 0.999999).select("row", "line", F.explode("terms").alias("term")).where(~F.col("term").isin(*sorted(STOP))).groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
     weighed = counts.join(F.broadcast(known), "term", "left").withColumn("x", F.col("tf") * F.coalesce("weight", F.lit(other))).select("row", "line", "term", "x")  # one row per template term
     norms = weighed.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.join(F.broadcast(unit), "term").groupBy("row", "line", "template", "license").agg(F.sum(F.col("x") * F.col("share")).alias("dot"))
@@ -118,6 +124,19 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, thres
     return done.select("file.*", "license", "similarity", F.when(lacks, F.col("ancestor")).alias("inherited_from"), F.coalesce("license", "theirs").alias("effective_license"))
 
 
+def _reach(rows: list[tuple[int, str, str, float]]) -> Column:
+    """The largest squared weight that ``terms`` shares with a template: a bound on the squared cosine."""
+    by: dict[int, list[tuple[str, float]]] = {}
+    for i, _, t, x in rows:
+        by.setdefault(i, []).append((t, x * x))
+
+    def one(parts: list[tuple[str, float]]) -> Column:
+        weight = F.create_map(*[F.lit(v) for p in parts for v in p])
+        return F.aggregate(F.array_intersect("terms", F.array(*[F.lit(t) for t, _ in parts])), F.lit(0.0), lambda a, t: a + F.element_at(weight, t))
+
+    return F.greatest(*[one(p) for p in by.values()], F.lit(0.0))
+
+
 def parent(path: str) -> Column:
     """The directory of a path; the root is an empty one."""
     return F.regexp_replace(F.regexp_replace(path, "[^/]*$", ""), "/$", "")
@@ -153,7 +172,7 @@ t AS (SELECT doc_id, lower(coalesce(text, '')) AS body, coalesce(source, 'unknow
 f AS (SELECT doc_id, body, doc_id % 100 = 0 AS is_file, CASE WHEN doc_id % 1000 = 0 THEN top ELSE sub END AS dir,
   CASE WHEN doc_id % 1000 = 0 THEN top || '/LICENSE' WHEN doc_id % 100 = 0 THEN sub || '/LICENSE' ELSE sub || '/' || doc_id::VARCHAR || '.txt' END AS path FROM t),
 l AS (SELECT doc_id, generate_subscripts(s, 1) AS line, unnest(s) AS s FROM (SELECT doc_id, CASE WHEN is_file THEN [body] ELSE string_split(body, chr(10)) END AS s FROM f)),
-c AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(s, '{TERM}')) AS term FROM l) GROUP BY ALL),
+c AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(s, '{TERM}')) AS term FROM l) WHERE term NOT IN ({', '.join(map(_quoted, sorted(STOP)))}) GROUP BY ALL),
 w AS (SELECT doc_id, line, term, tf * coalesce(weight, {other!r}::DOUBLE) AS x FROM c LEFT JOIN known USING (term)),
 n AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM w GROUP BY ALL),
 dots AS (SELECT doc_id, line, template, license, sum(x * share) AS dot FROM w JOIN unit USING (term) GROUP BY ALL),
