@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, shared_dir, small_batches, text_bytes
+from chronokv.llm.common import binary_view, gathered, shared_dir, small_batches, text_bytes, tidy
 
 NULL_ID = np.int64(2**63 - 1)
 CHUNK_BYTES = 4 << 20
@@ -56,7 +56,7 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_b
 
     path, name = f"{shared_dir(spark)}/chunks", f"chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(pack, "chunk long, ids binary, offsets binary, body binary, n_bytes long, others array<string>")
+    packed = rows.mapInArrow(tidy(pack), "chunk long, ids binary, offsets binary, body binary, n_bytes long, others array<string>")
     packed.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 
@@ -141,7 +141,7 @@ def count_classes(chunks: DataFrame, keys_of: KeysOf, bits: int) -> DataFrame:
         at = np.concatenate([[0], np.cumsum(sizes)])
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([bucket] * len(chunk), pa.int32()), "classes": pa.array([squeeze(out[at[i] : at[i + 1]]) for i in range(len(chunk))], pa.binary())})
 
-    sent = chunks.select("chunk", "ids", "offsets", "body").mapInArrow(send, "bucket int, chunk long, keys binary, counts binary")
+    sent = chunks.select("chunk", "ids", "offsets", "body").mapInArrow(tidy(send), "bucket int, chunk long, keys binary, counts binary")
     replies = sent.groupBy("bucket").applyInArrow(tally, "chunk long, bucket int, classes binary")
     # A chunk is of bounded size, so its replies are too.
     return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "classes")).alias("parts"))

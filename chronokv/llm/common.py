@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -65,6 +67,27 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+#: What a Python worker keeps from task to task; dropped when it runs something else.
+KEPT: list[dict] = []
+
+
+def tidy(f, keeps: bool = False):
+    """``f`` over batches; afterwards the worker gives freed memory back, as it lives on for other stages."""
+
+    def run(batches):
+        from chronokv.llm import common  # the worker's own module, not a copy of its state
+
+        if not keeps:
+            for kept in common.KEPT:
+                kept.clear()
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what one Arrow batch of texts holds."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

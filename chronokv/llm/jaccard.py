@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, key_counts, opened, rows_of
-from chronokv.llm.common import LOWER, shingle_hashes, stage
+from chronokv.llm.common import LOWER, shingle_hashes, stage, tidy
 from chronokv.llm.components import components
 
 PART = 512  # documents in a part of a split block
@@ -71,7 +71,7 @@ def sets(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, mask=ids == NULL_ID), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(out, pa.binary())], names=["uid", "doc_id", "n", "signature", "tokens"])
 
     joined = chunks.join(shared.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offsets", "body", "parts")
-    return stage(joined.mapInArrow(build, "uid long, doc_id long, n long, signature binary, tokens binary"), "sets")
+    return stage(joined.mapInArrow(tidy(build), "uid long, doc_id long, n long, signature binary, tokens binary"), "sets")
 
 
 def rare_tokens(representatives: DataFrame, percent: int) -> DataFrame:
@@ -89,7 +89,7 @@ def rare_tokens(representatives: DataFrame, percent: int) -> DataFrame:
             if uid:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(uid))], names=["token", "uid"])
 
-    return representatives.select("uid", "n", "tokens").mapInArrow(cut, "token long, uid long")
+    return representatives.select("uid", "n", "tokens").mapInArrow(tidy(cut), "token long, uid long")
 
 
 def trie_join(n: np.ndarray, tokens: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, small_batches, stage, text_bytes
+from chronokv.llm.common import binary_view, gathered, small_batches, stage, text_bytes, tidy
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -165,7 +165,7 @@ def items(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") -> DataF
                 kinds = (pa.int64(), pa.int32(), *[pa.string()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "position", "kind", "text", "digest", "caption"])
 
-    return pages.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(html).alias("html")).mapInArrow(run, ITEMS)
+    return pages.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(html).alias("html")).mapInArrow(tidy(run), ITEMS)
 
 
 def resolve(sequence: DataFrame, store: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def describe(store: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    said = store.select("media").mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    said = store.select("media").mapInArrow(tidy(run), "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return said.groupBy("digest").agg(*[F.min(c).alias(c) for c in said.columns if c != "digest"])
 
 
@@ -222,7 +222,7 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(html, pa.string()), pa.array(digest, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("data"))
-    return stage(rows.mapInArrow(run, "doc_id long, html string, digest string, media binary"), "media")
+    return stage(rows.mapInArrow(tidy(run), "doc_id long, html string, digest string, media binary"), "media")
 
 
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

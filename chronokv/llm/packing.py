@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, small_batches, stage, text_bytes
+from chronokv.llm.common import binary_view, gathered, small_batches, stage, text_bytes, tidy
 from chronokv.llm.tokens import encoder, vocabulary
 
 
@@ -115,7 +115,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str | None, doc_
             crc = np.array([zlib.crc32(ids[p : p + m].astype("<u4").tobytes()) for p, m in zip(place.tolist(), length.tolist(), strict=True)], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), batch.column("doc_id").take(pa.array(row)), pa.array(n[row]), pa.array(start), pa.array(length), pa.array(nth), pa.array(raw, pa.binary()), pa.array(crc)], names=["part", "doc_id", "doc_tokens", "start", "length", "nth", "ids", "ids_crc32"])
 
-    return stage(rows.mapInArrow(cut, "part int, doc_id long, doc_tokens long, start long, length long, nth long, ids binary, ids_crc32 long"), "pieces")
+    return stage(rows.mapInArrow(tidy(cut, keeps=True), "part int, doc_id long, doc_tokens long, start long, length long, nth long, ids binary, ids_crc32 long"), "pieces")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

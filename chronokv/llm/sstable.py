@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, shared_dir, small_batches, stage, text_bytes
+from chronokv.llm.common import binary_view, gathered, shared_dir, small_batches, stage, text_bytes, tidy
 from chronokv.llm.tokens import encoder, vocabulary
 
 MAGIC = b"SSTOKEN1"
@@ -219,7 +219,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, doc_id
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "shard", "uri", "records", "n_ids", "first_key"])
 
     ordered = rows.repartitionByRange(*_parts(spark), "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
-    return stage(ordered.select("doc_id", "data").mapInArrow(write, "part int, shard int, uri string, records long, n_ids long, first_key binary"), "manifest")
+    return stage(ordered.select("doc_id", "data").mapInArrow(tidy(write, keeps=True), "part int, shard int, uri string, records long, n_ids long, first_key binary"), "manifest")
 
 
 def _parts(spark: SparkSession) -> list[int]:
@@ -246,7 +246,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if docs:
                     yield _records(name, docs, starts, raws)
 
-    return spread(manifest.select("uri")).mapInArrow(read, "uri string, doc_id long, n_before long, ids binary")
+    return spread(manifest.select("uri")).mapInArrow(tidy(read), "uri string, doc_id long, n_before long, ids binary")
 
 
 def _records(name, docs, starts, raws) -> pa.RecordBatch:

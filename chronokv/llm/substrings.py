@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, rows_of, squeeze
-from chronokv.llm.common import mix, words8
+from chronokv.llm.common import mix, tidy, words8
 
 LENGTH = 50
 KGRAM = 26
@@ -331,7 +331,7 @@ def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
                 )
 
     joined = chunks.join(shared.hint("shuffle_hash"), "chunk").select("chunk", "ids", "offsets", "body", "parts")
-    sent = joined.mapInArrow(send, "bucket int, chunk long, sizes binary, body binary, string binary, at binary, starts binary, ids binary")
+    sent = joined.mapInArrow(tidy(send), "bucket int, chunk long, sizes binary, body binary, string binary, at binary, starts binary, ids binary")
     marked = sent.groupBy("bucket").applyInArrow(lambda t: _mark(t, length), "chunk long, at binary, starts binary, marks binary")
     return marked.groupBy("chunk").agg(F.collect_list(F.struct("at", "starts", "marks")).alias("parts"))
 
@@ -372,7 +372,7 @@ def _kept(chunks: DataFrame, marks: DataFrame, length: int):
             )
 
     joined = chunks.join(marks.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offsets", "body", "others", "parts")
-    return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, others string, left string")
+    return joined.mapInArrow(tidy(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, others string, left string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text", hot_class: int = HOT) -> DataFrame:

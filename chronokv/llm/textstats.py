@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from chronokv.llm.common import LOWER, binary_view, gathered, small_batches, text_bytes, word_hashes, word_spans
+from chronokv.llm.common import LOWER, binary_view, gathered, small_batches, text_bytes, tidy, word_hashes, word_spans
 
 NAMES = [
     "log_bytes", "log_words", "word_length", "upper", "digit", "mark", "symbol", "pipe", "exclaim", "foreign",
@@ -166,7 +167,7 @@ def with_statistics(docs: DataFrame, weights: dict[str, float] | None = None, ke
     small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     rows = docs.select(*keep, text_bytes(text).alias("_data"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    schema = StructType([*rows.schema.fields[:-1], StructField("stats", ArrayType(DoubleType()))])
 
     def run(batches):
         lexicon = Lexicon(weights or {})
@@ -176,7 +177,7 @@ def with_statistics(docs: DataFrame, weights: dict[str, float] | None = None, ke
             stats = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, len(NAMES), dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats], names=[*keep, "stats"])
 
-    return rows.mapInArrow(run, f"{schema}, stats array<double>")
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

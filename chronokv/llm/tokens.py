@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from chronokv.llm.common import LOWER
+from chronokv.llm.common import KEPT, LOWER
 
 END_ID = 1
 
@@ -113,6 +113,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:

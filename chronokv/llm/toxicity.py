@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, stage, text_bytes
+from chronokv.llm.common import binary_view, gathered, stage, text_bytes, tidy
 from chronokv.llm.textstats import held_out, labelled_sample, letter_words, terms, with_statistics
 
 
@@ -43,7 +43,7 @@ def learn_lexicon(sample: DataFrame, most: int = 4000, support: int = 5, ratio:
     toxic, clean = totals["toxic"] or 0, (totals["n"] or 0) - (totals["toxic"] or 0)
     if not toxic or not clean:
         return {}
-    counted = sample.select("label", text_bytes("text").alias("data")).mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.select("label", text_bytes("text").alias("data")).mapInArrow(tidy(run), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
     rows = counted.where((F.col("toxic") >= support) & (odds >= ratio)).orderBy(F.desc("toxic"), "term").limit(most).select("term", odds.alias("odds"), "toxic").collect()
     return {r["term"]: math.log(r["odds"]) for r in rows}

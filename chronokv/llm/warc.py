@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import shared_dir, small_batches, stage, text_bytes
+from chronokv.llm.common import shared_dir, small_batches, stage, text_bytes, tidy
 from chronokv.llm.sstable import fetch, put, spread
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -167,7 +167,7 @@ def write_bundles(pages: DataFrame, uri: str, least: int = 0, page_id: str = "pa
         if held:
             yield close()
 
-    return stage(marked.mapInArrow(write, "page_id long, record_type string, uri string, frame int, frame_offset long, length long"), "record-map")
+    return stage(marked.mapInArrow(tidy(write), "page_id long, record_type string, uri string, frame int, frame_offset long, length long"), "record-map")
 
 
 def read_bundles(record_map: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def read_bundles(record_map: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return spread(record_map.select("uri").distinct()).mapInArrow(read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, ok boolean")
+    return spread(record_map.select("uri").distinct()).mapInArrow(tidy(read), "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, ok boolean")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
