@@ -166,7 +166,7 @@ def bloom_probe(spark, sf):
     return runs.bloom_probe(log, log.select("key"))
 
 
-@query(f"SELECT run_id, key FROM kv_runs GROUP BY run_id, key")
+@query("SELECT run_id, key FROM kv_runs GROUP BY run_id, key")
 def bloom_no_false_negative(spark, sf):
     log = views.kv_runs(spark, sf)
     held = log.select("run_id", "key").distinct()
@@ -272,7 +272,8 @@ def raft_dedup(spark, sf):
     return views.raft_log(spark, sf).select("idx", "term", "payload").dropDuplicates()
 
 
-@query("SELECT w.idx, w.term, a.payload IS NOT NULL AS answered FROM (SELECT idx, term FROM raft_log WHERE node = 3) w LEFT JOIN (SELECT idx, term, payload FROM raft_log JOIN raft_nodes USING (node) WHERE node = 1 AND idx <= commit_index) r(idx, term, payload) USING (idx, term), LATERAL (SELECT r.payload) a(payload)".replace("raft_log JOIN raft_nodes USING (node) WHERE node = 1", "(SELECT l.node, l.idx, l.term, l.payload, n.commit_index FROM raft_log l JOIN raft_nodes n USING (node)) WHERE node = 1"))
+@query("""SELECT w.idx, w.term, r.idx IS NOT NULL AS answered FROM (SELECT idx, term FROM raft_log WHERE node = 3) w
+LEFT JOIN (SELECT l.idx, l.term FROM raft_log l JOIN raft_nodes n ON n.node = l.node WHERE l.node = 1 AND l.idx <= n.commit_index) r ON r.idx = w.idx AND r.term = w.term""")
 def raft_ack_join(spark, sf):
     log = views.raft_log(spark, sf)
     done = log.where("node = 1").join(F.broadcast(views.raft_nodes(spark, sf).select("node", "commit_index")), "node").where("idx <= commit_index").select("idx", "term", F.lit(True).alias("done"))
@@ -364,7 +365,7 @@ def sim_deliverable(spark, sf):
     return sim.deliverable(views.sim_events(spark, sf), small(spark, "node long", (2,)), small(spark, "src long, dst long", (0, 1), (1, 0)))
 
 
-@query(f"{LINKS_SQL} SELECT e.* FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY sequence) AS k FROM sim_events) x LEFT JOIN f USING (src, dst), LATERAL (SELECT x.sequence, x.src, x.dst, x.us) e WHERE n IS NULL OR k > n")
+@query(f"{LINKS_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY sequence) AS k FROM sim_events) SELECT x.sequence, x.src, x.dst, x.us FROM x LEFT JOIN f ON f.src = x.src AND f.dst = x.dst WHERE n IS NULL OR k > n")
 def sim_drop(spark, sf):
     return sim.drop_next(views.sim_events(spark, sf), _links(spark).select("src", "dst", "n"))
 
