@@ -6,13 +6,15 @@ differ in ``radius`` bits or fewer agree in a block at least. Candidates are the
 the exact weighted similarity of their shingles, each weighted by how often it occurs: the sum
 of the smaller weights over the sum of the larger ones.
 
-Windows that share no shingle with any item cannot be similar to one, so fingerprints are made
-only of windows that a shared shingle aligns with an item; this drops no match.
+A similar window shares so many shingles with its item that its length alone gives the least
+number. A running count over the places of shared shingles, which an item of that length holds,
+bounds what each start can reach; fingerprints are made of every window that reaches it, at
+whatever start, so this drops no match.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronokv.llm.common import stage
@@ -56,6 +58,25 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def reachable(places: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, key, n, width, at): every start whose window can be similar to an item of ``n`` words.
+
+    ``places``: (doc_id, key, size, n, width, p), once each, where a document has a shingle of
+    such an item. A place counts for the starts of the windows around it; the count is at least
+    what the window shares with any one item. It changes at the first start of a place and after
+    its last, so it is summed over these and not over starts.
+    """
+    span = F.least("n", "size") - F.col("width")
+    first, last = F.greatest(F.lit(0), F.col("p") - span), F.least(F.col("p"), F.greatest(F.lit(0), F.col("size") - F.col("n")))
+    changes = places.select("*", F.explode(F.array(F.struct(first.alias("at"), F.lit(1).alias("by")), F.struct((last + 1).alias("at"), F.lit(-1).alias("by")))).alias("c"))
+    window = Window.partitionBy("doc_id", "key", "size", "n", "width").orderBy("at")
+    summed = changes.groupBy("doc_id", "key", "size", "n", "width", F.col("c.at").alias("at")).agg(F.sum("c.by").alias("by"))
+    counted = summed.select("*", F.sum("by").over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("most"), F.lead("at").over(window).alias("next"))
+    total = F.col("n") - F.col("width") + 1 + span + 1
+    enough = counted.where((F.col("most") > 0) & ((100 + percent) * F.col("most") >= percent * total))
+    return enough.select("doc_id", "key", "n", "width", F.explode(F.sequence("at", F.col("next") - 1)).alias("at"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, similarity): every item that a document holds a window of, with the best similarity.
 
@@ -80,20 +101,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of.alias("text")).withColumn("key", F.xxhash64("text"))
 
-    known = checked_broadcast(item_shingles)
-    aligned = None
+    known = checked_broadcast(stage(item_shingles.select("n", "width", "h").distinct(), "known"))
+    places = None
     for k in widths:
         each = rows.select("doc_id", "key", words("text").alias("w")).select("doc_id", "key", F.size("w").alias("size"), F.posexplode(shingles("w", k)).alias("p", "h"))
-        at = F.greatest(F.lit(0), F.least(F.col("p") - F.col("k"), F.col("size") - F.col("n"))).alias("at")
-        hits = each.join(known.where(F.col("width") == k), "h").select("doc_id", "key", "n", "width", at).distinct()
-        aligned = hits if aligned is None else aligned.union(hits)
-    windows = stage(aligned, "windows")
+        hits = each.join(known.where(F.col("width") == k), "h").select("doc_id", "key", "size", "n", "width", "p").distinct()
+        places = hits if places is None else places.union(hits)
+    windows = stage(reachable(places, percent), "windows")
 
     # Only documents with such windows are read again.
     wanted = stage(windows.select("doc_id", "key").distinct(), "documents")
-    again = rows.join(checked_broadcast(wanted), rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["key"] == wanted["key"]), "left_semi").dropDuplicates(["doc_id", "key"])
+    again = rows.join(checked_broadcast(wanted), rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["key"] == wanted["key"]), "left_semi").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", words("text").alias("w"))
     theirs = windows.select(F.col("doc_id").alias("d"), F.col("key").alias("x"), "n", "width", "at")
-    placed = again.join(theirs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("x"))).select("doc_id", "key", "n", "width", "at", F.slice(words("text"), F.col("at") + 1, F.col("n")).alias("w"))
+    placed = again.join(theirs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("x"))).select("doc_id", "key", "n", "width", "at", F.slice("w", F.col("at") + 1, F.col("n")).alias("w"))
     inside = stage(placed.select("doc_id", "key", "n", "width", "at", F.explode(by_width("w")).alias("h")), "window-shingles")
     window = ["doc_id", "key", "n", "width", "at"]
 

@@ -357,6 +357,19 @@ def test_windows_equal_brute_force(spark):
     assert Counter(x.doc_id for x in left.collect()) == Counter(i for i, _ in rows if i not in hit)
 
 
+def test_windows_of_any_start_are_found(spark):
+    v = [f"v{k}" for k in range(400)]
+    # Halves swapped; two words changed at each end and four put in the middle: the best window starts where no shared shingle aligns the item.
+    edited = {j: ["x1", "x2", *w[2 : n // 2], "y1", "y2", "y3", "y4", *w[n // 2 : -2], "x3", "x4"] for j, n in ((1, 76), (2, 80), (3, 90)) if (w := v[:n])}
+    items = [(0, " ".join(v[300:360])), *((j, " ".join(v[:n])) for j, n in ((1, 76), (2, 80), (3, 90)))]
+    around = [f"a{k}" for k in range(40)]
+    rows = [(0, " ".join([*around, *v[330:360], *v[300:330], *around])), *((j, " ".join([*around, *w, *around])) for j, w in edited.items())]
+    want = brute.contaminated(rows, items)
+    assert {(0, 0), (1, 1), (2, 2), (3, 3)} <= set(want)
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(brute.frame(spark, rows), brute.frame(spark, items, "item_id")).collect()}
+    assert got == want
+
+
 # 9
 
 
