@@ -3,11 +3,14 @@
 A text is cut where the pre-tokenizers of both vocabularies cut in any case: before a single
 space between visible characters, and between a letter and a following mark. The pieces then
 have the same ids alone as within the text, so each distinct piece is encoded once and kept.
+The file's added tokens (``<|endoftext|>``) are pieces of their own, as the library takes them
+out of a text first, before it folds the case of the rest.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -35,8 +38,20 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in '.,;:!?$%&*#|()"<>=/+-_']] = True
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The pieces' offsets, all of the rows' offsets among them."""
+def whole(data: np.ndarray, offsets: np.ndarray, added: list[bytes]) -> list[tuple[int, int]]:
+    """(start, end) of the ``added`` strings in the rows; of those that overlap the leftmost, the longest of them."""
+    raw = data.tobytes()
+    if not any(x in raw for x in added):
+        return []
+    pattern = re.compile(b"|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)))
+    out = []
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out += [m.span() for m in pattern.finditer(raw, lo, hi)]
+    return out
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray, kept: list[tuple[int, int]] = ()) -> np.ndarray:
+    """The pieces' offsets, all of the rows' offsets among them; each span of ``kept`` is one piece."""
     n = len(data)
     if n < 3:
         return np.unique(np.concatenate([[0], offsets, [n]]))
@@ -46,6 +61,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     after = _VISIBLE[data] | _LEAD[data]
     cut[1 : n - 1] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
     cut[1:n] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+    for lo, hi in kept:
+        cut[lo + 1 : hi] = False
+        cut[lo] = cut[hi] = True
     cut[offsets] = True
     cut[0] = cut[n] = True
     return np.flatnonzero(cut)
@@ -59,7 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.keep, self.young, self.old = keep, {}, {}
 
@@ -86,9 +104,10 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, each row's offset in them); every row ends with END_ID."""
+        spans = whole(data, offsets, self.added)
         if self.folds:
             data = LOWER[data]
-        at = cuts(data, offsets)
+        at = cuts(data, offsets, spans)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
         kinds = self.ids(coded.dictionary.to_pylist())

@@ -54,6 +54,24 @@ def test_pieces_have_the_ids_of_the_whole_text(rows, name):
         assert ids[where[i] : where[i + 1]].tolist() == [*e.tokenizer.encode(t.decode(), add_special_tokens=False).ids, 1]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_have_the_ids_of_the_library(spark, name):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.vocabulary(name))
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "<|startoftext|>A b<|endoftext|><|endoftext|>  c", "x.<|endoftext|>,y  <|EndOfText|> z <|endoftext| >", "é<|endoftext|>é 中<|endoftext|>\n", "<|endof", "text|> a", "", "it<|endoftext|>'s <<|endoftext|>>"]
+    want = {i: [*fresh.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert fresh.token_to_id("<|endoftext|>") in want[0]
+    raw = [t.encode() for t in texts]
+    ids, where = tokens.Encoder(tokens.vocabulary(name)).encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    assert {i: ids[where[i] : where[i + 1]].tolist() for i in want} == want
+    docs = brute.frame(spark, list(enumerate(texts)))
+    crc = {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+    path = tokens.vocabulary(name)
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(docs, tokenizer=path).collect()} == crc
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in sstable.token_shards(docs, path).collect()} == crc
+
+
 # 1
 
 
