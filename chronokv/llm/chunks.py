@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, shared_dir, small_batches, text_bytes, tidy
+from chronokv.llm.common import binary_view, gathered, table_path, text_bytes, tidy
 
 NULL_ID = np.int64(2**63 - 1)
 CHUNK_BYTES = 4 << 20
@@ -36,14 +36,15 @@ def expand(blob: bytes, dtype=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=dtype)
 
 
-def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, others: str | None = None) -> DataFrame:
-    """(chunk, ids, offsets, body, n_bytes, others): ids and offsets are arrays of 64-bit numbers, a null doc_id the largest.
+def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, others: str | None = None, row: str | None = None) -> DataFrame:
+    """(chunk, ids, uids, offsets, body, n_bytes, others): ids, uids and offsets are arrays of 64-bit numbers.
 
-    ``others`` names a string column that stays with the documents, as an array.
+    A null doc_id is the largest number. ``row`` names a column of numbers that tell the rows
+    apart (uids); without it they are numbered here. ``others`` names a string column that stays
+    with the documents, as an array.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), text_bytes(text).alias("data"), (F.col(others) if others else F.lit(None)).cast("string").alias("others"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), (F.col(row) if row else F.lit(None)).cast("long").alias("uid"), text_bytes(text).alias("data"), (F.col(others) if others else F.lit(None)).cast("string").alias("others"))
 
     def pack(batches):
         from pyspark import TaskContext
@@ -52,15 +53,27 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_b
         for k, batch in enumerate(gathered(batches, "data", chunk_bytes)):
             data, at = binary_view(batch.column("data"))
             ids = batch.column("doc_id").to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([squeeze(at)], pa.binary()), pa.array([squeeze(data, 3)], pa.binary()), pa.array([len(data)], pa.int64()), pa.array([batch.column("others").to_pylist() if others else None], pa.list_(pa.string()))], names=["chunk", "ids", "offsets", "body", "n_bytes", "others"])
+            uids = batch.column("uid").to_numpy() if row else uid_of(part << 32 | k, np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([squeeze(uids.astype(np.int64))], pa.binary()), pa.array([squeeze(at)], pa.binary()), pa.array([squeeze(data, 3)], pa.binary()), pa.array([len(data)], pa.int64()), pa.array([batch.column("others").to_pylist() if others else None], pa.list_(pa.string()))], names=["chunk", "ids", "uids", "offsets", "body", "n_bytes", "others"])
 
-    path, name = f"{shared_dir(spark)}/chunks", f"chunks_{uuid.uuid4().hex}"
+    name = f"chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(tidy(pack), "chunk long, ids binary, offsets binary, body binary, n_bytes long, others array<string>")
-    packed.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "chunk").saveAsTable(name)
+    packed = rows.mapInArrow(tidy(pack), "chunk long, ids binary, uids binary, offsets binary, body binary, n_bytes long, others array<string>")
+    packed.write.option("path", table_path(spark, name)).option("compression", "uncompressed").bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 
 
+def uid_of(chunk: int, place):
+    """The number of a chunk's row: of the partition, the chunk within it (22 bits) and the row within that (20 bits)."""
+    return (chunk >> 32 << 42) + ((chunk & 0xFFFFFFFF) << 20) + place
+
+
+def chunk_of(uid: str):
+    """The chunk of a uid that :func:`uid_of` gave, and its place there."""
+    u = F.col(uid)
+    return F.shiftleft(F.shiftright(u, 42), 32).bitwiseOR(F.shiftright(u, 20).bitwiseAND(F.lit((1 << 22) - 1).cast("long"))), u.bitwiseAND(F.lit((1 << 20) - 1).cast("long")).cast("int")
+
+
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, ids) of a chunk."""
     return expand(row["body"]), expand(row["offsets"], np.int64), np.frombuffer(row["ids"], np.int64)
@@ -89,14 +102,17 @@ def key_counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[at], np.diff(np.append(at, len(key)))
 
 
-def bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
-    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+def by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that hold some of the sorted keys, where each begins, with the end)."""
+    bucket = keys >> np.uint64(64 - bits)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return bucket[at].astype(np.int64), np.append(at, len(keys))
 
 
 def bucket_bits(chunks: DataFrame, bytes_each: int = 2 << 20) -> int:
-    """So many buckets that one has the keys of about ``bytes_each`` of text, 2 at least and 2^20 at most."""
+    """So many buckets that one has the keys of about ``bytes_each`` of text, 2 at least."""
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return int(min(20, max(1, np.ceil(np.log2(max(2, total / bytes_each))))))
+    return int(max(1, np.ceil(np.log2(max(2, total / bytes_each)))))
 
 
 KeysOf = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -113,13 +129,12 @@ def count_classes(chunks: DataFrame, keys_of: KeysOf, bits: int) -> DataFrame:
         for x in rows_of(batches):
             data, at, _ = opened(x)
             keys, n = key_counts(keys_of(data, at)[1])
-            edges = bucket_edges(keys, bits)
-            some = np.flatnonzero(np.diff(edges))
+            some, edges = by_bucket(keys, bits)
             low = (keys << np.uint64(bits) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-            capped = np.minimum(n, 255).astype(np.uint8)
+            counts = n.astype(np.uint32)
             for lo in range(0, len(some), 256):
-                part = some[lo : lo + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x["chunk"]] * len(part), pa.int64()), pa.array([low[edges[b] : edges[b + 1]].tobytes() for b in part], pa.binary()), pa.array([squeeze(capped[edges[b] : edges[b + 1]]) for b in part], pa.binary())], names=["bucket", "chunk", "keys", "counts"])
+                part = range(lo, min(len(some), lo + 256))
+                yield pa.RecordBatch.from_arrays([pa.array(some[part].astype(np.int32)), pa.array([x["chunk"]] * len(part), pa.int64()), pa.array([low[edges[b] : edges[b + 1]].tobytes() for b in part], pa.binary()), pa.array([squeeze(counts[edges[b] : edges[b + 1]]) for b in part], pa.binary())], names=["bucket", "chunk", "keys", "counts"])
 
     def tally(table: pa.Table) -> pa.Table:
         chunk, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
@@ -129,7 +144,7 @@ def count_classes(chunks: DataFrame, keys_of: KeysOf, bits: int) -> DataFrame:
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :KEY_BYTES] = raw
             keys.append(wide.view("<u8").ravel())
-            counts.append(expand(c.as_py()))
+            counts.append(expand(c.as_py(), np.uint32))
             sizes.append(len(raw))
         key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
         order = np.argsort(key, kind="stable")
@@ -149,8 +164,10 @@ def count_classes(chunks: DataFrame, keys_of: KeysOf, bits: int) -> DataFrame:
 
 def classes_of(keys: np.ndarray, parts: list[dict] | None, bits: int) -> np.ndarray:
     """The reply to a chunk, in the order of its sorted distinct keys."""
-    edges, out = bucket_edges(keys, bits), np.zeros(len(keys), np.uint8)
-    for p in parts or []:
-        out[edges[p["bucket"]] : edges[p["bucket"] + 1]] = expand(p["classes"])
+    out = np.zeros(len(keys), np.uint8)
+    begin = np.searchsorted(keys, np.array([p["bucket"] << (64 - bits) for p in parts or []], np.uint64))
+    for p, lo in zip(parts or [], begin, strict=True):
+        got = expand(p["classes"])
+        out[lo : lo + len(got)] = got
     return out
 

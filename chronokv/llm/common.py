@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
+import functools
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ LOWER[65:91] += 32
 #: The bytes 0x20 and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: What a batch of texts handed to Python holds at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,41 +28,104 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor can see.
-
-    Where the setting is absent (tests on one machine), a temporary folder serves; on a
-    cluster that would lose files, so it is refused there.
-    """
+    """A new folder below ``spark.checkpoint.dir``, which every executor can see; without that setting it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{_local_root()}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/chronokv-{uuid.uuid4().hex}"
 
 
-_LOCAL: list[str] = []
+@dataclass
+class Scratch:
+    """A folder and the tables over it."""
+
+    root: str
+    tables: list[str]
+
+
+#: The open scratch folders, the innermost last.
+_OPEN: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is staged within goes to a folder of its own, deleted with its tables at the end.
+
+    Arrow batches are bounded by ``BATCH`` meanwhile; the session's own settings come back at the
+    end. Results that outlive the block are written by :func:`finished`.
+    """
+    here = Scratch(shared_dir(spark), [])
+    before = {k: spark.conf.get(k) for k in BATCH}
+    for k, most in BATCH.items():
+        spark.conf.set(k, str(min(most, int(before[k])) if before[k].isdigit() and int(before[k]) else most))
+    _OPEN.append(here)
+    try:
+        yield here
+    finally:
+        _OPEN.remove(here)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        for name in here.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(here.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """Where a scratch table lies; it is dropped with the innermost scratch folder."""
+    if not _OPEN:
+        return f"{shared_dir(spark)}/{name}"
+    _OPEN[-1].tables.append(name)
+    return f"{_OPEN[-1].root}/{name}"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The innermost scratch folder, or a new shared one."""
+    return _OPEN[-1].root if _OPEN else shared_dir(spark)
 
 
-def _local_root() -> str:
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="chronokv-"))
-    return _LOCAL[0]
+def _written(df: DataFrame, root: str, name: str) -> DataFrame:
+    path = f"{root}/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table.
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the innermost scratch folder, or to a new shared one, and returns the written table.
 
     Cuts the lineage without a single copy on an executor: a lost executor costs nothing that
     was staged. What is not deterministic (partition numbers, say) is fixed by it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, scratch_dir(df.sparkSession), name)
+
+
+def finished(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` beyond the innermost scratch folder and returns the written table."""
+    return _written(df, _OPEN[-2].root if len(_OPEN) > 1 else shared_dir(df.sparkSession), name)
+
+
+def settled(f):
+    """Runs an operator at once in a scratch folder; only its result is left, as a written table."""
+
+    @functools.wraps(f)
+    def run(first: DataFrame, *args, **named) -> DataFrame:
+        with scratch(first.sparkSession):
+            return finished(f(first, *args, **named), f.__name__)
+
+    return run
+
+
+def fresh(name: str, *taken: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    lower = {t.lower() for t in taken}
+    while name in lower:
+        name = f"_{name}"
+    return name
+
+
+def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Broadcasts a staged table of ``rows`` narrow rows at most, counted; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def text_bytes(column: str = "text"):
@@ -88,12 +154,6 @@ def tidy(f, keeps: bool = False):
     return run
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch of texts holds."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def binary_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary array without nulls; the offsets start at 0."""
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int32 if pa.types.is_binary(array.type) or pa.types.is_string(array.type) else np.int64)[array.offset : array.offset + len(array) + 1].astype(np.int64)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chronokv.llm.common import stage
 
+BROADCAST_EDGES = 500_000
+
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
@@ -16,14 +18,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     steps are minima and equi-joins, so no node's neighbours are ever collected.
     """
     state = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before = (state.count(), None)
     for _ in range(rounds):
+        # A table with a row for each node: sent to all tasks while it is small, so that a node with very many edges is no hot key.
+        small = F.broadcast if before[0] <= BROADCAST_EDGES else lambda x: x
         both = state.union(state.select("b", "a"))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        state = stage(small, "edges")
+        star = large.join(small(low), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        state = stage(star, "edges")
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

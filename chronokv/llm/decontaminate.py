@@ -6,10 +6,13 @@ differ in ``radius`` bits or fewer agree in a block at least. Candidates are the
 the exact weighted similarity of their shingles, each weighted by how often it occurs: the sum
 of the smaller weights over the sum of the larger ones.
 
-A similar window shares so many shingles with its item that its length alone gives the least
-number. A running count over the places of shared shingles, which an item of that length holds,
-bounds what each start can reach; fingerprints are made of every window that reaches it, at
-whatever start, so this drops no match.
+Which windows get a fingerprint is decided exactly. A similar window holds all but a fifth of
+its item's shingles, so it holds one of any more than that: the item's rarest among the items.
+Documents are searched for these only. In a document that has one, the places of all of that
+item's shingles are counted; a running count over them bounds what the window at each start can
+share, and every window that can reach the threshold, at whatever start, is fingerprinted. The
+multi-index then compares it with that item, so its work grows with the windows found and not
+with their product with the benchmark. Texts that are equal are looked at once.
 """
 
 from __future__ import annotations
@@ -17,12 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import stage
+from chronokv.llm.common import checked_broadcast, settled, stage
 
 #: At a similarity of 0.8 two fingerprints differ in 9.7 of 64 bits on average, with a deviation
 #: of 2.9; 23 bits are 4.6 deviations above.
 RADIUS = 23
-BROADCAST_ROWS = 500_000
 
 
 def words(text: str | Column) -> Column:
@@ -31,13 +33,6 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(column.cast("string"), F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def shingles(words_column: str, width: int) -> Column:
-    """The hash of every ``width`` successive words, in order; empty where there are fewer words."""
-    w = F.col(words_column)
-    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
-    return F.when(F.size(w) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
-
-
 def fingerprint(bits_of: str) -> Column:
     """An aggregate: the SimHash of a group's shingle hashes, each row counting once."""
     h, out = F.col(bits_of), F.lit(0).cast("long")
@@ -53,92 +48,123 @@ def blocks(of: str, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(of, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("value")) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts a staged table of ``rows`` rows at most; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def tagged_shingles(words_column: str, widths: list[int]) -> Column:
+    """(width, p, h) of all shingles of the given widths, in one array."""
+    w = F.col(words_column)
+
+    def of(k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(F.lit(k).alias("width"), i.alias("p"), F.xxhash64(*[F.get(w, i + j) for j in range(k)]).alias("h")))
+        return F.when(F.size(w) >= k, each).otherwise(F.array().cast("array<struct<width:int,p:int,h:bigint>>"))
+
+    return F.concat(*[of(k) for k in widths])
+
+
+def rarest(counts: DataFrame, percent: int) -> DataFrame:
+    """(width, h, item): of every item so many of its rarest shingles that a similar window has one of them.
+
+    ``counts``: (item, width, total, h, e), e the shingle's count in the item. A window that
+    reaches the threshold shares ``percent`` of the item's shingles or more, repeats counted.
+    """
+    among = counts.groupBy("width", "h").agg(F.count("*").alias("items"))
+    order = Window.partitionBy("item").orderBy("items", "h")
+    spare = F.col("total") - F.ceil(F.lit(percent) * F.col("total") / 100)
+    ranked = counts.join(among, ["width", "h"]).withColumn("before", F.sum("e").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("e"))
+    return ranked.where(F.col("before") <= spare).select("width", "h", "item")
 
 
 def reachable(places: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, key, n, width, at): every start whose window can be similar to an item of ``n`` words.
+    """(text_key, item, n, width, at): every start whose window can be similar to the item of ``n`` words.
 
-    ``places``: (doc_id, key, size, n, width, p), once each, where a document has a shingle of
-    such an item. A place counts for the starts of the windows around it; the count is at least
-    what the window shares with any one item. It changes at the first start of a place and after
-    its last, so it is summed over these and not over starts.
+    ``places``: (text_key, item, size, n, width, p), once each, where a text has a shingle of the
+    item. A place counts for the starts of the windows around it; the count is at least what the
+    window shares with the item. It changes at the first start of a place and after its last, so
+    it is summed over these and not over starts.
     """
     span = F.least("n", "size") - F.col("width")
     first, last = F.greatest(F.lit(0), F.col("p") - span), F.least(F.col("p"), F.greatest(F.lit(0), F.col("size") - F.col("n")))
     changes = places.select("*", F.explode(F.array(F.struct(first.alias("at"), F.lit(1).alias("by")), F.struct((last + 1).alias("at"), F.lit(-1).alias("by")))).alias("c"))
-    window = Window.partitionBy("doc_id", "key", "size", "n", "width").orderBy("at")
-    summed = changes.groupBy("doc_id", "key", "size", "n", "width", F.col("c.at").alias("at")).agg(F.sum("c.by").alias("by"))
+    pair = ["text_key", "item", "size", "n", "width"]
+    window = Window.partitionBy(*pair).orderBy("at")
+    summed = changes.groupBy(*pair, F.col("c.at").alias("at")).agg(F.sum("c.by").alias("by"))
     counted = summed.select("*", F.sum("by").over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("most"), F.lead("at").over(window).alias("next"))
     total = F.col("n") - F.col("width") + 1 + span + 1
     enough = counted.where((F.col("most") > 0) & ((100 + percent) * F.col("most") >= percent * total))
-    return enough.select("doc_id", "key", "n", "width", F.explode(F.sequence("at", F.col("next") - 1)).alias("at"))
+    return enough.select("text_key", "item", "n", "width", F.explode(F.sequence("at", F.col("next") - 1)).alias("at"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, similarity): every item that a document holds a window of, with the best similarity.
+def text_key(text: str | Column) -> Column:
+    """128 bits that stand for a text; a null is an empty one."""
+    body = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(body).alias("a"), F.xxhash64(body, F.lit(1)).alias("b"))
 
-    Items of fewer than ``width`` words are compared by a single shingle of all of them; empty
-    items match nothing. A null text is an empty one. Rows with equal doc_id and text count as
-    one, rows with equal doc_id and other texts are judged apart and reported once; a null
-    doc_id is reported as null. Other columns are ignored.
+
+def similar_texts(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS, text: str = "text", item_id: str = "item_id", prints: list | None = None) -> DataFrame:
+    """(text_key, item_id, similarity): each distinct text and each item that it holds a similar window of.
+
+    ``prints`` collects the written tables of fingerprints and of candidates, for measurements.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(text).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    kind = benchmark.schema[item_id].dataType
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), words(text).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     items = stage(items.withColumn("width", F.least(F.lit(width), F.col("n"))), "items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # ``width`` values at most
     if not widths:
-        return docs.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), F.lit(0.0).alias("similarity")).where("false")
-
-    def by_width(column: str) -> Column:
-        out = F.array().cast("array<bigint>")
-        for k in reversed(widths):
-            out = F.when(F.col("width") == k, shingles(column, k)).otherwise(out)
-        return out
-
-    item_shingles = stage(items.withColumn("s", by_width("w")).select("item_id", "n", "width", F.posexplode("s").alias("k", "h")), "item-shingles")
-    text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of.alias("text")).withColumn("key", F.xxhash64("text"))
-
-    known = checked_broadcast(stage(item_shingles.select("n", "width", "h").distinct(), "known"))
-    places = None
-    for k in widths:
-        each = rows.select("doc_id", "key", words("text").alias("w")).select("doc_id", "key", F.size("w").alias("size"), F.posexplode(shingles("w", k)).alias("p", "h"))
-        hits = each.join(known.where(F.col("width") == k), "h").select("doc_id", "key", "size", "n", "width", "p").distinct()
-        places = hits if places is None else places.union(hits)
+        return docs.select(text_key(text).alias("text_key"), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("similarity")).where("false")
+    item_shingles = stage(items.select("item", "item_id", "n", F.explode(F.filter(tagged_shingles("w", widths), lambda s: s["width"] == F.col("width"))).alias("s")).select("item", "item_id", "n", "s.width", "s.h"), "item-shingles")
+    counts = stage(item_shingles.groupBy("item", "n", "width", "h").agg(F.count("*").alias("e")).withColumn("total", F.col("n") - F.col("width") + 1), "item-counts")
+    known = checked_broadcast(stage(rarest(counts, percent), "rarest"))
+
+    rows = docs.select(text_key(text).alias("text_key"), words(text).alias("w"))
+    found = rows.select("text_key", F.explode(tagged_shingles("w", widths)).alias("s")).select("text_key", "s.width", "s.h").join(known, ["width", "h"])
+    pairs = stage(found.select("text_key", "item").distinct(), "pairs")
+    # Only texts with such pairs are read again, each once.
+    wanted = checked_broadcast(stage(pairs.select("text_key").distinct(), "texts"))
+    again = stage(rows.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]), "again")
+    told = pairs.join(checked_broadcast(counts), "item").select("text_key", "item", "n", "width", "h")
+    each = again.select("text_key", F.size("w").alias("size"), F.explode(tagged_shingles("w", widths)).alias("s")).select("text_key", "size", "s.*")
+    places = each.join(told, ["text_key", "width", "h"]).select("text_key", "item", "size", "n", "width", "p")
     windows = stage(reachable(places, percent), "windows")
+    window = ["text_key", "item", "at"]
 
-    # Only documents with such windows are read again.
-    wanted = stage(windows.select("doc_id", "key").distinct(), "documents")
-    again = rows.join(checked_broadcast(wanted), rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["key"] == wanted["key"]), "left_semi").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", words("text").alias("w"))
-    theirs = windows.select(F.col("doc_id").alias("d"), F.col("key").alias("x"), "n", "width", "at")
-    placed = again.join(theirs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("x"))).select("doc_id", "key", "n", "width", "at", F.slice("w", F.col("at") + 1, F.col("n")).alias("w"))
-    inside = stage(placed.select("doc_id", "key", "n", "width", "at", F.explode(by_width("w")).alias("h")), "window-shingles")
-    window = ["doc_id", "key", "n", "width", "at"]
-
+    placed = windows.join(again, "text_key").select(*window, "width", F.slice("w", F.col("at") + 1, F.col("n")).alias("w"))
+    inside = stage(placed.select(*window, F.explode(F.filter(tagged_shingles("w", widths), lambda s: s["width"] == F.col("width"))).alias("s")).select(*window, "s.h"), "window-shingles")
     print_of = stage(inside.groupBy(*window).agg(fingerprint("h").alias("f"), F.count("*").alias("total")), "window-prints")
-    item_print = stage(item_shingles.groupBy("item_id", "n").agg(fingerprint("h").alias("g"), F.count("*").alias("item_total")), "item-prints")
+    item_print = stage(item_shingles.groupBy("item", "item_id").agg(fingerprint("h").alias("g"), F.count("*").alias("item_total")), "item-prints")
     left = print_of.select(*window, "f", "total", F.explode(blocks("f", radius)).alias("b")).select("*", "b.*").drop("b")
-    right = item_print.select("item_id", "n", "g", "item_total", F.explode(blocks("g", radius)).alias("b")).select("*", "b.*").drop("b")
-    near = left.join(checked_broadcast(right), ["n", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
+    right = item_print.select("item", "item_id", "g", "item_total", F.explode(blocks("g", radius)).alias("b")).select("*", "b.*").drop("b")
+    near = left.join(checked_broadcast(right), ["item", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
     candidates = near.select(*window, "total", "item_id", "item_total").distinct()
+    if prints is not None:
+        prints += [print_of, stage(candidates, "candidates")]
+
+    own = inside.groupBy(*window, "h").agg(F.count("*").alias("c"))
+    shared = candidates.join(own, window).join(checked_broadcast(counts.select("item", "h", "e")), ["item", "h"]).groupBy(*window, "item_id", "total", "item_total").agg(F.sum(F.least("c", "e")).alias("o"))
+    union = F.col("total") + F.col("item_total") - F.col("o")
+    return stage(shared.where(100 * F.col("o") >= percent * union).groupBy("text_key", "item_id").agg(F.round(F.max(F.col("o") / union), 6).alias("similarity")), "similar")
+
 
-    own = inside.groupBy(*window, "h").agg(F.count("*").alias("c")).select(F.col("doc_id").alias("d"), F.col("key").alias("x"), F.col("n").alias("m"), F.col("at").alias("y"), "h", "c")
-    counted = checked_broadcast(stage(item_shingles.groupBy("item_id", "h").agg(F.count("*").alias("e")), "item-counts"))
-    both = candidates.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("x")) & (F.col("n") == F.col("m")) & (F.col("at") == F.col("y"))).join(counted, ["item_id", "h"])
-    shared = both.groupBy(*window, "item_id").agg(F.sum(F.least("c", "e")).alias("o"), F.first("total").alias("total"), F.first("item_total").alias("item_total"))
-    similar = shared.where(100 * F.col("o") >= percent * (F.col("total") + F.col("item_total") - F.col("o")))
-    return similar.groupBy("doc_id", "item_id").agg(F.round(F.max(F.col("o") / (F.col("total") + F.col("item_total") - F.col("o"))), 6).alias("similarity"))
+@settled
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """(doc_id, item_id, similarity): every item that a document holds a window of, with the best similarity.
+
+    Items of fewer than ``width`` words are compared by a single shingle of all of them; empty
+    items match nothing. Items with one item_id are judged apart and reported once. A null text is
+    an empty one. Rows with one doc_id are judged apart and reported once; a null doc_id is
+    reported as null. Other columns are ignored. Texts are told apart by 128 bits of hashes.
+    """
+    similar = similar_texts(docs, benchmark, width, percent, radius, text, item_id)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"))
+    return rows.join(checked_broadcast(similar), "text_key").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
+@settled
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that hold no window similar to an item, with all their columns.
+    """The rows whose text holds no window similar to an item, with all their columns.
 
-    A row without a doc_id stays if no row without one holds such a window.
+    Rows are removed and not identifiers: a clean row stays whatever other rows its doc_id has,
+    and so does one without a doc_id.
     """
-    found = stage(contaminated(docs, benchmark, width, percent).select("doc_id").distinct(), "found")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(*docs.columns)
+    found = stage(similar_texts(docs, benchmark, width, percent).select("text_key").distinct(), "found")
+    return docs.join(checked_broadcast(found), text_key("text") == found["text_key"], "left_anti")
 
 
 #: Every window against every item that shares a shingle with it.

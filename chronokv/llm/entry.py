@@ -19,7 +19,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90).drop("uid")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90).drop("uid", "first_uid")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

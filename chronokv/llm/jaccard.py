@@ -8,9 +8,12 @@ threshold has no partner and goes no further. Equal sets are represented by one
 Two linked sets share one of their rarest shingles (the prefix filter), so the components of
 "shares a rare shingle" are blocks that no link leaves. A block's sets are stored in a trie and
 joined by one walk over it: documents with a common path share the overlaps counted along it,
-and a subtree is entered only while the remaining length still allows a link to a set that is
-not connected yet. Large blocks are split and their parts joined in pairs; what the first parts
+and a whole subtree is skipped when the largest remaining length and the smallest set below it
+allow no link to a set that is not connected with all of it yet. Large blocks are split and their parts joined in pairs; what the first parts
 have connected is not compared again, and what they have not is compared with everything.
+
+Shingles are compared by 56 bits of a 64-bit hash within one class of document counts, never by
+their text; two different shingles of one pair of sets agree with a chance of about 1e-11.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, key_counts, opened, rows_of
-from chronokv.llm.common import LOWER, shingle_hashes, stage, tidy
+from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, rows_of
+from chronokv.llm.common import LOWER, checked_broadcast, fresh, settled, shingle_hashes, stage, tidy
 from chronokv.llm.components import components
 
 PART = 512  # documents in a part of a split block
@@ -37,12 +40,13 @@ def _keys(width: int):
     return keys_of
 
 
-def sets(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sets(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(uid, doc_id, n, signature, tokens): tokens are null where no other set can reach the threshold.
 
-    ``uid`` numbers the rows; ``tokens`` are the kept shingles as ordered 64-bit numbers.
+    ``uid`` numbers the rows (by ``row``, if given); ``tokens`` are the kept shingles as ordered
+    64-bit numbers.
     """
-    chunks = chunked(docs, doc_id, text)
+    chunks = chunked(docs, doc_id, text, row=row)
     bits = bucket_bits(chunks)
     shared = count_classes(chunks, _keys(width), bits)
 
@@ -67,10 +71,9 @@ def sets(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text
                 else:
                     out.append(None)
                     signature.append(None)
-            uid = (x["chunk"] >> 32 << 42) + ((x["chunk"] & 0xFFFFFFFF) << 20) + np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, mask=ids == NULL_ID), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(out, pa.binary())], names=["uid", "doc_id", "n", "signature", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(expand(x["uids"], np.int64)), pa.array(ids, mask=ids == NULL_ID), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(out, pa.binary())], names=["uid", "doc_id", "n", "signature", "tokens"])
 
-    joined = chunks.join(shared.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offsets", "body", "parts")
+    joined = chunks.join(shared.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "uids", "offsets", "body", "parts")
     return stage(joined.mapInArrow(tidy(build), "uid long, doc_id long, n long, signature binary, tokens binary"), "sets")
 
 
@@ -92,15 +95,18 @@ def rare_tokens(representatives: DataFrame, percent: int) -> DataFrame:
     return representatives.select("uid", "n", "tokens").mapInArrow(tidy(cut), "token long, uid long")
 
 
-def trie_join(n: np.ndarray, tokens: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> np.ndarray:
+def trie_join(n: np.ndarray, tokens: list[np.ndarray], percent: int, left: np.ndarray | None = None, visited: list[int] | None = None) -> np.ndarray:
     """For each set the smallest index that it is connected with through links.
 
     ``left`` marks the sets of which pairs are wanted (a pair needs one of them; default all).
-    Two sets link if 100 * overlap >= percent * (n1 + n2 - overlap).
+    Two sets link if 100 * overlap >= percent * (n1 + n2 - overlap). ``visited`` collects the
+    number of sets below each node that was entered.
     """
     size = len(n)
+    if not size:
+        return np.zeros(0, np.int64)
     wanted = np.ones(size, dtype=bool) if left is None else left
-    flat = np.concatenate(tokens) if size else np.zeros(0, np.uint64)
+    flat = np.concatenate(tokens)
     of = np.repeat(np.arange(size), [len(t) for t in tokens])
     order = np.lexsort((of, flat))
     head = np.concatenate([[True], flat[order][1:] != flat[order][:-1]]) if len(flat) else np.zeros(0, bool)
@@ -111,7 +117,13 @@ def trie_join(n: np.ndarray, tokens: list[np.ndarray], percent: int, left: np.nd
     at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
     path = [code[at[i] : at[i + 1]] for i in range(size)]
     length = np.diff(at)
-    walk = sorted(range(size), key=lambda i: path[i].astype(">i8").tobytes())
+    walk = np.array(sorted(range(size), key=lambda i: path[i].astype(">i8").tobytes()))
+    shared = np.zeros(size + 1, np.int64)  # how far a path follows the one before it
+    for k in range(1, size):
+        a, b = path[walk[k - 1]], path[walk[k]]
+        m = min(len(a), len(b))
+        differ = np.flatnonzero(a[:m] != b[:m])
+        shared[k] = differ[0] if len(differ) else m
     component = np.arange(size)
 
     def extended(overlap: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -122,39 +134,32 @@ def trie_join(n: np.ndarray, tokens: list[np.ndarray], percent: int, left: np.nd
         rows = posting[np.repeat(posting_at[part] - (ends - count), count) + np.arange(ends[-1])]
         return overlap + np.bincount(rows, minlength=size)
 
-    stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(size, np.int64))]  # (depth, overlaps of all sets with the path)
-    for k, i in enumerate(walk):
-        depth = 0
-        if k:
-            a, b = path[walk[k - 1]], path[i]
-            m = min(len(a), len(b))
-            differ = np.flatnonzero(a[:m] != b[:m])
-            depth = int(differ[0]) if len(differ) else m
-        while stack[-1][0] > depth:
-            stack.pop()
-        top, overlap = stack[-1]
-        rest = length[i] - top
+    # A node: the paths walk[lo:hi] with `top` tokens in common, and the overlaps of all sets with these tokens.
+    nodes: list[tuple[int, int, int, np.ndarray]] = [(0, size, 0, np.zeros(size, np.int64))]
+    while nodes:
+        lo, hi, top, overlap = nodes.pop()
+        below = walk[lo:hi]
+        rest = int(length[below].max()) - top
         most = overlap + np.minimum(rest, length - overlap)
-        open_ = (component != component[i]) & ((100 + percent) * most >= percent * (n[i] + n))
-        if not wanted[i]:
+        open_ = (100 + percent) * most >= percent * (int(n[below].min()) + n)
+        first = component[below[0]]
+        if (component[below] == first).all():
+            open_ &= component != first
+        if not wanted[below].any():
             open_ &= wanted
         if not open_.any():
             continue
-        if depth > top:  # the node at which this path leaves the last one
-            overlap = extended(overlap, path[i][top:depth])
-            stack.append((depth, overlap))
-        after = walk[k + 1] if k + 1 < size else None
-        branch = depth
-        if after is not None:
-            m = min(length[i], length[after])
-            differ = np.flatnonzero(path[i][:m] != path[after][:m])
-            branch = int(differ[0]) if len(differ) else int(m)
-        if branch > depth:  # the node at which the next path leaves this one
-            overlap = extended(overlap, path[i][depth:branch])
-            stack.append((branch, overlap))
-            depth = branch
-        whole = extended(overlap, path[i][depth:])
-        linked = (component != component[i]) & ((100 + percent) * whole >= percent * (n[i] + n))
+        if visited is not None:
+            visited.append(hi - lo)
+        if hi - lo > 1:
+            depth = int(shared[lo + 1 : hi].min())
+            overlap = extended(overlap, path[below[0]][top:depth])
+            edges = np.concatenate([[lo], lo + 1 + np.flatnonzero(shared[lo + 1 : hi] == depth), [hi]])
+            nodes += [(int(a), int(b), depth, overlap) for a, b in zip(edges[:-1], edges[1:], strict=True)][::-1]
+            continue
+        i = int(below[0])
+        whole = extended(overlap, path[i][top:])
+        linked = (component != first) & ((100 + percent) * whole >= percent * (n[i] + n))
         if not wanted[i]:
             linked &= wanted
         if linked.any():
@@ -185,9 +190,10 @@ def links(representatives: DataFrame, percent: int, part: int = PART) -> DataFra
     """
     rare = stage(rare_tokens(representatives, percent), "rare")
     hub = rare.groupBy("token").agg(F.min("uid").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
-    near = rare.join(hub, "token").where("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
-    block = components(near)
-    placed = block.join(block.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "uid")
+    near = rare.join(checked_broadcast(stage(hub, "hubs")), "token").where("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
+    block = stage(components(near), "blocks")
+    sizes = checked_broadcast(stage(block.groupBy("component").agg(F.count("*").alias("size")), "sizes"))
+    placed = block.join(sizes, "component").withColumnRenamed("node", "uid")
     parts = F.ceil(F.col("size") / part).cast("int")
     dealt = placed.select("uid", F.col("component").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"))
     members = stage(representatives.select("uid", "n", "tokens").join(dealt, "uid"), "members")
@@ -204,10 +210,11 @@ def links(representatives: DataFrame, percent: int, part: int = PART) -> DataFra
     split = members.where("parts > 1").select("uid", "block", "parts", "part")
     now = split.join(components(found).withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     largest = now.groupBy("block", "component").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    outside = stage(now.join(largest, "block").where("component <> largest").select("uid", "block", "parts", "part"), "outside")
+    outside = stage(now.join(checked_broadcast(stage(largest, "largest")), "block").where("component <> largest").select("uid", "block", "parts", "part"), "outside")
     if not outside.limit(1).count():
         return found
-    lonely = outside.groupBy("block").agg(F.count("*").alias("lonely")).withColumn("groups", F.ceil(F.col("lonely") / part).cast("int")).drop("lonely")
+    lonely = stage(outside.groupBy("block").agg(F.count("*").alias("lonely")).withColumn("groups", F.ceil(F.col("lonely") / part).cast("int")).drop("lonely"), "lonely")
+    lonely = checked_broadcast(lonely)
     group = F.pmod(F.xxhash64("uid", F.lit(5)), F.col("groups")).cast("int")
     body = members.select("uid", "n", "tokens", "block", "parts", "part")
     seekers = body.join(outside.select("uid"), "uid").join(lonely, "block").select("block", group.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "uid", "n", "tokens", F.lit(True).alias("wanted"))
@@ -215,29 +222,41 @@ def links(representatives: DataFrame, percent: int, part: int = PART) -> DataFra
     return found.union(stage(run(seekers.union(sought)), "links"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: uid, doc_id, n_shingles, component_id.
+@settled
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """A row per document: uid, doc_id, n_shingles, component_id, first_uid.
 
     ``component_id`` is the smallest doc_id reachable by links of ``percent`` or more, the
-    document's own included. A null or empty text has no shingles and no links. Null doc_ids are
-    ignored in a component's minimum, which is null where it has no others; repeated doc_ids are
-    documents of their own. An empty table gives no rows; other columns are ignored.
+    document's own included; ``first_uid`` is the row that has it (of several the one with the
+    smallest uid). A null or empty text has no shingles and no links. Null doc_ids are ignored in
+    a component's minimum, which is null where it has no others; repeated doc_ids are documents
+    of their own. An empty table gives no rows; other columns are ignored.
     """
-    all_sets = sets(docs, width, percent, doc_id, text)
+    all_sets = sets(docs, width, percent, doc_id, text, row)
     alive = all_sets.where("tokens is not null")
-    same = alive.groupBy("signature").agg(F.min("uid").alias("uid"))
+    same = stage(alive.groupBy("signature").agg(F.min("uid").alias("uid"), F.count("*").alias("k"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")), "classes")
     representatives = stage(alive.join(same, ["signature", "uid"], "left_semi").select("uid", "signature", "n", "tokens"), "representatives")
-    linked = components(links(representatives, percent))
-    classes = same.join(linked.withColumnRenamed("node", "uid"), "uid", "left").select("signature", F.coalesce("component", "uid").alias("class"))
-    members = all_sets.drop("tokens").join(classes, "signature", "left").select("uid", "doc_id", "n", F.coalesce("class", "uid").alias("class"))
-    smallest = members.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return members.join(smallest, "class").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-
-
+    linked = components(links(representatives, percent)).withColumnRenamed("node", "uid")
+    classes = same.join(linked, "uid", "left").where("k > 1 or component is not null").select("signature", "first", F.coalesce("component", "uid").alias("class"))
+    classes = stage(classes, "shared-classes")
+    least = checked_broadcast(stage(classes.groupBy("class").agg(F.min("first").alias("least")), "least"))
+    # Sets of their own never meet the joins below; the rest find their class by a table that is sent to all tasks while it is small.
+    grouped = checked_broadcast(stage(classes.join(least, "class").select("signature", "least"), "grouped"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    lone = all_sets.where("tokens is null").select("uid", "doc_id", "n", own.alias("least"))
+    found = alive.join(grouped, "signature", "left").select("uid", "doc_id", "n", F.coalesce("least", own).alias("least"))
+    return lone.unionByName(found).select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("first_uid"))
+
+
+@settled
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that a smaller doc_id of their component stands for.
+    """Of the rows of every component the one with the smallest doc_id, with all its columns.
 
-    Of a component's rows that share its smallest doc_id all stay, as do rows without a doc_id.
+    Rows are removed, not identifiers: other rows with a removed row's doc_id, or without one,
+    stay if they stand for themselves. Of rows that share a component's smallest doc_id, and of
+    a component's rows if none has a doc_id, one stays.
     """
-    found = jaccard_components(docs, width, percent).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    row = fresh("row", *docs.columns)
+    held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    gone = jaccard_components(held, width, percent, row=row).where("uid <> first_uid").select(F.col("uid").alias(row))
+    return held.join(checked_broadcast(gone), row, "left_anti").select(*docs.columns)

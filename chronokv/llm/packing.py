@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, small_batches, stage, text_bytes, tidy
+from chronokv.llm.common import binary_view, checked_broadcast, gathered, settled, stage, text_bytes, tidy
 from chronokv.llm.tokens import encoder, vocabulary
 
 
@@ -87,7 +87,6 @@ def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str | None, doc_
     ``nth`` counts the pieces of equal length within the part, which is fixed by the staging.
     """
     path = tokenizer or vocabulary("byte_bpe_50k.json")
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("data"))
 
     def cut(batches):
@@ -118,6 +117,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str | None, doc_
     return stage(rows.mapInArrow(tidy(cut, keeps=True), "part int, doc_id long, doc_tokens long, start long, length long, nth long, ids binary, ids_crc32 long"), "pieces")
 
 
+@settled
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Packs documents into sequences of ``capacity`` tokens at most.
 
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, do
     table = slots(plan(histogram, capacity))
     # A row for each part and length: a piece's rank among all of its length.
     before = counts.select("part", F.col("length"), (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = all_pieces.join(before, ["part", "length"])
+    ranked = all_pieces.join(checked_broadcast(stage(before, "before")), ["part", "length"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import stage
+from chronokv.llm.common import settled, stage
 from chronokv.llm.textstats import NAMES, held_out, labelled_sample, with_statistics
 
 
@@ -96,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return RuleEnsemble(float(model.intercept), [(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6])
 
 
+@settled
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted. Only the text is scored.
 

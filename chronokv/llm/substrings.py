@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, rows_of, squeeze
-from chronokv.llm.common import mix, tidy, words8
+from chronokv.llm.common import mix, settled, tidy, words8
 
 LENGTH = 50
 KGRAM = 26
@@ -375,6 +375,7 @@ def _kept(chunks: DataFrame, marks: DataFrame, length: int):
     return joined.mapInArrow(tidy(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, others string, left string")
 
 
+@settled
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text", hot_class: int = HOT) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), kept_sha256.
 
@@ -387,6 +388,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, do
     return _kept(chunks, mark_repeats(chunks, length, kgram, hot_class), length).drop("others", "left")
 
 
+@settled
 def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all its columns, the repeated passages cut out of the text.
 

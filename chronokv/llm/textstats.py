@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from chronokv.llm.common import LOWER, binary_view, gathered, small_batches, text_bytes, tidy, word_hashes, word_spans
+from chronokv.llm.common import LOWER, binary_view, gathered, text_bytes, tidy, word_hashes, word_spans
 
 NAMES = [
     "log_bytes", "log_words", "word_length", "upper", "digit", "mark", "symbol", "pipe", "exclaim", "foreign",
@@ -164,7 +164,6 @@ def statistics(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.nd
 
 def with_statistics(docs: DataFrame, weights: dict[str, float] | None = None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``stats`` (array of NAMES) of every row; the text itself is dropped."""
-    small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     rows = docs.select(*keep, text_bytes(text).alias("_data"))
     schema = StructType([*rows.schema.fields[:-1], StructField("stats", ArrayType(DoubleType()))])

@@ -9,6 +9,7 @@ out of a text first, before it folds the case of the rest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,6 +29,18 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: (pre-tokenizer, normalizer) of the files that the cuts hold for.
+CUTTABLE = [
+    (_BYTES | {"use_regex": True}, None),
+    (
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, _BYTES | {"use_regex": False}]},
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    ),
+]
+
+
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
 _LEAD = np.zeros(256, dtype=bool)  # of two-byte characters from U+00C0, none of them a space
@@ -70,7 +83,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, kept: list[tuple[int, int]] = ()
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the ids of at most ``2 * keep`` pieces."""
+    """Encodes batches of texts, in pieces where that is safe; keeps the ids of at most ``2 * keep`` pieces."""
 
     def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,7 +91,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
+        spec = json.loads(self.tokenizer.to_str())
+        self.cuttable = (spec["pre_tokenizer"], spec["normalizer"]) in CUTTABLE
+        self.folds = self.cuttable and spec["normalizer"] is not None
         self.keep, self.young, self.old = keep, {}, {}
 
     def ids(self, values: list[bytes]) -> list[bytes]:
@@ -107,7 +122,7 @@ class Encoder:
         spans = whole(data, offsets, self.added)
         if self.folds:
             data = LOWER[data]
-        at = cuts(data, offsets, spans)
+        at = cuts(data, offsets, spans) if self.cuttable else np.unique(np.concatenate([[0], offsets]))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
         kinds = self.ids(coded.dictionary.to_pylist())

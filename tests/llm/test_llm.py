@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -72,6 +73,29 @@ def test_added_tokens_have_the_ids_of_the_library(spark, name):
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in sstable.token_shards(docs, path).collect()} == crc
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    pair = {x: k for k, x in enumerate("abcd ef")} | {"a ": 7, "a b": 8}
+    path = str(tmp_path / "plain.json")
+    Tokenizer(models.BPE(pair, [("a", " "), ("a ", "b")])).save(path)
+    text = b"a ba b"
+    ids, _ = tokens.Encoder(path).encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == [*Tokenizer.from_file(path).encode(text.decode(), add_special_tokens=False).ids, 1]
+    assert all(tokens.Encoder(tokens.vocabulary(n)).cuttable for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+
+
+def test_nothing_staged_is_left(spark, docs):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    count = lambda: len(list(root.iterdir())) if root.exists() else 0
+    folders, tables = count(), len(spark.catalog.listTables())
+    out = substrings.remove_repeats(docs), jaccard.one_of_each(docs), packing.pack(docs)
+    assert count() == folders + 3  # the results
+    assert len(spark.catalog.listTables()) == tables and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert all(x.count() for x in out)
+
+
 # 1
 
 
@@ -216,9 +240,36 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_one_of_each_keeps_the_smallest(spark):
-    rows = [(5, "a b c d e f g h"), (3, "a b c d e f g h"), (9, "A b c d e f g h"), (4, "quite another text of some words"), (None, "a b c d e f g h"), (6, None)]
-    assert sorted(sid(r.doc_id) for r in jaccard.one_of_each(brute.frame(spark, rows)).collect()) == [-1, 3, 4, 6]
+def test_one_of_each_removes_rows_and_not_identifiers(spark):
+    same, other = "a b c d e f g h", "quite another text of some words"
+    rows = [(5, same), (3, same), (9, same.upper()), (4, other), (None, same), (6, None), (3, "z y x w v u"), (None, "k l m n o p q"), (None, "k l m n o p q"), (4, other)]
+    left = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(brute.frame(spark, rows).repartition(3)).collect())
+    assert left == Counter([(3, same), (4, other), (6, None), (3, "z y x w v u"), (None, "k l m n o p q")])
+    rows = [(1, "A a a a a a"), (2, "A a a a a a"), (2, "B b c d e f"), (None, "B z c d e f"), (None, "other words here that stand alone")]
+    assert {(r.doc_id, r.text) for r in jaccard.one_of_each(brute.frame(spark, rows)).collect()} == {rows[0], *rows[2:]}
+
+
+def test_subtrees_are_skipped_whole():
+    r = np.random.default_rng(2)
+    # Two families with long common beginnings: sets of one never link with those of the other, nor short ones with long ones.
+    tokens, n = [], []
+    for family, size in ((0, 40), (1000, 200)):
+        for k in range(30):
+            own = np.sort(r.choice(20, 2, replace=False)) + 5000 * (k + 1) + family
+            tokens.append(np.concatenate([np.arange(size) + family, own]).astype(np.uint64))
+            n.append(size + 2 if k % 2 else 3 * size)
+    visited: list[int] = []
+    got = jaccard.trie_join(np.array(n), tokens, 90, visited=visited)
+    sets, want = [set(t.tolist()) for t in tokens], list(range(60))
+    for a in range(60):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if 100 * o >= 90 * (n[a] + n[b] - o):
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    assert got.tolist() == want
+    everything: list[int] = []
+    jaccard.trie_join(np.array(n), tokens, 1, visited=everything)
+    assert len(visited) < 60 < len(everything) + 60 and visited.count(1) < 60
 
 
 # 4
@@ -333,16 +384,36 @@ def test_shards_round_trip(spark, docs, rows, empty):
 def test_lookup_by_block():
     w = sstable.Writer(block=256)
     for k in range(500):
-        w.add(sstable.key_of(3 * k - 700, 0), np.arange(k % 9, dtype=np.uint32))
-    r = sstable.Reader(w.finish())
+        w.add(sstable.key_of(3 * k - 700, k), np.arange(k % 9, dtype=np.uint32))
+    r = sstable.Reader(pa.BufferReader(w.finish()))
     assert r.blocks > 10
-    assert all(r.get(3 * k - 700).tolist() == list(range(k % 9)) for k in range(500))
-    assert r.get(1) is None and r.get(10**9) is None and r.get(None) is None
+    for k in range(500):
+        before = r.blocks_read
+        assert [ids.tolist() for _, ids in r.find(3 * k - 700)] == [list(range(k % 9))]
+        assert r.blocks_read - before <= 2
+    assert not [x for i in (1, 10**9, None) for x in r.find(i)]
     with pytest.raises(ValueError):
         w2 = sstable.Writer()
         w2.add(b"b", np.zeros(1)), w2.add(b"a", np.zeros(1))
 
 
+def test_lookup_over_shards(spark, rows):
+    from tokenizers import Tokenizer
+
+    repeated = [*rows, *[(20, f"again {k} " * 30) for k in range(40)]]
+    fresh = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    ids = lambda t: (*fresh.encode(t or "", add_special_tokens=False).ids, 1)
+    with common.scratch(spark) as here:
+        manifest = sstable.write_shards(brute.frame(spark, repeated), f"{here.root}/shards", shard_bytes=800, block=300)
+        assert manifest.count() > 10
+        wanted = [20, None, 12, 10**12, 0]
+        got = Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in sstable.lookup(manifest, wanted).collect())
+        assert got == Counter((i, ids(t)) for i, t in repeated if i in wanted)
+        assert sstable.lookup(manifest, []).count() == 0
+        starts = [r.base for r in sstable.bases(manifest).join(manifest, "uri").orderBy("part", "shard").collect()]
+        assert starts == np.concatenate([[0], np.cumsum([r.n_ids for r in manifest.orderBy("part", "shard").collect()])])[:-1].tolist()
+
+
 # 8
 
 
@@ -370,9 +441,45 @@ def test_windows_equal_brute_force(spark):
     got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(brute.frame(spark, rows), benchmark).collect()}
     want = brute.contaminated(rows, items)
     assert got == want and len(want) > 30
+    texts = {(i, t) for i, t in rows if not brute.contaminated([(0, t)], items)}
+    rows.append((3, "clean words that no item has"))
     left = decontaminate.uncontaminated(brute.frame(spark, rows), benchmark)
-    hit = {i for i, _ in want}
-    assert Counter(x.doc_id for x in left.collect()) == Counter(i for i, _ in rows if i not in hit)
+    assert left.columns == brute.frame(spark, rows).columns
+    assert Counter((x.doc_id, x.text) for x in left.collect()) == Counter(r for r in rows if r in texts or r == rows[-1])
+
+
+def test_recall_near_the_threshold(spark):
+    """Of windows edited to a similarity just above the threshold the multi-index loses none."""
+    import random
+
+    r = random.Random(11)
+    items = [(j, " ".join(f"i{j}w{r.randrange(900)}" for _ in range(r.randint(40, 120)))) for j in range(60)]
+    rows, want = [], {}
+    for i in range(600):
+        j = i % 60
+        w = items[j][1].split()
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(["before"] * (i % 7) + w + ["after"] * (i % 5))))
+        want |= {(i, j): s for (_, _), s in brute.contaminated([(i, rows[-1][1])], [items[j]]).items()}
+    close = {k for k, s in want.items() if s < 0.85}
+    assert len(close) > 40
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(brute.frame(spark, rows), brute.frame(spark, items, "item_id")).collect()}
+    assert got == want
+
+
+def test_candidates_do_not_multiply_with_the_benchmark(spark):
+    """Items of one length meet only the windows that hold their own rare shingles."""
+    import random
+
+    r = random.Random(12)
+    items = [(j, " ".join(f"w{r.randrange(5000)}" for _ in range(50))) for j in range(200)]
+    rows = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(100)) + " " + items[i][1]) for i in range(50)]
+    written: list = []
+    found = decontaminate.similar_texts(brute.frame(spark, rows), brute.frame(spark, items, "item_id"), prints=written)
+    assert found.count() == 50
+    windows, candidates = (t.count() for t in written)
+    assert candidates <= windows < 50 * 30
 
 
 def test_windows_of_any_start_are_found(spark):
@@ -392,26 +499,44 @@ def test_windows_of_any_start_are_found(spark):
 
 
 def test_archive_equals_rule(spark):
-    pages = [(3, "u", "x"), (1, "http://a b", "x"), (2, None, "é"), (7, "v", None), (8, "v", ""), (9, "w", "y" * 300_000), (None, "n", "x"), (4, "q", "y" * 300_000), (5, "r", "\r\n\r\nWARC/1.1\r\n")]
+    pages = [(3, "u", "x"), (1, "http://a b", "x"), (2, None, "é"), (7, "v", None), (8, "v", ""), (9, "w", "y" * 300_000), (None, "n", "x"), (4, "q", "y" * 300_000), (5, "r", "\r\n\r\nWARC/1.1\r\n"), (None, "a", "lost"), (None, "b", "lost"), (6, "c", "twin"), (6, "d", "twin")]
     df = spark.createDataFrame([(i, u, h, "x", 1) for i, u, h in pages], "page_id long, url string, html string, row string, n_bytes int").repartition(3)
     for least in (0, 2):
-        first: dict = {}
-        for i, _, h in sorted(pages, key=lambda p: (p[0] is None, p[0] or 0)):
-            if len((h or "").encode()) >= least:
-                first.setdefault(h or "", i)
-        want = Counter((i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if first.get(h or "", i) == i else "revisit", None if first.get(h or "", i) == i else first[h or ""]) for i, _, h in pages)
+        order = lambda p: (p[0] is None, p[0] or 0)
+        want, seen = Counter(), {}
+        for i, _, h in sorted(pages, key=order):
+            raw = (h or "").encode()
+            again = len(raw) >= least and raw in seen
+            want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", seen[raw] if again else None] += 1
+            seen.setdefault(raw, i)
         assert Counter(map(tuple, warc.archive(df, least).collect())) == want
+    assert warc.archive(df.drop("url")).count() == len(pages)
+
+
+def test_records_are_found_by_identifier(spark):
+    pages = [(k % 50 or None, f"http://x/{k}", f"page {k // 2} " * 40) for k in range(300)]
+    with common.scratch(spark) as here:
+        record_map = warc.write_bundles(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4), f"{here.root}/warc", bundle_bytes=3000, group=1000)
+        rows = record_map.collect()
+        assert len({r.record_id for r in rows}) == 300 and len({r.uri for r in rows}) > 4
+        wanted = spark.createDataFrame([(r.record_id,) for r in rows[::7]] + [("urn:uuid:none",)], "record_id string")
+        got = {r.record_id: r for r in warc.lookup(record_map, wanted).collect()}
+        assert set(got) == {r.record_id for r in rows[::7]}
+        every = {r.record_id: r for r in warc.read_bundles(record_map).collect()}
+        assert all(every[k] == r for k, r in got.items())
+        assert all((every[r.refers_to_record].payload_digest, every[r.refers_to_record].record_type) == (r.payload_digest, "response") for r in every.values() if r.record_type == "revisit")
 
 
 def test_frames_are_seekable():
     import zstandard
 
     b = warc.Bundle(group=500)
-    places = [b.add(warc.record("response", k, f"http://x/{k}", b"z" * k, "D", k, None)) for k in range(40)]
+    places = [b.add(warc.record("response", k, k, f"http://x/{k}", b"z" * k, "D", k, None)) for k in range(40)]
     blob = b.finish()
-    table = warc.seek_table(blob)
+    file = pa.BufferReader(blob)
+    table = warc.seek_table(file)
     for k, (f, at) in enumerate(places):
-        head, payload, _ = warc.parse(warc.frame(blob, f, table), at)
+        head, payload, _ = warc.parse(warc.frame(file, f, table), at)
         assert payload == b"z" * k and head["WARC-Page-ID"] == str(k)
     plain = zstandard.ZstdDecompressor().stream_reader(blob, read_across_frames=True).read()
     assert plain.count(b"WARC/1.1") == 40
