@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronokv.llm import decontaminate, jaccard, packing, substrings, toxicity
-from chronokv.llm.common import stage, table
+from chronokv.llm.common import finished, scratch, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more over five-word shingles connect, that with the smallest doc_id stays."""
+    """Of rows that links of 0.8 or more over five-word shingles connect, one with the smallest doc_id stays."""
     return jaccard.one_of_each(docs)
 
 
@@ -28,7 +28,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window similar to a benchmark item go."""
+    """Rows with a window similar to a benchmark item go."""
     return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -50,8 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents; each is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages over the table documents.
+
+    Every operator writes its result and returns the written table, which the next one reads;
+    what the stages wrote is deleted when the last one's result is there.
+    """
+    with scratch(spark):
+        docs = table(spark, sf_dir, "documents")
+        for _, f in STAGES:
+            docs = f(spark, docs, sf_dir)
+        return finished(docs, "pipeline")
