@@ -77,3 +77,9 @@ def command(line: str) -> tuple[Column, Column, Column]:
 def http_status(success: str, replied: str, deadline: str) -> Column:
     """200 on success; a failed reply is 409, or 504 past the deadline; without any reply 502."""
     return F.when(F.col(success), 200).when(F.col(replied), F.when(F.col(deadline), 504).otherwise(409)).otherwise(502)
+
+
+def store_command(op: str, key: str, value: str) -> tuple[Column, Column, Column]:
+    """(code, key, value) of the log command that an operation becomes; reads become none."""
+    o = F.col(op)
+    return F.when(o == "Set", 1).when(o == "Delete", 2), F.when(o.isin("Set", "Delete"), F.col(key)), F.when(o == "Set", F.col(value))

@@ -46,15 +46,35 @@ def value_error(kind: str, text: str) -> Column:
 
 def key_error(key: str) -> Column:
     """Why a key is refused, or null: it must not be empty or hold a slash."""
-    return F.when(F.coalesce(F.col(key), F.lit("")) == "", "key is empty").when(F.col(key).contains("/"), "key holds a slash")
+    bad = (F.coalesce(F.col(key), F.lit("")) == "") | F.col(key).contains("/")
+    return F.when(bad, "expected a key at /kv/{key}")
 
 
-def xor_bytes(data: str) -> Column:
+def xor_bytes(data: str | Column) -> Column:
     """The 8-bit exclusive or of a binary column's bytes."""
     pairs = F.filter(F.split(F.hex(data), "(?<=\\G..)"), lambda x: x != "")
     return F.aggregate(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int")), F.lit(0), lambda a, b: a.bitwiseXOR(b))
 
 
+def xor_number(n: Column) -> Column:
+    """The exclusive or of the eight bytes of a number that is not negative."""
+    x = n.cast("long")
+    for bits in (32, 16, 8):
+        x = x.bitwiseXOR(F.shiftright(x, bits))
+    return x.bitwiseAND(F.lit(255).cast("long")).cast("int")
+
+
+def record_checksum(seq: str, deleted: str, kind: str, key: str, value: Column) -> Column:
+    """The exclusive or of a whole log record: id, command (1 set, 2 delete), type of a set value, lengths, key, value."""
+    code = F.when(F.col(deleted), 0).otherwise(F.coalesce(type_code(kind, LOG_CODES), F.lit(0)))
+    text = F.concat(key, F.coalesce(value, F.lit("")))
+    parts = [xor_number(F.col(seq)), F.when(F.col(deleted), 2).otherwise(1), code, xor_number(F.octet_length(key)), xor_number(F.coalesce(F.octet_length(value), F.lit(0))), xor_bytes(text.cast("binary"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.bitwiseXOR(part)
+    return out
+
+
 def format_bytes(n: str) -> Column:
     """MB, KB or bytes; two decimals, halves to the even digit."""
     c = F.col(n)

@@ -69,3 +69,21 @@ def rate(samples: DataFrame, by: list[str], window_us: int) -> DataFrame:
     step = samples.withColumn("step", F.when(F.col("cnt") >= F.lag("cnt").over(w), F.col("cnt") - F.lag("cnt").over(w)).otherwise(F.when(F.lag("cnt").over(w).isNotNull(), F.col("cnt")).otherwise(0)))
     back = Window.partitionBy(*by).orderBy("us").rangeBetween(-window_us, 0)
     return step.withColumn("rate", F.sum("step").over(back) / (window_us / 1e6)).drop("step")
+
+
+def counters(increments: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Counters at the times they are read, from what was counted between: (by.., at, cnt). A series has a row for each reading."""
+    w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    return increments.select(*by, at, F.sum("cnt").over(w).alias("cnt"))
+
+
+def last_increase(samples: DataFrame, now: DataFrame, by: list[str], at: str, window: int) -> DataFrame:
+    """What each counter grew by over the last ``window`` readings' span before ``now``: (by.., increase).
+
+    A reading lower than the one before it is a reset, from 0. The first reading of a series adds
+    nothing, as what was before it is unknown.
+    """
+    w = Window.partitionBy(*by).orderBy(at)
+    before = F.lag("cnt").over(w)
+    grown = samples.withColumn("step", F.when(before.isNull(), 0).when(F.col("cnt") >= before, F.col("cnt") - before).otherwise(F.col("cnt")))
+    return grown.crossJoin(F.broadcast(now)).groupBy(*by).agg(F.sum(F.when(F.col(at) > F.col("now") - window, F.col("step")).otherwise(0)).alias("increase"))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chronokv.functions.values import render
 from chronokv.operators.kv import latest
@@ -22,6 +23,31 @@ def flush(log: DataFrame, path: str, runs: str = "run_id") -> None:
     out.write.partitionBy(runs).option("parquet.bloom.filter.enabled#key", "true").parquet(path)
 
 
+def flush_points(log: DataFrame, threshold: int, shard: str = "shard") -> DataFrame:
+    """The log with the run that each record is flushed to: (.., run), from 0 within every shard.
+
+    A shard's table is flushed when it holds ``threshold`` distinct keys. Each shard is read in
+    its order by one task, which holds the keys of the open run only; the number of shards is the
+    caller's.
+    """
+    ordered = log.repartition(shard).sortWithinPartitions(shard, "seq")
+
+    def cut(batches):
+        at, run, held = None, 0, set()
+        for batch in batches:
+            out = []
+            for s, k in zip(batch[shard], batch["key"], strict=True):
+                if s != at:
+                    at, run, held = s, 0, set()
+                held.add(k)
+                out.append(run)
+                if len(held) >= threshold:
+                    run, held = run + 1, set()
+            yield batch.assign(run=out)
+
+    return ordered.mapInPandas(cut, StructType([*log.schema.fields, StructField("run", LongType())]))
+
+
 def merge(runs: DataFrame) -> DataFrame:
     """The compaction of runs: of each key the entry of the lowest level, then of the newest run; tombstones stay."""
     return runs.groupBy("key").agg(F.min_by(F.struct(*[c for c in runs.columns if c != "key"]), F.struct("level", -F.col("run_id"))).alias("v")).select("key", "v.*")
@@ -61,15 +87,14 @@ def bloom_positions(key: str, bits: Column, hashes: Column) -> Column:
 
 
 def bloom_probe(runs: DataFrame, probes: DataFrame, p: float = 0.01) -> DataFrame:
-    """For every run and probed key whether the run's filter may hold it: (run_id, key, may_contain).
+    """For every probed (run_id, key) whether the run's filter may hold the key: (run_id, key, may_contain).
 
     A filter is the set of its bit positions; a probe passes if all of its positions are set.
     """
     sized = runs.groupBy("run_id").agg(F.count_distinct("key").alias("n")).select("run_id", bloom_bits(F.col("n"), p).alias("bits"), bloom_hashes(F.col("n"), p).alias("hashes"))
-    at = lambda d: d.select("run_id", "key", F.explode(bloom_positions("key", F.col("bits"), F.col("hashes"))).alias("bit"))
-    set_bits = at(runs.select("run_id", "key").distinct().join(F.broadcast(sized), "run_id")).select("run_id", "bit").distinct().withColumn("on", F.lit(1))
-    asked = at(probes.select("key").distinct().join(sized))
-    return asked.join(set_bits, ["run_id", "bit"], "left").groupBy("run_id", "key").agg((F.count("on") == F.count("*")).alias("may_contain"))
+    at = lambda d: d.select("run_id", "key").distinct().join(sized, "run_id").select("run_id", "key", F.explode(bloom_positions("key", F.col("bits"), F.col("hashes"))).alias("bit"))
+    set_bits = at(runs).select("run_id", "bit").distinct().withColumn("on", F.lit(1))
+    return at(probes).join(set_bits, ["run_id", "bit"], "left").groupBy("run_id", "key").agg((F.count("on") == F.count("*")).alias("may_contain"))
 
 
 def valid_prefix(log: DataFrame, good: Column) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chronokv.functions import text, values
 from chronokv.functions.random import next_f64, next_u64
 from chronokv.operators import health, kv, metrics, raft, runs, sim
+from chronokv.operators.ordering import lagged, numbered
 from chronokv.sources import formats, views
 from chronokv.streaming import state
 
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = views.SQL + sql
+            SQL[f.__name__] = (views.SQL.replace("WITH", "WITH RECURSIVE", 1) if "walk AS" in sql else views.SQL) + sql
         return f
 
     return add
@@ -102,6 +103,21 @@ def flush_runs(spark, sf):
     return runs.fold_runs(views.kv_runs(spark, sf))
 
 
+FLUSH = """, s AS (SELECT seq, key, substr(key, 6, 2)::BIGINT % 8 AS shard, row_number() OVER (PARTITION BY substr(key, 6, 2)::BIGINT % 8 ORDER BY seq) AS k FROM kv_log),
+walk AS (SELECT shard, k, seq, key, 0::BIGINT AS run, [key] AS held FROM s WHERE k = 1
+  UNION ALL SELECT s.shard, s.k, s.seq, s.key, CASE WHEN len(held) >= 8 THEN run + 1 ELSE run END, CASE WHEN len(held) >= 8 THEN [s.key] WHEN list_contains(held, s.key) THEN held ELSE list_append(held, s.key) END
+  FROM walk JOIN s ON s.shard = walk.shard AND s.k = walk.k + 1)
+SELECT shard, run, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS records, count(DISTINCT key) AS entries FROM walk GROUP BY shard, run"""
+
+
+@query(FLUSH)
+def flush_by_keys(spark, sf):
+    """A shard's table is flushed at 8 distinct keys: a row per run with its first and last record and its keys."""
+    log = views.kv_log(spark, sf).select("seq", "key", F.pmod(F.substring("key", 6, 2).cast("long"), F.lit(8)).alias("shard"))
+    cut = runs.flush_points(log, 8)
+    return cut.groupBy("shard", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("records"), F.count_distinct("key").alias("entries"))
+
+
 @query(f"SELECT run_id, key, seq, is_deleted, {CELL} FROM kv_runs WHERE run_id = 3 QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY seq DESC) = 1")
 def run_scan(spark, sf):
     return runs.fold_runs(views.kv_runs(spark, sf).where("run_id = 3")).drop("level")
@@ -162,15 +178,15 @@ def bloom_sizing(spark, sf):
 
 @query()
 def bloom_probe(spark, sf):
+    """Every run is asked for its own keys and those of the run before."""
     log = views.kv_runs(spark, sf)
-    return runs.bloom_probe(log, log.select("key"))
+    return runs.bloom_probe(log, log.select("run_id", "key").union(log.select(F.col("run_id") + 1, "key")))
 
 
 @query("SELECT run_id, key FROM kv_runs GROUP BY run_id, key")
 def bloom_no_false_negative(spark, sf):
     log = views.kv_runs(spark, sf)
-    held = log.select("run_id", "key").distinct()
-    return runs.bloom_probe(log, log).where("may_contain").join(held, ["run_id", "key"], "left_semi").select("run_id", "key")
+    return runs.bloom_probe(log, log).where("may_contain").select("run_id", "key")
 
 
 @query(f"SELECT seq, key, is_deleted, {CELL} FROM kv_log WHERE seq < coalesce((SELECT min(seq) FROM kv_log WHERE float_value > 60), 9223372036854775807)")
@@ -178,10 +194,14 @@ def wal_valid_prefix(spark, sf):
     return runs.valid_prefix(views.kv_log(spark, sf), ~F.coalesce(F.col("float_value") > 60, F.lit(False)))
 
 
-@query(f"""SELECT seq, list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT), lambda a, b: xor(a, b), 0)::INT AS checksum FROM (SELECT seq, hex(encode(key || coalesce({RENDER}, ''))) AS h FROM kv_log)""")
+NUMBER_XOR = "xor(xor(xor({0} & 255, {0} >> 8 & 255), xor({0} >> 16 & 255, {0} >> 24 & 255)), xor(xor({0} >> 32 & 255, {0} >> 40 & 255), xor({0} >> 48 & 255, {0} >> 56 & 255)))"
+
+
+@query(f"""SELECT seq, xor(xor(xor(xor({NUMBER_XOR.format("seq")}, CASE WHEN is_deleted THEN 2 ELSE 1 END), code), xor({NUMBER_XOR.format("key_len")}, {NUMBER_XOR.format("value_len")})),
+  list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT), lambda a, b: xor(a, b), 0))::INT AS checksum
+FROM (SELECT seq, is_deleted, CASE type WHEN 'int' THEN 1 WHEN 'float' THEN 2 WHEN 'string' THEN 3 ELSE 0 END AS code, octet_length(encode(key))::BIGINT AS key_len, coalesce(octet_length(encode({RENDER})), 0)::BIGINT AS value_len, hex(encode(key || coalesce({RENDER}, ''))) AS h FROM kv_log)""")
 def wal_checksum(spark, sf):
-    data = views.kv_log(spark, sf).select("seq", F.concat("key", F.coalesce(values.render(), F.lit(""))).cast("binary").alias("data"))
-    return data.select("seq", values.xor_bytes("data").alias("checksum"))
+    return views.kv_log(spark, sf).select("seq", values.record_checksum("seq", "is_deleted", "type", "key", values.render()).alias("checksum"))
 
 
 @query(f", s AS (SELECT seq, {SIZES} FROM kv_log) SELECT seq, key_len::INT AS key_len, value_len::INT AS value_len, (10 + key_len + value_len)::INT AS record_len FROM s")
@@ -213,9 +233,30 @@ def raft_committed(spark, sf):
     return views.raft_log(spark, sf).join(nodes, "node").where("idx > applied and idx <= commit_index").select("node", "idx", "term", "payload")
 
 
-@query("SELECT grp, (count(*) + 1)::INT AS nodes, list_sort(list(match_index), 'DESC')[(count(*) + 1) // 2] AS commit_index FROM raft_match GROUP BY grp")
+QUORUM = ", q AS (SELECT grp, (count(*) + 1)::INT AS nodes, list_sort(list(match_index), 'DESC')[(count(*) + 1) // 2] AS quorum_index FROM raft_match GROUP BY grp)"
+
+
+@query(f"{QUORUM} SELECT grp, nodes, quorum_index, greatest(commit_index, coalesce((SELECT max(idx) FROM raft_log r WHERE r.node = 1 AND r.term = l.term AND r.idx <= quorum_index), commit_index)) AS commit_index FROM q JOIN raft_leaders l USING (grp)")
 def raft_quorum_commit(spark, sf):
-    return raft.quorum_commit(views.raft_match(spark, sf))
+    log = views.raft_log(spark, sf).where("node = 1")
+    return raft.quorum_commit(views.raft_match(spark, sf), views.raft_leaders(spark, sf), log)
+
+
+PROGRESS = """, o AS (SELECT grp, min(seq) AS gone FROM raft_responses WHERE term > leader_term GROUP BY grp),
+h AS (SELECT r.* FROM raft_responses r LEFT JOIN o USING (grp) WHERE term = leader_term AND (gone IS NULL OR seq < gone)),
+d AS (SELECT grp, peer, max(seq) AS seq, arg_max(match_index, seq) AS m FROM h WHERE success GROUP BY ALL)"""
+
+
+@query(f"{PROGRESS} SELECT grp, peer, coalesce(any_value(m), 0) AS match_index, greatest(1, coalesce(any_value(m), 0) + 1 - count(*) FILTER (NOT success AND (d.seq IS NULL OR h.seq > d.seq))) AS next_index FROM h LEFT JOIN d USING (grp, peer) GROUP BY grp, peer")
+def raft_peer_progress(spark, sf):
+    return raft.peer_progress(views.raft_responses(spark, sf))
+
+
+@query("SELECT seq, node, 3 + row_number() OVER (PARTITION BY node ORDER BY seq) AS term, node AS voted_for, 1 AS votes, node = 4 AS won FROM (SELECT event_id AS seq, user_id % 5 AS node FROM events WHERE event_type = 'error')")
+def raft_elections(spark, sf):
+    timeouts = views.table(spark, sf, "events").where("event_type = 'error'").select(F.col("event_id").alias("seq"), (F.col("user_id") % 5).alias("node"))
+    cluster = spark.range(5).select(F.col("id").alias("node"), F.lit(3).cast("long").alias("term"), F.when(F.col("id") == 4, 1).otherwise(5).alias("size"))
+    return raft.elections(numbered(timeouts, ["node"], ["seq"], "turn"), cluster)
 
 
 @query("SELECT max_by(node, (term * 1000 - node)) AS leader, count(*) AS leaders, max(term) AS term FROM raft_nodes WHERE role = 'Leader'")
@@ -247,9 +288,9 @@ def raft_vote_tally(spark, sf):
 
 @query("SELECT voter, seq, CASE WHEN lag(last_term) OVER w IS NULL THEN true ELSE (last_term, last_index) >= (lag(last_term) OVER w, lag(last_index) OVER w) END AS up_to_date FROM raft_votes WINDOW w AS (PARTITION BY voter ORDER BY seq)")
 def raft_log_up_to_date(spark, sf):
-    w = Window.partitionBy("voter").orderBy("seq")
-    lt, li = F.lag("last_term").over(w), F.lag("last_index").over(w)
-    return views.raft_votes(spark, sf).select("voter", "seq", F.coalesce((F.col("last_term") > lt) | ((F.col("last_term") == lt) & (F.col("last_index") >= li)), F.lit(True)).alias("up_to_date"))
+    votes = lagged(views.raft_votes(spark, sf).select("voter", "seq", "last_term", "last_index"), ["voter"], ["seq"], ["last_term", "last_index"])
+    lt, li = F.col("before_last_term"), F.col("before_last_index")
+    return votes.select("voter", "seq", F.coalesce((F.col("last_term") > lt) | ((F.col("last_term") == lt) & (F.col("last_index") >= li)), F.lit(True)).alias("up_to_date"))
 
 
 @query("""SELECT b.node, b.idx, p.idx IS NOT NULL AS accepted FROM raft_log b LEFT JOIN (SELECT idx, term FROM raft_log WHERE node = 1) p ON p.idx = b.idx - 1 AND p.term = (b.idx - 1) // 100 + 1 WHERE b.node = 3""")
@@ -296,9 +337,9 @@ def membership_replay(spark, sf):
     return raft.members(views.membership(spark, sf), views.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("peer")))
 
 
-@query(f"{TALLY} SELECT term, count(DISTINCT candidate) AS leaders FROM t WHERE votes >= 2 GROUP BY term HAVING count(DISTINCT candidate) > 1")
+@query("SELECT term, count(DISTINCT node) AS leaders FROM raft_roles WHERE role = 'Leader' GROUP BY term HAVING count(DISTINCT node) > 1")
 def inv_election_safety(spark, sf):
-    return raft.election_safety(raft.vote_tally(raft.votes_granted(views.raft_votes(spark, sf)), 5).where("votes >= 2"))
+    return raft.election_safety(views.raft_roles(spark, sf))
 
 
 PAIRS = "raft_log a JOIN raft_log b ON a.idx = b.idx AND a.node < b.node"
@@ -309,12 +350,9 @@ def inv_log_matching(spark, sf):
     return raft.log_matching(views.raft_log(spark, sf))
 
 
-@query(f"SELECT a.node AS node_a, b.node AS node_b, a.idx FROM {PAIRS} WHERE a.payload IS DISTINCT FROM b.payload AND a.idx <= (SELECT min(commit_index) + 20 FROM raft_nodes) + 400")
+@query(f"SELECT a.node AS node_a, b.node AS node_b, a.idx FROM {PAIRS} JOIN raft_nodes na ON na.node = a.node JOIN raft_nodes nb ON nb.node = b.node WHERE a.payload IS DISTINCT FROM b.payload AND a.idx <= least(na.commit_index, nb.commit_index)")
 def inv_state_safety(spark, sf):
-    # Commits that run ahead of the quorum, so that the check has something to find.
-    last = views.raft_nodes(spark, sf).agg(F.min("commit_index").alias("c"))
-    nodes = views.raft_nodes(spark, sf).crossJoin(F.broadcast(last)).select("node", (F.col("c") + 420).alias("commit_index"))
-    return raft.state_safety(views.raft_log(spark, sf), nodes)
+    return raft.state_safety(views.raft_log(spark, sf), views.raft_nodes(spark, sf))
 
 
 @query("SELECT key, count(DISTINCT node) AS nodes, count(DISTINCT payload) AS variants FROM (SELECT idx AS key, node, payload FROM raft_log) GROUP BY key HAVING count(DISTINCT payload) > 1")
@@ -331,17 +369,27 @@ def write_outcome(spark, sf):
     return e.select("event_id", F.when(F.col("event_type").isin("view", "signup"), "read").when(user % 3 == 0, "accepted").when(user % 7 == 0, none).otherwise(hint).alias("outcome"))
 
 
+@query("""SELECT event_id, CASE op WHEN 'Set' THEN 1 WHEN 'Delete' THEN 2 END AS command, CASE WHEN op IN ('Set', 'Delete') THEN 'u' || user_id END AS key, CASE WHEN op = 'Set' THEN value::VARCHAR END AS value
+FROM (SELECT *, CASE event_type WHEN 'click' THEN 'Set' WHEN 'purchase' THEN 'Set' WHEN 'error' THEN 'Delete' WHEN 'view' THEN 'Get' ELSE 'Status' END AS op FROM events)""")
+def store_command(spark, sf):
+    kind = F.col("event_type")
+    op = F.when(kind.isin("click", "purchase"), "Set").when(kind == "error", "Delete").when(kind == "view", "Get").otherwise("Status")
+    asked = views.table(spark, sf, "events").select("event_id", op.alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("value").cast("string").alias("value"))
+    command, key, value = text.store_command("op", "key", "value")
+    return asked.select("event_id", command.alias("command"), key.alias("key"), value.alias("value"))
+
+
 # Event streams
 
 
 @query("SELECT sequence, src, dst, us, row_number() OVER (PARTITION BY dst ORDER BY us, sequence) AS turn FROM sim_events")
 def sim_event_order(spark, sf):
-    return views.sim_events(spark, sf).withColumn("turn", F.row_number().over(Window.partitionBy("dst").orderBy("us", "sequence")))
+    return numbered(views.sim_events(spark, sf), ["dst"], ["us", "sequence"], "turn")
 
 
 @query("SELECT src, dst, us, row_number() OVER (PARTITION BY src, dst ORDER BY us, sequence) AS link_sequence FROM sim_events")
 def event_sequence(spark, sf):
-    return views.sim_events(spark, sf).select("src", "dst", "us", F.row_number().over(Window.partitionBy("src", "dst").orderBy("us", "sequence")).alias("link_sequence"))
+    return numbered(views.sim_events(spark, sf), ["src", "dst"], ["us", "sequence"], "link_sequence").drop("sequence")
 
 
 LINKS = [(1, 2, 3, 50_000), (0, 4, 10, 1_000_000), (3, 3, 1, 7)]
@@ -357,7 +405,7 @@ def sim_due_faults(spark, sf):
     e = views.sim_events(spark, sf)
     now = e.agg((F.min("us") + 86_400_000_000).alias("now"))
     due = e.crossJoin(F.broadcast(now)).where("us <= now")
-    return due.select(F.col("sequence").alias("trigger_sequence"), "us", F.row_number().over(Window.partitionBy("src").orderBy("us", "sequence")).alias("turn"))
+    return numbered(due.select("src", F.col("sequence").alias("trigger_sequence"), "us"), ["src"], ["us", "trigger_sequence"], "turn").drop("src")
 
 
 @query("SELECT * FROM sim_events WHERE src <> 2 AND dst <> 2 AND NOT (src = 0 AND dst = 1) AND NOT (src = 1 AND dst = 0)")
@@ -499,14 +547,23 @@ def prom_rate(spark, sf):
     return metrics.rate(c, ["method"], 3_600_000_000).withColumn("rate", F.round("rate", 9))
 
 
-@query(f", q AS (SELECT * FROM http_log WHERE us > (SELECT max(us) - 86400000000 FROM http_log)), r AS (SELECT method, {ROUTE} AS route, duration_s FROM q), h AS (SELECT method, route, le, count(*) FILTER (duration_s <= le) AS cnt FROM r, (SELECT * FROM (VALUES {BOUNDS}, ('inf'::DOUBLE)) b(le)) GROUP BY ALL)" + QUANTILE.format(by="route,", part="route", q="0.99"))
+HOUR = 3_600_000_000
+RATES = f""", r AS (SELECT method, {ROUTE} AS route, us // {HOUR} AS hour, duration_s FROM http_log),
+h AS (SELECT method, route, hour, le, count(*) FILTER (duration_s <= le) AS inc FROM r, (SELECT * FROM (VALUES {BOUNDS}, ('inf'::DOUBLE)) b(le)) GROUP BY ALL),
+c AS (SELECT *, sum(inc) OVER (PARTITION BY method, route, le ORDER BY hour) AS cnt, row_number() OVER (PARTITION BY method, route, le ORDER BY hour) AS nth FROM h),
+i AS (SELECT method, route, le, sum(inc) FILTER (nth > 1 AND hour > (SELECT max(hour) FROM r) - 24) AS inc FROM c GROUP BY ALL),
+m AS (SELECT route, le, round(sum(coalesce(inc, 0)) / 86400.0, 12) AS cnt FROM i GROUP BY ALL)"""
+
+
+@query(RATES + QUANTILE.format(by="route,", part="route", q="0.99").replace(", m AS (SELECT route, le, sum(cnt)::BIGINT AS cnt FROM h GROUP BY ALL)", ""))
 def prom_rate_quantile(spark, sf):
-    """The 0.99 quantile of the bucket rates over the last day; a rate's divisor is the same for all buckets."""
-    requests = routed(spark, sf)
-    since = requests.agg((F.max("us") - 86_400_000_000).alias("since"))
-    recent = requests.crossJoin(F.broadcast(since)).where("us > since")
-    rates = metrics.merge_histograms(metrics.histogram(recent, ["method", "route"]), ["route"])
-    return metrics.quantile(rates, 0.99, ["route"]).withColumn("quantile", F.round("quantile", 9))
+    """The 0.99 quantile of the buckets' rates over the last day, of counters that are read once an hour."""
+    requests = routed(spark, sf).withColumn("hour", F.floor(F.col("us") / HOUR).cast("long"))
+    hourly = metrics.histogram(requests, ["method", "route", "hour"])
+    now = requests.agg(F.max("hour").alias("now"))  # one row
+    grown = metrics.last_increase(metrics.counters(hourly, ["method", "route", "le"], "hour"), now, ["method", "route", "le"], "hour", 24)
+    merged = grown.groupBy("route", "le").agg(F.round(F.sum("increase") / 86_400, 12).alias("cnt"))
+    return metrics.quantile(merged, 0.99, ["route"]).withColumn("quantile", F.round("quantile", 9))
 
 
 @query("SELECT user_id % 8 AS worker, method, count(*) AS ops FROM http_log JOIN (SELECT event_id, user_id FROM events) USING (event_id) GROUP BY ALL")
@@ -601,6 +658,13 @@ def validate_values(spark, sf):
     return tagged.select("event_id", values.value_error("tag", "raw").alias("error"))
 
 
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'expected a key at /kv/{key}' WHEN 1 THEN 'expected a key at /kv/{key}' END AS error FROM events")
+def validate_keys(spark, sf):
+    e, k = views.table(spark, sf, "events"), F.col("event_id") % 7
+    key = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/x"))).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return e.select("event_id", key.alias("key")).select("event_id", values.key_error("key").alias("error"))
+
+
 @query("SELECT node_id, address, CASE WHEN node_id % 5 = 0 THEN false ELSE true END AS ok FROM (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN replace(address, ':', ':7') || '99' ELSE address END AS address FROM node_health)")
 def addr_validate(spark, sf):
     bad = F.when(F.col("node_id") % 5 == 0, F.concat(F.replace("address", F.lit(":"), F.lit(":7")), F.lit("99"))).otherwise(F.col("address"))
@@ -719,3 +783,21 @@ def stream_dedup(spark, sf):
     at = state.work_dir(spark)
     state.dedup(_stream(spark, sf, "events").select("event_type", "user_id"), f"{at}/out", f"{at}/checkpoint", ["event_type", "user_id"])
     return spark.read.parquet(f"{at}/out")
+
+
+@query("""SELECT epoch_us(ts) // 86400000000 * 86400000000 AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL
+HAVING start_us + 86400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")
+def stream_windows(spark, sf):
+    """Days that are closed: the newest event is an hour or more behind their end."""
+    at = state.work_dir(spark)
+    events = _stream(spark, sf, "events").withColumn("ts", F.timestamp_micros(views.micros()))
+    state.tumbling(events, "1 day", "1 hour", f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out").select(F.unix_micros("start").alias("start_us"), "event_type", "n", "total")
+
+
+@query(f"SELECT key, seq, is_deleted FROM (SELECT key, seq, is_deleted FROM kv_log {NEWEST})")
+def stream_flush(spark, sf):
+    """The newest version of every key over the runs that the triggers flushed."""
+    at = state.work_dir(spark)
+    state.flush_batches(_log_stream(spark, sf).select("seq", "key", "is_deleted"), f"{at}/runs", f"{at}/checkpoint")
+    return kv.latest(spark.read.parquet(f"{at}/runs").select("key", "seq", "is_deleted"))

@@ -54,12 +54,37 @@ def node_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raft_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, idx, term, payload): the orders as a log on three nodes; node 3 differs at every 97th entry of the uncommitted last tenth."""
+    """(node, idx, term, payload): the orders as a log on three nodes.
+
+    Planted faults: node 3 differs in term and payload at every 97th entry of the uncommitted last
+    tenth, and in the payload alone at every 1009th entry, committed ones too.
+    """
     o = table(spark, sf_dir, "orders")
     last = o.agg(F.max("o_orderkey").alias("last"))
     rows = o.crossJoin(F.broadcast(last)).select(F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])).alias("node"), F.col("o_orderkey").alias("idx"), (1 + intdiv("o_orderkey", 100)).alias("term"), F.concat_ws("=", F.col("o_custkey").cast("string"), "o_orderstatus").alias("payload"), "last")
     off = (F.col("node") == 3) & (F.col("idx") % 97 == 0) & (F.col("idx") * 10 > F.col("last") * 9)
-    return rows.select("node", "idx", (F.col("term") + F.when(off, 1).otherwise(0)).alias("term"), F.when(off, F.concat(F.lit("x"), "payload")).otherwise(F.col("payload")).alias("payload"))
+    return rows.select("node", "idx", (F.col("term") + F.when(off, 1).otherwise(0)).alias("term"), F.when(off, F.concat(F.lit("x"), "payload")).when((F.col("node") == 3) & (F.col("idx") % 1009 == 0), F.concat(F.lit("y"), "payload")).otherwise(F.col("payload")).alias("payload"))
+
+
+def raft_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, term, commit_index): the leaders of the groups of raft_match; every third was elected after the last entry."""
+    top = raft_match(spark, sf_dir).groupBy("grp").agg(F.max("match_index").alias("top"), F.min("match_index").alias("low"))
+    return top.select("grp", (1 + intdiv("top", 100) + F.when(F.col("grp") % 3 == 2, 5).otherwise(0)).cast("long").alias("term"), intdiv("low", 2).alias("commit_index"))
+
+
+def raft_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, node, term, role): what nodes said of themselves; every 97th report is of a second leader."""
+    e = F.col("event_id")
+    term = intdiv("event_id", 50)
+    node = F.when(e % 97 == 0, (term + 1) % 5).otherwise(F.col("user_id") % 5)
+    return table(spark, sf_dir, "events").select(e.alias("seq"), node.alias("node"), term.alias("term"), F.when((F.col("user_id") % 5 == term % 5) | (e % 97 == 0), "Leader").otherwise("Follower").alias("role"))
+
+
+def raft_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, peer, seq, term, leader_term, success, match_index): answers to leaders, some of an earlier or a later term."""
+    e, grp = F.col("event_id"), F.col("user_id") % 40
+    term = F.when(e % 11 == 0, 8).when((e % 499 == 0) & (e > 500), 10).otherwise(9).cast("long")
+    return table(spark, sf_dir, "events").select(grp.alias("grp"), (e % 4).alias("peer"), e.alias("seq"), term.alias("term"), F.lit(9).cast("long").alias("leader_term"), (F.col("event_type") != "error").alias("success"), F.floor(e / 2).cast("long").alias("match_index"))
 
 
 def raft_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +131,18 @@ node_health AS (SELECT s_nationkey AS cluster, s_suppkey AS node_id, 'node' || s
   s_acctbal > -500 AS reachable, s_acctbal > 2000 AS healthy, floor(abs(s_acctbal))::BIGINT AS latency_ms,
   CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 5 END AS leader_id, s_suppkey % 11 AS term,
   CASE WHEN s_acctbal > 2000 THEN 'ok' WHEN s_acctbal > -500 THEN 'log is behind' ELSE 'connection refused' END AS message FROM supplier),
-raft_log AS (SELECT node, idx, CASE WHEN off THEN term + 1 ELSE term END AS term, CASE WHEN off THEN 'x' || payload ELSE payload END AS payload FROM (
+raft_log AS (SELECT node, idx, CASE WHEN off THEN term + 1 ELSE term END AS term, CASE WHEN off THEN 'x' || payload WHEN node = 3 AND idx % 1009 = 0 THEN 'y' || payload ELSE payload END AS payload FROM (
   SELECT n.node, o_orderkey AS idx, 1 + o_orderkey // 100 AS term, o_custkey || '=' || o_orderstatus AS payload,
     n.node = 3 AND o_orderkey % 97 = 0 AND o_orderkey * 10 > (SELECT max(o_orderkey) FROM orders) * 9 AS off
   FROM orders, (VALUES (1::BIGINT), (2), (3)) n(node))),
 raft_nodes AS (SELECT node, floor(last * 9 / 10)::BIGINT - node AS commit_index, last // 2 AS applied, 1 + last // 100 - (CASE WHEN node = 3 THEN 1 ELSE 0 END) AS term,
   CASE WHEN node < 3 THEN 'Leader' ELSE 'Follower' END AS role FROM (SELECT max(o_orderkey) AS last FROM orders), (VALUES (1::BIGINT), (2), (3)) n(node)),
 raft_match AS (SELECT o_custkey % 20 AS grp, o_orderkey % 4 AS peer, max(o_orderkey) AS match_index FROM orders GROUP BY ALL),
+raft_leaders AS (SELECT grp, 1 + max(match_index) // 100 + CASE WHEN grp % 3 = 2 THEN 5 ELSE 0 END AS term, min(match_index) // 2 AS commit_index FROM raft_match GROUP BY grp),
+raft_roles AS (SELECT event_id AS seq, CASE WHEN event_id % 97 = 0 THEN (event_id // 50 + 1) % 5 ELSE user_id % 5 END AS node, event_id // 50 AS term,
+  CASE WHEN user_id % 5 = event_id // 50 % 5 OR event_id % 97 = 0 THEN 'Leader' ELSE 'Follower' END AS role FROM events),
+raft_responses AS (SELECT user_id % 40 AS grp, event_id % 4 AS peer, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 8 WHEN event_id % 499 = 0 AND event_id > 500 THEN 10 ELSE 9 END AS term,
+  9 AS leader_term, event_type <> 'error' AS success, event_id // 2 AS match_index FROM events),
 raft_votes AS (SELECT event_id AS seq, event_id // 50 AS term, user_id % 5 AS voter, event_id % 3 AS candidate, event_id // 100 AS last_term, event_id % 1000 AS last_index,
   event_id // 100 - user_id % 2 AS own_term, user_id * 7 % 1000 AS own_index FROM events),
 sim_events AS (SELECT event_id AS sequence, user_id % 5 AS src, event_id % 5 AS dst, epoch_us(ts) AS us FROM events),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +12,7 @@ def work_dir(spark: SparkSession) -> str:
     """A new folder for checkpoints and results, in the folder that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='chronokv-')}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -36,9 +33,15 @@ def fold(changes: DataFrame, path: str, checkpoint: str, keys: list[str] | None
     query.awaitTermination()
 
 
-def dedup(entries: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
-    """Appends every entry once, however often the stream brings it."""
-    query = entries.dropDuplicates(keys).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def dedup(entries: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str | None = None, late: str = "1 hour") -> None:
+    """Appends every entry once, however often the stream brings it.
+
+    The state holds the keys that were seen. Without ``ts`` it holds all of them, which is right
+    where the keys are a bounded domain; with it, repeats come at most ``late`` after the newest
+    entry and older keys are forgotten.
+    """
+    once = entries.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if ts else entries.dropDuplicates(keys)
+    query = once.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

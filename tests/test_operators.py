@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronokv.functions import text, values
 from chronokv.functions.random import splitmix
 from chronokv.operators import health, kv, metrics, raft, runs, sim
+from chronokv.operators.ordering import lagged, numbered
 from chronokv.sources import formats
 from chronokv.streaming import state
 
@@ -121,7 +122,62 @@ def test_conflict_keeps_the_leaders_suffix(spark):
 def test_quorum(spark):
     match = lambda *x: spark.createDataFrame([(1, i, m) for i, m in enumerate(x)], "grp long, peer long, match_index long")
     for peers, want in (((5, 3), 5), ((9, 7, 4, 1), 7), ((8,), 8)):
-        assert raft.quorum_commit(match(*peers)).first()["commit_index"] == want
+        assert raft.quorum_index(match(*peers)).first()["quorum_index"] == want
+
+
+def test_only_the_leaders_term_commits(spark):
+    match = spark.createDataFrame([(1, 1, 4), (1, 2, 4), (2, 1, 3), (2, 2, 2)], "grp long, peer long, match_index long")
+    log = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 3)], "idx long, term long")
+    leaders = lambda *x: spark.createDataFrame(list(x), "grp long, term long, commit_index long")
+    commit = lambda d: rows(raft.quorum_commit(match, d, log), "grp", "commit_index")
+    assert commit(leaders((1, 3, 1), (2, 2, 1))) == [(1, 4), (2, 3)]
+    assert commit(leaders((1, 4, 1), (2, 3, 1))) == [(1, 1), (2, 1)]  # held by all, but of an earlier term, or not held yet
+    assert commit(leaders((1, 2, 1), (2, 1, 2))) == [(1, 3), (2, 2)]  # the last of its own term; never back
+
+
+def test_peer_progress_steps_back_after_refusals(spark):
+    schema = "grp long, peer long, seq long, term long, leader_term long, success boolean, match_index long"
+    told = [(1, 1, 1, 5, 5, True, 7), (1, 1, 2, 5, 5, False, 0), (1, 1, 3, 4, 5, True, 99), (1, 2, 4, 5, 5, False, 0), (1, 2, 5, 5, 5, False, 0), (2, 1, 1, 5, 5, True, 3), (2, 1, 2, 6, 5, False, 0), (2, 1, 3, 5, 5, True, 9)]
+    assert rows(raft.peer_progress(spark.createDataFrame(told, schema)), "grp", "peer", "match_index", "next_index") == [(1, 1, 7, 7), (1, 2, 0, 1), (2, 1, 3, 4)]
+
+
+def test_numbers_and_predecessors_across_ranges(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**6)).alias("t"), F.col("id").alias("part")).repartition(7)
+    want: dict = {}
+    for k, t, i in sorted(map(tuple, df.collect())):
+        want.setdefault(k, []).append((t, i))
+    got: dict = {}
+    for k, n, t, i in sorted((r.k, r.n, r.t, r.part) for r in numbered(df, ["k"], ["t", "part"], "n").collect()):
+        got.setdefault(k, []).append((t, i))
+        assert n == len(got[k])
+    assert got == want
+    before = {(r.k, r.t, r.part): r.before_t for r in lagged(df, ["k"], ["t", "part"], ["t"]).collect()}
+    assert all(before[k, t, i] == (want[k][n - 1][0] if n else None) for k in want for n, (t, i) in enumerate(want[k]))
+
+
+def test_tables_are_flushed_at_distinct_keys(spark):
+    log = spark.createDataFrame([(i, k, s) for i, (s, k) in enumerate([(0, "a"), (0, "a"), (0, "b"), (1, "x"), (0, "a"), (0, "b"), (1, "x"), (0, "c"), (1, "y")])], "seq long, key string, shard long")
+    assert rows(runs.flush_points(log, 2), "shard", "seq", "run") == [(0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 4, 1), (0, 5, 1), (0, 7, 2), (1, 3, 0), (1, 6, 0), (1, 8, 0)]
+
+
+def test_checksum_is_that_of_the_record(spark):
+    log = log_of(spark, ("a", 1), ("key", 2.5), ("é", "text"), ("a", None)).withColumn("seq", F.col("seq") * 70_000 + 3)
+    got = log.select("seq", values.record_checksum("seq", "is_deleted", "type", "key", values.render()).alias("c"), "key", "is_deleted", "type", values.render().alias("v")).collect()
+    for r in got:
+        assert formats.log_record(r.seq, r.key, r.is_deleted, values.LOG_CODES.get(r.type, 0), r.v)[-1] == r.c
+
+
+def test_bloom_filters_hold_their_keys(spark):
+    held = spark.range(4000).select((F.col("id") % 4).alias("run_id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    other = spark.range(4000, 12_000).select((F.col("id") % 4).alias("run_id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    assert runs.bloom_probe(held, held).where("not may_contain").count() == 0
+    assert runs.bloom_probe(held, other).where("may_contain").count() < 0.03 * 8000
+
+
+def test_nodes_are_tried_in_order(spark):
+    nodes = spark.createDataFrame([(1, 30), (1, 10), (1, 20), (2, 5)], "cluster long, node_id long")
+    asked = spark.createDataFrame([(1, 1, 20), (2, 1, None), (3, 1, 99), (4, 2, 5), (5, 3, 1)], "request long, cluster long, hint long")
+    assert rows(health.candidates(asked, nodes), "request", "attempt", "node_id") == [(1, 0, 20), (1, 1, 10), (1, 2, 30), (2, 0, 10), (2, 1, 20), (2, 2, 30), (3, 0, 10), (3, 1, 20), (3, 2, 30), (4, 0, 5)]
 
 
 def test_planted_violations_are_found(spark):
@@ -130,8 +186,8 @@ def test_planted_violations_are_found(spark):
     nodes = spark.createDataFrame([(1, 2), (2, 2)], "node long, commit_index long")
     assert rows(raft.state_safety(log, nodes), "idx") == [(2,)]
     assert raft.state_safety(log, spark.createDataFrame([(1, 2), (2, 1)], "node long, commit_index long")).count() == 0
-    leaders = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 1)], "term long, candidate long")
-    assert rows(raft.election_safety(leaders), "term", "leaders") == [(1, 2)]
+    states = spark.createDataFrame([(1, 1, "Leader"), (2, 1, "Leader"), (1, 2, "Leader"), (1, 2, "Leader"), (3, 2, "Follower")], "node long, term long, role string")
+    assert rows(raft.election_safety(states), "term", "leaders") == [(1, 2)]
 
 
 def test_members(spark):
