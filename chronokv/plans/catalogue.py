@@ -785,8 +785,8 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(f"{at}/out")
 
 
-@query("""SELECT epoch_us(ts) // 86400000000 * 86400000000 AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL
-HAVING start_us + 86400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")
+@query(""", d AS (SELECT epoch_us(ts) // 86400000000 * 86400000000 AS start_us, event_type, value FROM events)
+SELECT start_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM d WHERE start_us + 86400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events) GROUP BY start_us, event_type""")
 def stream_windows(spark, sf):
     """Days that are closed: the newest event is an hour or more behind their end."""
     at = state.work_dir(spark)
