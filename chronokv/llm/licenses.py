@@ -1,15 +1,16 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-A file named like a licence is compared as a whole, any other file line by line, over its whole
-text. A file without a licence of its own takes that of the nearest ancestor directory that has
-a licence file. DataFrame operations only.
-
-Weights: term count times 1 + ln((1 + T) / (1 + number of the T templates with the term)); a term
-of no template has the largest weight; stop words have none. A line is looked at only if it has
-one of the telling terms: these are taken from the templates, rarest first, until what is left of
-each template is too light to reach the threshold alone, so by Cauchy and Schwarz no line is
-missed. For the same reason a line is dropped if the terms that it shares with each template are
-too light together. Only what is left is taken apart and shuffled.
+Templates are short notices and whole licence texts. Every line of every file is compared with
+the notices; the whole body of a file named like a licence is compared with both. A file without
+a licence of its own takes that of the nearest ancestor directory that has a licence file.
+DataFrame operations only.
+
+Weights: term count times 1 + ln((1 + T) / (1 + number of the T templates with the term)), apart
+for the notices and the whole texts; a term of no template has the largest weight. A line is
+looked at only if it has one of the telling terms: these are taken from the notices,
+uncommon and rare ones first, until what is left of each notice is too light to reach the threshold alone, so by Cauchy
+and Schwarz no line is missed. For the same reason a line is dropped if the terms that it shares
+with each notice are too light together. Only what is left is taken apart and shuffled, once.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import stage
+from chronokv.llm.common import checked_broadcast, fresh, settled, stage
 
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-STOP = frozenset("a an and any are as at be by can for from in is it may not of on or that the this to under was which with you your".split())
+#: Words that any text has: taken as telling terms last. They have their weight like all others.
+COMMON = frozenset("a an and any are as at be by can for from in is it may not of on or that the this to under was which with you your use work without either except file files found form later software source version".split())
 LICENSE_FILE = "(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
+#: Whole public licence texts.
+TEXTS = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "templates").glob("*.txt"))]
 #: Public short notices of common licences (fixed values).
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -47,7 +52,7 @@ TEMPLATES = [
 
 
 def terms(text: str) -> list[str]:
-    return [t for t in re.findall(TERM, text.lower()) if t not in STOP]
+    return re.findall(TERM, text.lower())
 
 
 def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float]:
@@ -74,7 +79,7 @@ def telling(templates: list[tuple[str, str]], threshold: float) -> list[str]:
     weight, _ = weights(templates)
     chosen: set[str] = set()
     for i in range(len(templates)):
-        mine = sorted(((t, x) for k, _, t, x in rows if k == i), key=lambda p: (-weight[p[0]], -len(p[0]), p[0]))
+        mine = sorted(((t, x) for k, _, t, x in rows if k == i), key=lambda p: (p[0] in COMMON, -weight[p[0]], -len(p[0]), p[0]))
         left = sum(x * x for t, x in mine if t not in chosen)
         for t, x in mine:
             if left < threshold * threshold * 0.999999:
@@ -85,43 +90,59 @@ def telling(templates: list[tuple[str, str]], threshold: float) -> list[str]:
     return sorted(chosen)
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.6, path: str = "path", text: str = "text") -> DataFrame:
+@settled
+def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, texts: list[tuple[str, str]] | None = None, threshold: float = 0.6, path: str = "path", text: str = "text") -> DataFrame:
     """The columns of ``files`` but the text, with license, similarity, inherited_from and effective_license.
 
-    ``license``: of the template most similar to the file or one of its lines, if its cosine (to
-    six digits) reaches ``threshold``; among equals the first by name. ``inherited_from``: for
-    files without one, the nearest ancestor directory with a licence file that has one. Null
-    texts have no licence; a null path has no ancestors; repeated rows are kept.
+    ``license``: of the template most similar to one of the file's lines or, for a licence file,
+    to its body, if the cosine (to six digits) reaches ``threshold``; among equals the first by
+    name. ``inherited_from``: for files without one, the nearest ancestor directory with a licence
+    file that has one. Null texts have no licence; a null path has no ancestors; repeated rows are
+    kept. Where the table has a column of one of these names, that keeps it and the operator's
+    has an underscore before it.
     """
-    templates = TEMPLATES if templates is None else templates
+    notices, whole = TEMPLATES if templates is None else templates, TEXTS if texts is None else texts
     spark = files.sparkSession
-    weight, other = weights(templates)
-    marks = telling(templates, threshold)
-    # Staged narrow: what a row is called again, whether it is a licence file, its telling lines.
-    body = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    is_file = F.coalesce(F.regexp_like(F.col(path), F.lit(LICENSE_FILE)), F.lit(False))
-    telling_line = "(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in sorted(marks, key=lambda t: (-len(t), t))) + ")([^a-z0-9]|$)"
-    lines = F.when(is_file, F.array(body)).otherwise(F.split(body, "\n"))
     keep = [c for c in files.columns if c != text]
-    rows = stage(files.select(F.struct(*keep).alias("file"), F.col(path).alias("at"), F.monotonically_increasing_id().alias("row"), is_file.alias("is_file"), F.filter(lines, lambda x: F.regexp_like(x, F.lit(telling_line))).alias("lines")), "files")
-
-    known = spark.createDataFrame([(t, float(w)) for t, w in weight.items()], "term string, weight double")
-    unit = spark.createDataFrame(vectors(templates), "template int, license string, term string, share double")
-    counts = rows.select("row", F.posexplode("lines").alias("line", "s")).select("row", "line", F.regexp_extract_all("s", F.lit(TERM), 0).alias("terms")).where(_reach(vectors(templates)) >= threshold * threshold * 0.999999).select("row", "line", F.explode("terms").alias("term")).where(~F.col("term").isin(*sorted(STOP))).groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
-    weighed = counts.join(F.broadcast(known), "term", "left").withColumn("x", F.col("tf") * F.coalesce("weight", F.lit(other))).select("row", "line", "term", "x")  # one row per template term
-    norms = weighed.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(F.broadcast(unit), "term").groupBy("row", "line", "template", "license").agg(F.sum(F.col("x") * F.col("share")).alias("dot"))
-    cosine = dots.join(norms, ["row", "line"]).select("row", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = cosine.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("row", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
-    own = stage(rows.drop("lines").join(best, "row", "left").withColumn("dir", parent("at")), "own")
+    license, similarity, inherited_from, effective = (fresh(c, *keep) for c in ("license", "similarity", "inherited_from", "effective_license"))
+    # Staged narrow: what a row is called again, whether it is a licence file, its telling lines and a licence file's body.
+    body = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    is_file = F.coalesce(F.regexp_like(F.col(path).cast("string"), F.lit(LICENSE_FILE)), F.lit(False))
+    marks = sorted(telling(notices, threshold), key=lambda t: (-len(t), t))
+    telling_line = "(^|[^a-z0-9])(" + "|".join(map(re.escape, marks)) + ")([^a-z0-9]|$)"
+    lines = F.filter(F.split(body, "\n"), lambda x: F.regexp_like(x, F.lit(telling_line)))
+    parts = F.concat(F.array(F.when(is_file, body)), lines)  # part 0 is the body, null in other files
+    rows = stage(files.select(F.struct(*keep).alias("file"), F.col(path).cast("string").alias("at"), F.monotonically_increasing_id().alias("row"), is_file.alias("is_file"), parts.alias("parts")), "files")
+
+    families = [(weights(notices), vectors(notices)), (weights(whole), vectors(whole))]
+    names = [n for n, _ in notices] + [n for n, _ in whole]
+    first = len(notices)  # the number of the first whole text
+    share: dict[str, list[float]] = {}
+    for k, (_, rows_of) in enumerate(families):
+        for i, _, t, x in rows_of:
+            share.setdefault(t, [0.0] * len(names))[i + k * first] = x
+    known = spark.createDataFrame([(t, *[float(w.get(t, other)) for (w, other), _ in families], x) for t, x in share.items()], "term string, w0 double, w1 double, share array<double>")
+
+    taken = rows.select("row", F.posexplode("parts").alias("part", "s")).where("s is not null").select("row", "part", F.regexp_extract_all("s", F.lit(TERM), 0).alias("terms"))
+    near = taken.where((F.col("part") == 0) | (_reach(families[0][1]) >= threshold * threshold * 0.999999))
+    counts = near.select("row", "part", F.explode("terms").alias("term")).repartition("row", "part").groupBy("row", "part", "term").agg(F.count("*").alias("tf"))
+    other = [o for (_, o), _ in families]
+    weighed = counts.join(F.broadcast(known), "term", "left").select("row", "part", *[(F.col("tf") * F.coalesce(f"w{k}", F.lit(o))).alias(f"x{k}") for k, o in enumerate(other)], "share")  # one row per template term
+    of = lambda i: f"x{int(i >= first)}"
+    sums = weighed.groupBy("row", "part").agg(*[F.sqrt(F.sum(F.col(x) * F.col(x))).alias(f"norm_{x}") for x in ("x0", "x1")], *[F.sum(F.col(of(i)) * F.col("share")[i]).alias(f"dot{i}") for i in range(len(names))])
+    cosine = lambda i: F.round(F.col(f"dot{i}") / F.col(f"norm_{of(i)}"), 6)
+    match = lambda i, n: F.when((cosine(i) >= threshold) & ((F.col("part") == 0) if i >= first else F.lit(True)), F.struct((-cosine(i)).alias("s"), F.lit(n).alias("name")))
+    matches = sums.select("row", F.array_min(F.array(*[match(i, n) for i, n in enumerate(names)])).alias("b")).where("b is not null")
+    best = matches.groupBy("row").agg(F.min("b").alias("b")).select("row", F.col("b.name").alias("license"), (-F.col("b.s")).alias("similarity"))
+    own = stage(rows.drop("parts").join(best, "row", "left").withColumn("dir", parent("at")), "own")
 
     found = own.where("is_file and license is not null").groupBy(F.col("dir").alias("ancestor")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("ancestor", F.col("b.license").alias("theirs"))
     # Each directory is resolved once, however many files it holds.
     above = own.where("dir is not null").select("dir").distinct().select("dir", F.explode(ancestors("dir")).alias("ancestor"))
-    inherited = above.join(found, "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "ancestor", "theirs")).alias("i")).select("dir", "i.ancestor", "i.theirs")
-    done = own.join(inherited, "dir", "left")
+    inherited = above.join(checked_broadcast(stage(found, "found")), "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "ancestor", "theirs")).alias("i")).select("dir", "i.ancestor", "i.theirs")
+    done = own.join(checked_broadcast(stage(inherited, "inherited")), "dir", "left")
     lacks = F.col("license").isNull()
-    return done.select("file.*", "license", "similarity", F.when(lacks, F.col("ancestor")).alias("inherited_from"), F.coalesce("license", "theirs").alias("effective_license"))
+    return done.select("file.*", F.col("license").alias(license), F.col("similarity").alias(similarity), F.when(lacks, F.col("ancestor")).alias(inherited_from), F.coalesce("license", "theirs").alias(effective))
 
 
 def _reach(rows: list[tuple[int, str, str, float]]) -> Column:
@@ -162,21 +183,26 @@ def _quoted(s: str) -> str:
 
 def scan_sql(threshold: float = 0.6) -> str:
     """The same over all lines, without the telling terms, for ``document_paths`` of the table documents."""
-    weight, other = weights(TEMPLATES)
-    known = ", ".join(f"({_quoted(t)}, {w!r}::DOUBLE)" for t, w in sorted(weight.items()))
-    unit = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)}, {x!r}::DOUBLE)" for i, n, t, x in vectors(TEMPLATES))
+    known, unit, others = [], [], []
+    for k, templates in enumerate((TEMPLATES, TEXTS)):
+        weight, other = weights(templates)
+        others.append(f"({k}, {other!r}::DOUBLE)")
+        known += [f"({k}, {_quoted(t)}, {w!r}::DOUBLE)" for t, w in sorted(weight.items())]
+        unit += [f"({k}, {i}, {_quoted(n)}, {_quoted(t)}, {x!r}::DOUBLE)" for i, n, t, x in vectors(templates)]
     return f"""
-WITH known(term, weight) AS (VALUES {known}), unit(template, license, term, share) AS (VALUES {unit}),
+WITH known(family, term, weight) AS (VALUES {", ".join(known)}), unit(family, template, license, term, share) AS (VALUES {", ".join(unit)}),
+others(family, other) AS (VALUES {", ".join(others)}),
 t AS (SELECT doc_id, lower(coalesce(text, '')) AS body, coalesce(source, 'unknown') || '/' || (doc_id // 1000)::VARCHAR AS top,
   coalesce(source, 'unknown') || '/' || (doc_id // 1000)::VARCHAR || '/' || (doc_id % 1000 // 100)::VARCHAR AS sub FROM documents),
 f AS (SELECT doc_id, body, doc_id % 100 = 0 AS is_file, CASE WHEN doc_id % 1000 = 0 THEN top ELSE sub END AS dir,
   CASE WHEN doc_id % 1000 = 0 THEN top || '/LICENSE' WHEN doc_id % 100 = 0 THEN sub || '/LICENSE' ELSE sub || '/' || doc_id::VARCHAR || '.txt' END AS path FROM t),
-l AS (SELECT doc_id, generate_subscripts(s, 1) AS line, unnest(s) AS s FROM (SELECT doc_id, CASE WHEN is_file THEN [body] ELSE string_split(body, chr(10)) END AS s FROM f)),
-c AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(s, '{TERM}')) AS term FROM l) WHERE term NOT IN ({', '.join(map(_quoted, sorted(STOP)))}) GROUP BY ALL),
-w AS (SELECT doc_id, line, term, tf * coalesce(weight, {other!r}::DOUBLE) AS x FROM c LEFT JOIN known USING (term)),
-n AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM w GROUP BY ALL),
-dots AS (SELECT doc_id, line, template, license, sum(x * share) AS dot FROM w JOIN unit USING (term) GROUP BY ALL),
-cosine AS (SELECT doc_id, license, round(dot / norm, 6) AS similarity FROM dots JOIN n USING (doc_id, line)),
+l AS (SELECT doc_id, generate_subscripts(s, 1) AS part, unnest(s) AS s FROM (SELECT doc_id, string_split(body, chr(10)) AS s FROM f)
+  UNION ALL SELECT doc_id, 0, body FROM f WHERE is_file),
+c AS (SELECT doc_id, part, term, count(*) AS tf FROM (SELECT doc_id, part, unnest(regexp_extract_all(s, '{TERM}')) AS term FROM l) GROUP BY ALL),
+w AS (SELECT doc_id, part, family, term, tf * coalesce(weight, other) AS x FROM c JOIN others ON family = 0 OR part = 0 LEFT JOIN known USING (family, term)),
+n AS (SELECT doc_id, part, family, sqrt(sum(x * x)) AS norm FROM w GROUP BY ALL),
+dots AS (SELECT doc_id, part, family, template, license, sum(x * share) AS dot FROM w JOIN unit USING (family, term) GROUP BY ALL),
+cosine AS (SELECT doc_id, license, round(dot / norm, 6) AS similarity FROM dots JOIN n USING (doc_id, part, family)),
 best AS (SELECT doc_id, license, similarity FROM cosine WHERE similarity >= {threshold}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) = 1),
 own AS (SELECT f.doc_id, f.path, f.dir, f.is_file, b.license, b.similarity FROM f LEFT JOIN best b USING (doc_id)),
@@ -187,4 +213,3 @@ up AS (SELECT o.dir, a.ancestor, a.theirs FROM (SELECT DISTINCT dir FROM own) o
 SELECT doc_id, path, license, similarity, CASE WHEN license IS NULL THEN ancestor END AS inherited_from, coalesce(license, theirs) AS effective_license
 FROM own LEFT JOIN up USING (dir)
 """
-
