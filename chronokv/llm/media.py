@@ -2,7 +2,8 @@
 
 HTML is parsed into an ordered sequence of text and media-reference structs; a figure's caption
 stays with its reference. References name their media by digest, and a join on the digest
-resolves them against a media store. Stored media are 8-bit greyscale PNG images, 64 samples
+resolves them against a media store. A digest that very many references name is resolved by a
+small table sent to all tasks, so that it is no hot key. Stored media are 8-bit greyscale PNG images, 64 samples
 wide; the number of bytes before padding is a text chunk of the image.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, stage, text_bytes, tidy
+from chronokv.llm.common import binary_view, checked_broadcast, fresh, gathered, settled, stage, text_bytes, tidy
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -142,39 +143,51 @@ def parse(html: str) -> list[dict]:
     return parser.items
 
 
-ITEMS = "doc_id long, position int, kind string, text string, digest string, caption string"
+ITEMS = "row long, doc_id long, position int, kind string, text string, digest string, caption string"
+HOT = 1000  # references to one digest from which it is resolved apart
 
 
-def items(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
-    """One row per item: (doc_id, position, kind, text, digest, caption), positions from 0 in reading order.
+def items(pages: DataFrame, doc_id: str = "doc_id", html: str = "html", row: str | None = None) -> DataFrame:
+    """One row per item: (row, doc_id, position, kind, text, digest, caption), positions from 0 in reading order.
 
     ``digest`` is the reference without its ``media:sha256:`` prefix; other references stay as
-    they are. A null or empty page has no items; repeated and null doc_ids are kept; other
-    columns are ignored.
+    they are. A null or empty page has no items; repeated and null doc_ids are kept, and ``row``
+    (the column of this name, or a number given here) tells their pages apart. Other columns are
+    ignored.
     """
 
     def run(batches):
         for batch in gathered(batches, "html"):
             out = []
-            for d, h in zip(batch.column("doc_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for r, d, h in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "html")), strict=True):
                 for k, x in enumerate(parse(h.decode("utf-8", "replace"))):
                     ref = x["ref"] and x["ref"].removeprefix(SCHEME)
-                    out.append((d, k, x["kind"], x["text"], ref, x["caption"]))
+                    out.append((r, d, k, x["kind"], x["text"], ref, x["caption"]))
             if out:
-                kinds = (pa.int64(), pa.int32(), *[pa.string()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "position", "kind", "text", "digest", "caption"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "doc_id", "position", "kind", "text", "digest", "caption"])
 
-    return pages.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(html).alias("html")).mapInArrow(tidy(run), ITEMS)
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return pages.select(number.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_bytes(html).alias("html")).mapInArrow(tidy(run), ITEMS)
 
 
-def resolve(sequence: DataFrame, store: DataFrame) -> DataFrame:
+def resolve(sequence: DataFrame, store: DataFrame, hot: int = HOT) -> DataFrame:
     """Joins references with what ``store`` (a row per digest, with any columns) has of them.
 
     The items keep their positions and captions; one whose digest the store lacks, or that has
-    none, keeps nulls. Columns of the store that clash are prefixed with ``media_``.
+    none, keeps nulls. Columns of the store that clash are prefixed with ``media_``, and with an
+    underscore more while that is taken too. ``sequence`` is read more than once, so it should be
+    a written table. Items without a reference and digests of ``hot`` references or more take no
+    part in the shuffle.
     """
-    clash = {c: f"media_{c}" for c in store.columns if c != "digest" and c in sequence.columns}
-    return sequence.join(store.withColumnsRenamed(clash).dropDuplicates(["digest"]), "digest", "left")
+    taken = [*sequence.columns, *store.columns]
+    clash = {c: fresh(f"media_{c}", *taken) for c in store.columns if c != "digest" and c in sequence.columns}
+    known = store.withColumnsRenamed(clash).dropDuplicates(["digest"])
+    often = stage(sequence.where("digest is not null").groupBy("digest").count().where(F.col("count") >= hot).select("digest"), "often")
+    named = sequence.where("digest is not null")
+    cold = named.join(checked_broadcast(often), "digest", "left_anti").join(known, "digest", "left")
+    there = checked_broadcast(stage(often.join(known, "digest", "left"), "hot"))
+    return cold.unionByName(named.join(there, "digest")).unionByName(sequence.where("digest is null"), allowMissingColumns=True)
 
 
 def describe(store: DataFrame) -> DataFrame:
@@ -201,9 +214,10 @@ def describe(store: DataFrame) -> DataFrame:
 
 
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores every text as an image and writes a page that refers to it: (doc_id, html, digest, media).
+    """Stores every text as an image and writes a page of the text and that image: (row, doc_id, html, digest, media).
 
-    A null text is an empty one; its image has one line of zeros.
+    The page has the whole text, a paragraph for each line, with the figure after the first. A
+    null text is an empty one; its image has one line of zeros.
     """
 
     def run(batches):
@@ -215,20 +229,33 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 blob = to_png(padded(body), len(body))
                 digest.append(hashlib.sha256(blob).hexdigest())
                 media.append(blob)
-                lead = escape(body[:80].decode("utf-8", "ignore"))
-                html.append(f'<article><p>{lead}</p><figure><img src="{SCHEME}{digest[-1]}"><figcaption>document {"null" if d is None else d}</figcaption></figure></article>')
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(html, pa.string()), pa.array(digest, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
+                first, *rest = escape(body.decode("utf-8", "replace")).split("\n")
+                figure = f'<figure><img src="{SCHEME}{digest[-1]}"><figcaption>document {"null" if d is None else d}</figcaption></figure>'
+                html.append(f"<article><p>{first}</p>{figure}{''.join(f'<p>{x}</p>' for x in rest)}</article>")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(html, pa.string()), pa.array(digest, pa.string()), pa.array(media, pa.binary())], names=["row", "doc_id", "html", "digest", "media"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("data"))
-    return stage(rows.mapInArrow(tidy(run), "doc_id long, html string, digest string, media binary"), "media")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("data"))
+    return stage(rows.mapInArrow(tidy(run), "row long, doc_id long, html string, digest string, media binary"), "media")
 
 
+@settled
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document with what its stored payload says: see :func:`describe`; also position and caption.
+    """A row per document with what its stored payload says, see :func:`describe`, and of its sequence.
 
-    Whole texts are stored; only descriptions and references are shuffled, never payloads. An
-    empty table gives no rows; null and repeated doc_ids are kept.
+    ``position`` and ``caption`` are those of the media item; ``n_items`` counts the sequence's
+    items and ``text_chars`` the characters of its text items. Whole texts are stored and parsed;
+    only counts, references and descriptions are shuffled. An empty table gives no rows; null and
+    repeated doc_ids are kept.
     """
     store = store_texts(docs, doc_id, text)
-    references = items(store).where("kind = 'media'")
-    return resolve(references.drop("text"), describe(store)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    # A page's items leave one task, so this sends one narrow row for each document.
+    media = F.when(F.col("kind") == "media", F.struct("position", "digest", "caption"))
+    sequence = items(store, row="row").groupBy("row", "doc_id").agg(F.max(media).alias("m"), F.count("*").alias("n_items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("text_chars"))
+    references = stage(sequence.select("row", "doc_id", "n_items", "text_chars", "m.*"), "references")
+    return resolve(references, stage(describe(store), "described")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "text_chars")
+
+
+@settled
+def page_sequences(pages: DataFrame, store: DataFrame, doc_id: str = "page_id", html: str = "html") -> DataFrame:
+    """The items of raw pages, their references resolved against ``store``: see :func:`items` and :func:`resolve`."""
+    return resolve(stage(items(pages, doc_id, html), "items"), store)
