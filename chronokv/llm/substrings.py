@@ -3,17 +3,26 @@
 Every string of ``length`` bytes is dealt to a group by the smallest hash among its inner
 ``kgram``-byte strings, so equal strings meet in one group, and neighbours with the same
 smallest hash travel as one piece. Hashes of one document only are dropped beforehand, exactly:
-what they cover cannot repeat. In a group the pieces' text is indexed: its suffix array gives
-the Burrows-Wheeler transform, kept as runs with the suffix samples at their ends. The pieces
-then stream their matching statistics over the runs, from right to left; where a match of
-``length`` bytes or more is found, the interval of the index that it lies in names the smallest
-document that has the string. Strings of larger documents are marked, and the marks of a
-document are united into the bytes to remove.
+what they cover cannot repeat.
+
+In a group the text of the pieces that a larger document may repeat is indexed: its suffix array
+gives the Burrows-Wheeler transform and is dropped; what stays are the runs, the suffix samples
+at their ends, the text, and the smallest document of each interval of equal strings, run by run.
+The pieces of the other documents stream their matching statistics over the runs, from right to
+left; where a match of ``length`` bytes or more is found, the interval that it lies in names the
+smallest document that has the string. Pieces of the smallest document of all that share a hash
+are settled without that. Strings of larger documents are marked, and the marks of a document
+are united into the bytes to remove.
+
+A passage of very many documents does not gather its occurrences in one task: its pieces are
+reduced to the distinct ones, with their smallest and largest document, over groups of chunks;
+only these go on to the index, and each group of chunks gets one answer.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, rows_of, squeeze
-from chronokv.llm.common import mix, settled, tidy, words8
+from chronokv.llm.common import mix, settled, stage, tidy, words8
 
 LENGTH = 50
 KGRAM = 26
 PIECE = 128  # starts in a piece at most
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-HOT = 12  # class of a hash in 2048 documents or more: its strings are dealt by a second hash too
+HOT = 11  # class of a hash in 1024 documents or more: its strings are dealt by a second hash too, and reduced over groups of chunks
 
 
 def _sliding(h: np.ndarray, width: int, f=np.minimum) -> np.ndarray:
@@ -94,28 +103,39 @@ def _keys(length: int, kgram: int):
 
 
 class RunIndex:
-    """The run-compressed transform of a text and its samples."""
+    """The run-compressed transform of a text, its samples, and a number for every row, also by runs.
 
-    def __init__(self, text: np.ndarray):
-        self.text, n = text, len(text)
-        self.sa = suffix_array(text)
-        bwt = text[self.sa - 1]
-        head = np.ones(n, dtype=bool)
+    ``numbers(suffix array)`` gives the rows' numbers; the suffix array itself is not kept.
+    """
+
+    def __init__(self, text: np.ndarray, numbers=None):
+        self.text, self.n, self.eight = text, len(text), words8(text)
+        sa = suffix_array(text)
+        bwt = text[sa - 1]
+        head = np.ones(self.n, dtype=bool)
         head[1:] = bwt[1:] != bwt[:-1]
         start = np.flatnonzero(head)
-        end = np.append(start[1:], n)
+        end = np.append(start[1:], self.n)
         char = bwt[start].astype(np.int64)
-        self.n, self.runs = n, len(start)
+        self.runs, self.row_start, self.origin = len(start), start, int(sa[0])
         by = np.argsort(char, kind="stable")
         self.char, self.start, self.end = char[by], start[by], end[by]
         size = self.end - self.start
         self.lf = np.cumsum(size) - size  # where a run's first row goes: runs of smaller bytes, then earlier ones
-        self.key = self.char * (n + 1) + self.start
-        place = np.empty(len(by), np.int32)
-        place[by] = np.arange(len(by), dtype=np.int32)
-        self.run_at = np.repeat(place, end - start)  # a directory from rows to runs, instead of a search
-        self.first, self.last = self.sa[self.start], self.sa[self.end - 1]  # samples at the runs' ends
-        self.eight = words8(text)
+        self.key = self.char * (self.n + 1) + self.start
+        self.place = np.empty(len(by), np.int64)  # from the runs in the rows' order to those by bytes
+        self.place[by] = np.arange(len(by))
+        self.first, self.last = sa[self.start], sa[self.end - 1]  # samples at the runs' ends
+        if numbers is not None:
+            each = numbers(sa)
+            self.steps = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+            self.values = each[self.steps]
+
+    def run_at(self, row: np.ndarray) -> np.ndarray:
+        return self.place[np.searchsorted(self.row_start, row, "right") - 1]
+
+    def number(self, row: np.ndarray) -> np.ndarray:
+        return self.values[np.searchsorted(self.steps, row, "right") - 1]
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """How many bytes the suffixes at a and b share, ``most`` at most."""
@@ -143,14 +163,14 @@ class RunIndex:
         order = np.argsort(start - end, kind="stable")
         size = (end - start)[order]
         row = np.zeros(len(order), np.int64)
-        at = np.full(len(order), self.sa[0], np.int64)
+        at = np.full(len(order), self.origin, np.int64)
         stat = np.zeros(len(order), np.int64)
         for step in range(int(size[0]) if len(size) else 0):
             m = int(np.searchsorted(-size, -step, "left"))  # patterns with a byte here
             place = end[order[:m]] - 1 - step
             c = text[place].astype(np.int64)
             q, p, s = row[:m], at[:m], stat[:m]
-            run = self.run_at[q].astype(np.int64)
+            run = self.run_at(q)
             off = np.flatnonzero(self.char[run] != c)  # the row's byte is another: go to the nearest run of this one
             if len(off):
                 up = np.searchsorted(self.key, c[off] * (self.n + 1) + q[off], "right") - 1
@@ -175,10 +195,11 @@ class RunIndex:
             stat[:m] = np.minimum(s + 1, most)
             if len(off) and dead.any():
                 gone = off[dead]
-                row[gone], at[gone], stat[gone] = 0, self.sa[0], 0
+                row[gone], at[gone], stat[gone] = 0, self.origin, 0
             at[:m] %= self.n
             yield order[:m], place, row[:m], stat[:m]
 
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """By doubling from eight bytes; only suffixes that still tie are sorted again.
 
@@ -207,78 +228,154 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def smallest_owner(strings: np.ndarray, offsets: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct strings, each with its smallest document: that of every ``length``-byte string in them.
+def _joined(strings: np.ndarray, offsets: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``some`` of the strings, and their offsets."""
+    size = np.diff(offsets)[some]
+    at = np.concatenate([[0], np.cumsum(size)])
+    return strings[np.repeat(offsets[:-1][some] - at[:-1], size) + np.arange(at[-1])], at
+
+
+def smallest_owner(strings: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH, kgram: int = KGRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct strings with their smallest and largest documents: the smallest of every ``length``-byte string in them.
 
-    Returns (owners, offsets): of string i the starts 0 .. size - length.
+    Returns (owners, offsets): of string i the starts 0 .. size - length. Each string is a piece,
+    so its first ``length`` bytes have the smallest hash of all; only pieces of one hash share
+    strings. The smallest document of a hash needs no search; the strings that only its largest
+    has need not be found.
     """
-    n = len(offsets) - 1
     size = np.diff(offsets)
+    starts = np.maximum(0, size - length + 1)
+    out_at = np.concatenate([[0], np.cumsum(starts)])
+    out = np.repeat(low, starts)
+    if not len(size):
+        return out, out_at
+    begin = (offsets[:-1, None] + np.arange(length)).ravel()
+    heads = strings[np.minimum(begin, len(strings) - 1)]
+    wide = length - kgram + 1
+    hashes = kgram_hashes(np.append(heads, np.zeros(kgram, np.uint8)), kgram)[: len(heads)].reshape(-1, length)[:, :wide].min(axis=1)
+    _, group = np.unique(hashes, return_inverse=True)
+    first, last = np.full(group.max() + 1, NULL_ID), np.full(group.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(first, group, low)
+    np.maximum.at(last, group, high)
+    indexed, sought = np.flatnonzero(low < last[group]), np.flatnonzero(low > first[group])
+    if not len(indexed) or not len(sought):
+        return out, out_at
     free = np.flatnonzero(np.bincount(strings, minlength=256)[1:] == 0)
     if not len(free):
         raise ValueError("the strings use every byte; UTF-8 does not")
-    text = np.full(len(strings) + n, free[-1] + 1, np.uint8)  # a byte that no string has ends each
-    shift = np.repeat(np.arange(n), size)
-    text[np.arange(len(strings)) + shift] = strings
-    start = offsets[:-1] + np.arange(n)
-    end = start + size
-    index = RunIndex(text)
-    sa = index.sa
-    of = np.repeat(np.arange(n), size + 1)[sa]
-    fits = sa + length <= end[of]
-    same = np.zeros(len(sa), dtype=bool)
-    live = np.flatnonzero(fits[1:] & fits[:-1]) + 1
-    for k in [*range(0, length - 8, 8), length - 8]:
-        live = live[index.eight[sa[live] + k] == index.eight[sa[live - 1] + k]]
-    same[live] = True
-    group = np.flatnonzero(~same)  # rows at which an interval of one string begins
-    least = np.repeat(np.minimum.reduceat(np.where(fits, owner[of], NULL_ID), group), np.diff(np.append(group, len(sa))))
-    starts = np.maximum(0, size - length + 1)
-    out_at = np.concatenate([[0], np.cumsum(starts)])
-    out = np.empty(out_at[-1], np.int64)
-    for which, place, row, stat in index.stream(start, end, text, -(-length // 8) * 8 + 8):
-        begin = place - start[which]
-        ok = begin + length <= size[which]
-        if not ok.any():
-            continue
-        if (stat[ok] < length).any():
-            raise AssertionError("an indexed string was not found")
-        out[out_at[which[ok]] + begin[ok]] = least[row[ok]]
+    plain, at = _joined(strings, offsets, indexed)
+    n = len(indexed)
+    text = np.full(len(plain) + n, free[-1] + 1, np.uint8)  # a byte that no string has ends each
+    text[np.arange(len(plain)) + np.repeat(np.arange(n), np.diff(at))] = plain
+    end = at[1:] + np.arange(n)
+
+    def least_of(sa: np.ndarray) -> np.ndarray:
+        of = np.searchsorted(end, sa)
+        fits = sa + length <= end[of]
+        same = np.zeros(len(sa), dtype=bool)
+        live, eight = np.flatnonzero(fits[1:] & fits[:-1]) + 1, words8(text)
+        for k in [*range(0, length - 8, 8), length - 8]:
+            live = live[eight[sa[live] + k] == eight[sa[live - 1] + k]]
+        same[live] = True
+        interval = np.flatnonzero(~same)  # rows at which an interval of one string begins
+        return np.repeat(np.minimum.reduceat(np.where(fits, low[indexed][of], NULL_ID), interval), np.diff(np.append(interval, len(sa))))
+
+    index = RunIndex(text, least_of)
+    patterns, pattern_at = _joined(strings, offsets, sought)
+    base, wanted = out_at[:-1][sought], size[sought]
+    for which, place, row, stat in index.stream(pattern_at[:-1], pattern_at[1:], patterns, -(-length // 8) * 8 + 8):
+        begin = place - pattern_at[which]
+        ok = (begin + length <= wanted[which]) & (stat >= length)
+        if ok.any():
+            to = base[which[ok]] + begin[ok]
+            out[to] = np.minimum(out[to], index.number(row[ok]))
     return out, out_at
 
 
-def _mark(table: pa.Table, length: int) -> pa.Table:
-    """For a group's rows (chunk, sizes, body, string, at, row, ids): which starts repeat an earlier document."""
-    parts = [{n: c[i].as_py() for n, c in zip(table.column_names, table.columns, strict=True)} for i in range(table.num_rows)]
+def _rows(table: pa.Table) -> list[dict]:
+    return [{n: c[i].as_py() for n, c in zip(table.column_names, table.columns, strict=True)} for i in range(table.num_rows)]
+
+
+def _distinct(parts: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(bytes, offsets) of the distinct strings of the parts (sizes, body), and for each part which they are."""
     sizes = [expand(p["sizes"], np.uint16).astype(np.int64) for p in parts]
-    bodies = [expand(p["body"]) for p in parts]
-    strings = [expand(p["string"], np.uint32).astype(np.int64) for p in parts]
-    doc = [expand(p["ids"], np.int64) for p in parts]
     base = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
     at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    coded = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.concatenate(bodies))]).dictionary_encode()
+    coded = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.concatenate([expand(p["body"]) for p in parts]))]).dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)
-    which = [code[base[i] + s] for i, s in enumerate(strings)]
-    kinds = len(coded.dictionary)
-    owner = np.full(kinds, NULL_ID, np.int64)
-    np.minimum.at(owner, np.concatenate(which), np.concatenate(doc))
     raw = coded.dictionary
-    off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + kinds + 1]
+    off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     text = np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]]
-    least, least_at = smallest_owner(text, off - off[0], owner, length)
-    marks = []
-    for w, d in zip(which, doc, strict=True):
-        n = least_at[w + 1] - least_at[w]
+    return text, off - off[0], [code[base[i] : base[i + 1]] for i in range(len(parts))]
+
+
+def _span(kinds: int, which: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and largest document of each string."""
+    least, most = np.full(kinds, NULL_ID, np.int64), np.full(kinds, np.iinfo(np.int64).min, np.int64)
+    np.minimum.at(least, which, low)
+    np.maximum.at(most, which, high)
+    return least, most
+
+
+def _marks(which: np.ndarray, doc: np.ndarray, least: np.ndarray, least_at: np.ndarray) -> bytes:
+    """A bit for each start of the pieces: whether a smaller document has the string."""
+    n = least_at[which + 1] - least_at[which]
+    ends = np.cumsum(n)
+    own = least[np.repeat(least_at[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    return squeeze(np.packbits(own < np.repeat(doc, n)))
+
+
+#: kind 0: a chunk's marks. Of a hot bucket, over a group of chunks: kind 1, the distinct strings
+#: and their documents (sizes, body, low, high); kind 2, a chunk's pieces by these strings.
+FOUND = "kind int, bucket int, part int, chunk long, at binary, starts binary, marks binary, sizes binary, body binary, low binary, high binary, string binary, ids binary"
+FOUND_SCHEMA = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in FOUND.split(", ")])
+
+
+def _meet(table: pa.Table, length: int, kgram: int) -> pa.Table:
+    """For a bucket's pieces their marks; for those of a hot bucket what :func:`_settle` and :func:`_answer` need."""
+    parts = _rows(table)
+    text, offsets, codes = _distinct(parts)
+    which = [code[expand(p["string"], np.uint32).astype(np.int64)] for p, code in zip(parts, codes, strict=True)]
+    doc = [expand(p["ids"], np.int64) for p in parts]
+    low, high = _span(len(offsets) - 1, np.concatenate(which), np.concatenate(doc), np.concatenate(doc))
+    common = {"bucket": parts[0]["bucket"], "part": parts[0]["part"]}
+    if common["part"] >= 0:
+        out = [{"kind": 1, "sizes": squeeze(np.diff(offsets).astype(np.uint16)), "body": squeeze(text, 3), "low": squeeze(low), "high": squeeze(high)} | common]
+        out += [{"kind": 2, "chunk": p["chunk"], "at": p["at"], "starts": p["starts"], "string": squeeze(w.astype(np.uint32)), "ids": p["ids"]} | common for p, w in zip(parts, which, strict=True)]
+    else:
+        least, least_at = smallest_owner(text, offsets, low, high, length, kgram)
+        out = [{"kind": 0, "chunk": p["chunk"], "at": p["at"], "starts": p["starts"], "marks": _marks(w, d, least, least_at)} | common for p, w, d in zip(parts, which, doc, strict=True)]
+    return pa.Table.from_pylist(out, FOUND_SCHEMA)
+
+
+def _settle(table: pa.Table, length: int, kgram: int) -> pa.Table:
+    """The smallest documents of a hot bucket's strings, told to each group of chunks."""
+    parts = _rows(table)
+    text, offsets, codes = _distinct(parts)
+    low, high = _span(len(offsets) - 1, np.concatenate(codes), np.concatenate([expand(p["low"], np.int64) for p in parts]), np.concatenate([expand(p["high"], np.int64) for p in parts]))
+    least, least_at = smallest_owner(text, offsets, low, high, length, kgram)
+    told = []
+    for code in codes:
+        n = least_at[code + 1] - least_at[code]
         ends = np.cumsum(n)
-        own = least[np.repeat(least_at[w] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        marks.append(squeeze(np.packbits(own < np.repeat(d, n))))
-    return pa.table({"chunk": table.column("chunk"), "at": table.column("at"), "starts": table.column("starts"), "marks": pa.array(marks, pa.binary())})
+        told.append((squeeze(n), squeeze(least[np.repeat(least_at[code] - (ends - n), n) + np.arange(ends[-1])])))
+    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "n": pa.array([t[0] for t in told], pa.binary()), "least": pa.array([t[1] for t in told], pa.binary())})
+
+
+def _answer(pieces: pa.Table, told: pa.Table) -> pa.Table:
+    """The marks of a group of chunks, by the answer it was told."""
+    reply = _rows(told)[0]
+    n, least = expand(reply["n"], np.int64), expand(reply["least"], np.int64)
+    least_at = np.concatenate([[0], np.cumsum(n)])
+    marks = [_marks(expand(p["string"], np.uint32).astype(np.int64), expand(p["ids"], np.int64), least, least_at) for p in _rows(pieces)]
+    return pa.table({"chunk": pieces.column("chunk"), "at": pieces.column("at"), "starts": pieces.column("starts"), "marks": pa.array(marks, pa.binary())})
 
 
 def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot_class: int = HOT) -> DataFrame:
     """(chunk, parts): for each chunk the places in its bytes whose string also starts in a smaller document."""
     bits = bucket_bits(chunks)
     shared = count_classes(chunks, _keys(length, kgram), bits)
+    groups = max(1, math.isqrt(chunks.count()))  # of chunks, for hot buckets
 
     def send(batches):
         for x in rows_of(batches):
@@ -286,7 +383,8 @@ def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
             start, end, row, least = minima(data, offsets, length, kgram)
             keys, _ = key_counts(distinct_pairs(row, least)[1])
             kind = classes_of(keys, x["parts"], bits)[np.searchsorted(keys, least)]
-            deal = least.copy()
+            deal, part = least.copy(), np.full(len(least), -1, np.int32)
+            own = int(mix(np.array([x["chunk"]], np.uint64))[0] % np.uint64(groups))
             hot = np.flatnonzero(kind >= hot_class)
             if len(hot):  # within these runs the largest hash parts the strings further
                 n = end[hot] - start[hot]
@@ -301,9 +399,10 @@ def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
                 end = np.concatenate([end[cool], place[np.append(first[1:], len(place)) - 1] + 1])
                 row = np.concatenate([row[cool], row[of[first]]])
                 deal = np.concatenate([deal[cool], mix(deal[of[first]] ^ most[first])])
+                part = np.concatenate([part[cool], np.full(len(first), own, np.int32)])
             else:
                 some = kind > 0
-                start, end, row, deal = start[some], end[some], row[some], deal[some]
+                start, end, row, deal, part = start[some], end[some], row[some], deal[some], part[some]
             if not len(start):
                 continue
             n = (end - start + PIECE - 1) // PIECE
@@ -311,28 +410,34 @@ def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
             begin = start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * PIECE
             size = np.minimum(end[of] - begin, PIECE) + length - 1
             bucket = (mix(deal[of]) >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.lexsort((begin, bucket))
+            order = np.lexsort((begin, part[of], bucket))
             begin, size, bucket, of = begin[order], size[order], bucket[order], of[order]
             at = np.concatenate([[0], np.cumsum(size)])
             text = data[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            edges = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[of[1:]] != part[of[:-1]]), [True]]))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 cut = at[lo : hi + 1] - at[lo]
                 coded = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.copy()), pa.py_buffer(text[at[lo] : at[hi]].copy())]).dictionary_encode()
                 kinds = coded.dictionary.to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, t) for v, t in (
-                        ([int(bucket[lo])], pa.int32()), ([x["chunk"]], pa.int64()),
+                        ([int(bucket[lo])], pa.int32()), ([int(part[of[lo]])], pa.int32()), ([x["chunk"]], pa.int64()),
                         ([squeeze(np.array([len(k) for k in kinds], np.uint16))], pa.binary()), ([squeeze(b"".join(kinds), 3)], pa.binary()),
                         ([squeeze(coded.indices.to_numpy().astype(np.uint32))], pa.binary()), ([squeeze(np.diff(begin[lo:hi], prepend=0))], pa.binary()),
                         ([squeeze((size[lo:hi] - length + 1).astype(np.uint16))], pa.binary()), ([squeeze(ids[row[of[lo:hi]]])], pa.binary()),
                     )],
-                    names=["bucket", "chunk", "sizes", "body", "string", "at", "starts", "ids"],
+                    names=["bucket", "part", "chunk", "sizes", "body", "string", "at", "starts", "ids"],
                 )
 
     joined = chunks.join(shared.hint("shuffle_hash"), "chunk").select("chunk", "ids", "offsets", "body", "parts")
-    sent = joined.mapInArrow(tidy(send), "bucket int, chunk long, sizes binary, body binary, string binary, at binary, starts binary, ids binary")
-    marked = sent.groupBy("bucket").applyInArrow(lambda t: _mark(t, length), "chunk long, at binary, starts binary, marks binary")
+    sent = joined.mapInArrow(tidy(send), "bucket int, part int, chunk long, sizes binary, body binary, string binary, at binary, starts binary, ids binary")
+    found = stage(sent.groupBy("bucket", "part").applyInArrow(lambda t: _meet(t, length, kgram), FOUND), "found")
+    marked = found.where("kind = 0").select("chunk", "at", "starts", "marks")
+    if found.where("kind = 1").limit(1).count():
+        told = found.where("kind = 1").select("bucket", "part", "sizes", "body", "low", "high").groupBy("bucket").applyInArrow(lambda t: _settle(t, length, kgram), "bucket int, part int, n binary, least binary")
+        pieces = found.where("kind = 2").select("bucket", "part", "chunk", "at", "starts", "string", "ids")
+        answered = pieces.groupBy("bucket", "part").cogroup(told.groupBy("bucket", "part")).applyInArrow(_answer, "chunk long, at binary, starts binary, marks binary")
+        marked = marked.union(answered)
     return marked.groupBy("chunk").agg(F.collect_list(F.struct("at", "starts", "marks")).alias("parts"))
 
 

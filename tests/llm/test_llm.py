@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -130,22 +131,70 @@ def test_cut_texts_keep_their_columns(docs, rows):
     assert all(r.chunk == "x" for r in got)
 
 
-def test_suffix_array_and_owner(rows):
+def test_suffix_array_is_sorted(rows):
     strings = sorted({(t or "").encode()[:150] for _, t in rows if t and len(t) > 60})
     text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
     raw = text.tobytes()
     assert substrings.suffix_array(text).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-    index = substrings.RunIndex(text)
-    assert index.runs < len(text)
-    own = np.arange(len(strings))[::-1].copy()
-    at = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
-    least, where = substrings.smallest_owner(np.frombuffer(b"".join(strings), np.uint8), at, own)
+
+
+def test_matching_statistics_of_foreign_texts():
+    """Patterns that the index does not hold: at each place the longest match with the text, up to the bound."""
+    r = np.random.default_rng(4)
+    for letters in (2, 5):
+        base = r.integers(97, 97 + letters, 40).astype(np.uint8)
+        text = np.append(np.concatenate([np.concatenate([base[: r.integers(5, 40)], r.integers(97, 97 + letters, 3)]) for _ in range(30)]).astype(np.uint8), np.uint8(255))
+        index, raw = substrings.RunIndex(text), text.tobytes()
+        patterns = np.concatenate([np.concatenate([base[k : k + 25], r.integers(96, 98 + letters, 4)]) for k in range(12)]).astype(np.uint8)
+        edges = np.concatenate([[0], np.cumsum(r.integers(1, 40, 6)), [len(patterns)]])
+        edges = np.unique(np.minimum(edges, len(patterns)))
+        seen = 0
+        for which, place, row, stat in index.stream(edges[:-1], edges[1:], patterns, 64):
+            for w, p, s in zip(which, place, stat, strict=True):
+                want = max(k for k in range(int(edges[w + 1]) - int(p) + 1) if patterns[p : p + k].tobytes() in raw)
+                assert s == want
+                seen += 1
+        assert seen == len(patterns)
+
+
+def test_index_is_of_the_runs_size():
+    """Fifty near copies of one text: what is kept grows with the runs and not with the text, but for the text itself."""
+    r = np.random.default_rng(6)
+    base = r.integers(97, 122, 2000).astype(np.uint8)
+    sizes = []
+    for copies in (5, 50):
+        some = []
+        for _ in range(copies):
+            own = base.copy()
+            own[r.integers(0, 2000)] = 122
+            some.append(np.append(own, np.uint8(255)))
+        index = substrings.RunIndex(np.concatenate(some), lambda sa: sa * 0)
+        arrays = [v for k, v in vars(index).items() if isinstance(v, np.ndarray) and k not in ("text", "eight")]
+        assert all(len(v) <= index.runs for v in arrays)
+        sizes.append(index.runs)
+    assert sizes[1] < 2 * sizes[0] and sizes[1] < 0.1 * index.n
+
+
+def test_smallest_owner_of_pieces():
+    r = np.random.default_rng(7)
+    base = bytes(r.integers(97, 103, 400).astype(np.uint8))
+    texts = [base[r.integers(0, 100) : r.integers(200, 400)] + bytes(r.integers(97, 103, 60).astype(np.uint8)) for _ in range(25)] + [base, base[10:300]]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    start, end, row, _ = substrings.minima(data, at)
+    low: dict = {}
+    high: dict = {}
     best: dict = {}
-    for s, w in zip(strings, own, strict=True):
-        for k in range(len(s) - 49):
-            best[s[k : k + 50]] = min(best.get(s[k : k + 50], 99), w)
-    for i, s in enumerate(strings):
-        assert least[where[i] : where[i + 1]].tolist() == [best[s[k : k + 50]] for k in range(len(s) - 49)]
+    for a, b, d in zip(start, end, row, strict=True):
+        piece = data[a : b + 49].tobytes()
+        low[piece], high[piece] = min(low.get(piece, d), d), max(high.get(piece, d), d)
+        for k in range(len(piece) - 49):
+            best[piece[k : k + 50]] = min(best.get(piece[k : k + 50], d), d)
+    pieces = sorted(low)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+    least, where = substrings.smallest_owner(np.frombuffer(b"".join(pieces), np.uint8), offsets, np.array([low[x] for x in pieces]), np.array([high[x] for x in pieces]))
+    for i, x in enumerate(pieces):
+        assert least[where[i] : where[i + 1]].tolist() == [best[x[k : k + 50]] for k in range(len(x) - 49)]
 
 
 # 2
@@ -276,16 +325,56 @@ def test_subtrees_are_skipped_whole():
 
 
 def test_media_round_trip(docs, rows):
-    got = defaultdict(set)
+    def described(t):
+        raw = (t or "").encode()
+        p = media.padded(raw)
+        assert len(p) % 64 == 0 and p
+        share = [p.count(k) / len(p) for k in range(256)]
+        mean = sum(k * x for k, x in enumerate(share))
+        std = sum(x * (k - mean) ** 2 for k, x in enumerate(share)) ** 0.5
+        entropy = -sum(x * math.log2(x) for x in share if x)
+        step = sum(abs(a - b) for a, b in zip(p, p[1:])) / (len(p) - 1)
+        stored = media.to_png(p, len(raw))
+        return (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), len(p) // 64, mean, std, entropy, step)
+
+    lines = lambda t: [" ".join(x.split()) for x in (t or "").split("\n") if x.split()]
+    got, want = [], []
     for r in media.media_columns(docs).collect():
-        got[r.doc_id].add((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32))
         assert r.caption == f"document {'null' if r.doc_id is None else r.doc_id}"
-    want = defaultdict(set)
+        height, numbers = r.feature.split("x64 ")
+        got.append((sid(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, int(height), *(float(x.split("=")[1]) for x in numbers.split()), r.position, r.n_items, r.text_chars))
     for i, t in rows:
-        p = media.padded((t or "").encode())
-        assert len(p) % 64 == 0 and p
-        want[i].add((len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
-    assert got == want
+        first = bool((t or "").split("\n")[0].split())
+        want.append((sid(i), *described(t), int(first), len(lines(t)) + 1, sum(map(len, lines(t)))))
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:7] == b[:7] and a[7:] == pytest.approx(b[7:], abs=6e-5)
+
+
+def test_pages_are_whole_and_in_order(docs, rows):
+    with common.scratch(docs.sparkSession):
+        store = media.store_texts(docs)
+        out = defaultdict(list)
+        for r in media.items(store, row="row").orderBy("row", "position").collect():
+            out[r.row].append((r.doc_id, r.position, r.kind, r.text, r.digest))
+        digest = {r.row: r.digest for r in store.select("row", "digest").collect()}
+    got = Counter()
+    for row, parts in out.items():
+        assert [p[1] for p in parts] == list(range(len(parts)))
+        assert [p[4] for p in parts if p[2] == "media"] == [digest[row]]
+        got[parts[0][0], " ".join(p[3] for p in parts if p[2] == "text")] += 1
+    assert got == Counter((i, " ".join((t or "").split())) for i, t in rows)
+
+
+def test_raw_pages_are_resolved(spark, sf_dir):
+    pages = common.table(spark, sf_dir, "pages")
+    html = {r.page_id: r.html for r in pages.collect()}
+    want = Counter((p, k, x["kind"], x["text"], x["ref"], x["caption"]) for p, h in html.items() for k, x in enumerate(media.parse(h)))
+    assert sum(want.values()) > len(html)
+    refs = sorted({w[4] for w in want if w[4]}) or ["none"]
+    store = spark.createDataFrame([(r, len(r)) for r in refs[::2]], "digest string, size int")
+    got = media.page_sequences(pages, store).collect()
+    assert Counter((r.doc_id, r.position, r.kind, r.text, r.digest, r.caption) for r in got) == want
+    assert all(r.size == (len(r.digest) if r.digest in refs[::2] else None) for r in got)
 
 
 def test_interleaved_sequence(spark):
@@ -294,7 +383,13 @@ def test_interleaved_sequence(spark):
     assert got == [("text", "Hello you", None, None), ("media", None, "media:sha256:aa", "two & more"), ("media", None, "b.png", "two & more"), ("text", "tail", None, None), ("media", None, "c", "alone"), ("text", "stray", None, None)]
     pages = spark.createDataFrame([(1, html), (2, None), (None, "<p>x")], "doc_id long, html string")
     store = spark.createDataFrame([("aa", "found", 7)], "digest string, text string, extra int")
-    out = {(r.doc_id, r.position): r for r in media.resolve(media.items(pages), store).collect()}
+    for hot in (1, 1000):
+        with common.scratch(spark):
+            out = {(r.doc_id, r.position): r for r in media.resolve(common.stage(media.items(pages), "items"), store, hot).collect()}
+        assert out[1, 1].media_text == "found" and out[1, 2].extra is None and out[1, 2].caption == "two & more" and (None, 0) in out
+    with common.scratch(spark):
+        odd = media.resolve(media.items(pages), spark.createDataFrame([("aa", "a", "b")], "digest string, text string, media_text string"))
+        assert len(set(odd.columns)) == len(odd.columns)
     assert out[1, 1].media_text == "found" and out[1, 2].extra is None and out[1, 2].caption == "two & more" and (None, 0) in out
     blob = media.to_png(media.padded(b"abc"), 3)
     assert media.from_png(blob) == (media.padded(b"abc"), 3)
@@ -360,6 +455,21 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_whole_licence_files_are_known(spark):
+    texts = dict(licenses.TEXTS)
+    holder = "Copyright (c) 1999 Some Holder and Another Holder\n\n"
+    notice = "words of a long README " * 50 + "\nLicensed under the Apache License, Version 2.0.\n" + "more words " * 80
+    files = [*((f"{n}/LICENSE", holder + t) for n, t in texts.items()), ("MIT/src/main.c", "int main;"), ("x/NOTICE", notice), ("x/y/z", "z"), ("no/whole.txt", texts["MIT"].replace("\n", " "))]
+    df = spark.createDataFrame([(p, t, "mine", 0.5) for p, t in files], "path string, text string, license string, similarity double")
+    out = {r.path: r for r in licenses.scan(df).collect()}
+    assert {n: out[f"{n}/LICENSE"]["_license"] for n in texts} == {n: n for n in texts}
+    assert (out["MIT/src/main.c"].inherited_from, out["MIT/src/main.c"].effective_license) == ("MIT", "MIT")
+    assert out["x/NOTICE"]["_license"] == out["x/y/z"].effective_license == "Apache-2.0"  # by a line of the file
+    assert out["x/y/z"].license == "mine" and out["x/y/z"].similarity == 0.5 and out["x/y/z"]["_similarity"] is None
+    with common.scratch(spark):
+        common.stage(licenses.scan(df), "written")
+
+
 def test_telling_terms_miss_nothing():
     marks = set(licenses.telling(licenses.TEMPLATES, 0.6))
     rest: dict = defaultdict(float)
