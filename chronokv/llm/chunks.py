@@ -36,15 +36,15 @@ def expand(blob: bytes, dtype=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=dtype)
 
 
-def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, others: str | None = None, row: str | None = None) -> DataFrame:
+def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, others: list[str] | None = None, row: str | None = None) -> DataFrame:
     """(chunk, ids, uids, offsets, body, n_bytes, others): ids, uids and offsets are arrays of 64-bit numbers.
 
     A null doc_id is the largest number. ``row`` names a column of numbers that tell the rows
-    apart (uids); without it they are numbered here. ``others`` names a string column that stays
-    with the documents, as an array.
+    apart (uids); without it they are numbered here. ``others`` names columns that stay with the
+    documents: as the Arrow stream of their batch, so that every type comes back as it was.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), (F.col(row) if row else F.lit(None)).cast("long").alias("uid"), text_bytes(text).alias("data"), (F.col(others) if others else F.lit(None)).cast("string").alias("others"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), (F.col(row) if row else F.lit(None)).cast("long").alias("uid"), text_bytes(text).alias("data"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others or [])])
 
     def pack(batches):
         from pyspark import TaskContext
@@ -54,15 +54,28 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_b
             data, at = binary_view(batch.column("data"))
             ids = batch.column("doc_id").to_numpy().astype(np.int64)
             uids = batch.column("uid").to_numpy() if row else uid_of(part << 32 | k, np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([squeeze(uids.astype(np.int64))], pa.binary()), pa.array([squeeze(at)], pa.binary()), pa.array([squeeze(data, 3)], pa.binary()), pa.array([len(data)], pa.int64()), pa.array([batch.column("others").to_pylist() if others else None], pa.list_(pa.string()))], names=["chunk", "ids", "uids", "offsets", "body", "n_bytes", "others"])
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([squeeze(uids.astype(np.int64))], pa.binary()), pa.array([squeeze(at)], pa.binary()), pa.array([squeeze(data, 3)], pa.binary()), pa.array([len(data)], pa.int64()), pa.array([_stream(batch, len(others)) if others else None], pa.binary())], names=["chunk", "ids", "uids", "offsets", "body", "n_bytes", "others"])
 
     name = f"chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(tidy(pack), "chunk long, ids binary, uids binary, offsets binary, body binary, n_bytes long, others array<string>")
+    packed = rows.mapInArrow(tidy(pack), "chunk long, ids binary, uids binary, offsets binary, body binary, n_bytes long, others binary")
     packed.write.option("path", table_path(spark, name)).option("compression", "uncompressed").bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 
 
+def _stream(batch: pa.RecordBatch, n: int) -> bytes:
+    part = batch.select([f"c{k}" for k in range(n)])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema) as out:
+        out.write_batch(part)
+    return squeeze(sink.getvalue().to_pybytes())
+
+
+def others_of(row: dict) -> pa.RecordBatch:
+    """The other columns of a chunk's documents."""
+    return pa.ipc.open_stream(expand(row["others"]).tobytes()).read_next_batch()
+
+
 def uid_of(chunk: int, place):
     """The number of a chunk's row: of the partition, the chunk within it (22 bits) and the row within that (20 bits)."""
     return (chunk >> 32 << 42) + ((chunk & 0xFFFFFFFF) << 20) + place

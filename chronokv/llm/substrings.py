@@ -28,15 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, rows_of, squeeze
-from chronokv.llm.common import mix, settled, stage, tidy, words8
+from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, others_of, rows_of, squeeze
+from chronokv.llm.common import fresh, mix, settled, stage, tidy, words8
 
 LENGTH = 50
 KGRAM = 26
 PIECE = 128  # starts in a piece at most
-TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 HOT = 11  # class of a hash in 1024 documents or more: its strings are dealt by a second hash too, and reduced over groups of chunks
 
 
@@ -454,30 +453,22 @@ def covered(n: int, parts: list[dict] | None, length: int = LENGTH) -> np.ndarra
     return np.cumsum(edge[:-1]) > 0
 
 
-def _kept(chunks: DataFrame, marks: DataFrame, length: int):
-    """The chunks' documents, in order, with what is left of each: see :func:`remove_repeats`."""
+def _left(x: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(ids, sizes, removed bytes, removed spans, and what is left of each document, in order) of a chunk with its marks."""
+    data, offsets, ids = opened(x)
+    gone = covered(len(data), x["parts"], length)
+    head = gone.copy()
+    head[1:] &= ~gone[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    head[first] |= gone[first]
+    total, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(head)])
+    left = data[~gone]
+    kept_at = offsets - total[offsets]
+    return ids, np.diff(offsets), np.diff(total[offsets]), np.diff(spans[offsets]), [left[kept_at[i] : kept_at[i + 1]].tobytes() for i in range(len(ids))]
 
-    def keep(batches):
-        for x in rows_of(batches):
-            data, offsets, ids = opened(x)
-            gone = covered(len(data), x["parts"], length)
-            head = gone.copy()
-            head[1:] &= ~gone[:-1]
-            first = offsets[:-1][offsets[:-1] < len(data)]
-            head[first] |= gone[first]
-            total, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(head)])
-            left = data[~gone]
-            kept_at = offsets - total[offsets]
-            kept = [left[kept_at[i] : kept_at[i + 1]].tobytes() for i in range(len(ids))]
-            extra = x["others"] or [None] * len(ids)
-            texts = [k.decode("utf-8", "ignore") for k in kept] if x["others"] else [None] * len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=ids == NULL_ID), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(spans[offsets])), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(extra, pa.string()), pa.array(texts, pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "others", "left"],
-            )
-
-    joined = chunks.join(marks.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offsets", "body", "others", "parts")
-    return joined.mapInArrow(tidy(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, others string, left string")
+
+def _with_marks(chunks: DataFrame, marks: DataFrame) -> DataFrame:
+    return chunks.join(marks.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offsets", "body", "others", "parts")
 
 
 @settled
@@ -490,7 +481,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, do
     empty table gives no rows; other columns are ignored.
     """
     chunks = chunked(docs, doc_id, text)
-    return _kept(chunks, mark_repeats(chunks, length, kgram, hot_class), length).drop("others", "left")
+
+    def keep(batches):
+        for x in rows_of(batches):
+            ids, sizes, removed, spans, kept = _left(x, length)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(sizes), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+    return _with_marks(chunks, mark_repeats(chunks, length, kgram, hot_class)).mapInArrow(tidy(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 @settled
@@ -500,11 +497,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, d
     Where a cut parts a character, its other bytes go too. A text that was null stays null.
     """
     names = [c for c in docs.columns if c != text]
-    others = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.col(text).isNull().alias("absent")), {"ignoreNullFields": "false"} | TIMES)
-    chunks = chunked(docs.withColumn("_others", others), doc_id, text, others="_others")
-    rows = _kept(chunks, mark_repeats(chunks, length, kgram), length)
-    kinds = StructType([*[StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(names)], StructField("absent", BooleanType())])
-    told = rows.select(F.from_json("others", kinds, TIMES).alias("o"), "left")
-    out = {c: F.col(f"o.c{k}") for k, c in enumerate(names)} | {text: F.when(F.col("o.absent"), F.lit(None).cast("string")).otherwise(F.col("left"))}
-    return told.select(*[out[c].alias(c) for c in docs.columns])
+    absent = fresh("absent", *names)
+    chunks = chunked(docs.withColumn(absent, F.col(text).isNull()), doc_id, text, others=[*names, absent])
+    marks = mark_repeats(chunks, length, kgram)
+    out = StructType([*[StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(names)], StructField("left", StringType())])
+
+    def keep(batches):
+        for x in rows_of(batches):
+            *columns, missing = others_of(x).columns
+            texts = [None if gone else t.decode("utf-8", "ignore") for t, gone in zip(_left(x, length)[-1], missing.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=out.names)
 
+    rows = _with_marks(chunks, marks).mapInArrow(tidy(keep), out)
+    return rows.select(*[F.col("left" if c == text else f"c{names.index(c)}").alias(c) for c in docs.columns])

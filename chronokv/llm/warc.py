@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.chunks import NULL_ID, chunk_of, chunked, expand, rows_of
+from chronokv.llm.chunks import NULL_ID, chunk_of, chunked, expand, others_of, rows_of
 from chronokv.llm.chunks import opened as texts_of
 from chronokv.llm.common import checked_broadcast, scratch_dir, settled, stage, tidy
 from chronokv.llm.sstable import opened, put, spread
@@ -149,7 +149,7 @@ def write_bundles(pages: DataFrame, uri: str, least: int = 0, page_id: str = "pa
     only digests and decisions are shuffled.
     """
     named = pages if url in pages.columns else pages.withColumn(url, F.lit(None).cast("string"))
-    chunks = chunked(named, page_id, html, others=url)
+    chunks = chunked(named.withColumn(url, F.col(url).cast("string")), page_id, html, others=[url])
 
     def digests(batches):
         for x in rows_of(batches):
@@ -183,12 +183,13 @@ def write_bundles(pages: DataFrame, uri: str, least: int = 0, page_id: str = "pa
         for x in rows_of(batches):
             data, at, ids = texts_of(x)
             raw, rows = data.tobytes(), expand(x["uids"], np.int64).tolist()
+            links = others_of(x).column(0).to_pylist()
             again = {r["place"]: (r["page"], r["of"]) for r in x["revisits"] or []}
             for i, p in enumerate(None if d == NULL_ID else d for d in ids.tolist()):
                 payload, first = raw[at[i] : at[i + 1]], again.get(i)
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 kind = "revisit" if first else "response"
-                blob = record(kind, p, rows[i], x["others"][i], b"" if first else payload, digest, len(payload), first)
+                blob = record(kind, p, rows[i], links[i], b"" if first else payload, digest, len(payload), first)
                 held.append((p, record_id(p, rows[i]), kind, bundle.add(blob), len(blob)))
                 if bundle.bytes >= bundle_bytes:
                     yield close()

@@ -131,6 +131,23 @@ def test_cut_texts_keep_their_columns(docs, rows):
     assert all(r.chunk == "x" for r in got)
 
 
+def test_cut_texts_keep_every_type(spark):
+    import datetime
+    from decimal import Decimal
+
+    passage = "a passage of more than fifty bytes that two documents have in common, word by word"
+    schema = "doc_id long, text string, n_chars double, m map<int,string>, d decimal(30,9), t timestamp, u timestamp_ntz, b binary, a array<struct<x:float,y:date>>, absent string, c0 int"
+    row = lambda i, t: (i, t, float("nan"), {1: "x", 2: None}, Decimal("123456789012345678901.000000001"), datetime.datetime(1969, 1, 2, 3, 4, 5, 678901), datetime.datetime(2030, 1, 2, 3, 4, 5, 6), b"\0\xff", [(1.5, datetime.date(1, 1, 1)), None], None, -i)
+    rows = [row(1, passage), row(2, f"before {passage} after"), row(3, None)]
+    df = spark.createDataFrame(rows, schema)
+    out = substrings.without_repeats(df)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    plain = lambda d: sorted(map(str, d.drop("text").collect()))
+    assert plain(out) == plain(df)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: passage, 2: "before  after", 3: None}
+    assert substrings.without_repeats(df.where("false")).count() == 0
+
+
 def test_suffix_array_is_sorted(rows):
     strings = sorted({(t or "").encode()[:150] for _, t in rows if t and len(t) > 60})
     text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
