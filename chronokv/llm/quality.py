@@ -73,11 +73,11 @@ class RuleEnsemble:
         return 1.0 / (1.0 + F.exp(-total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, trees: int = 24, depth: int = 3, most_rules: int = 250, penalty: float = 0.002) -> RuleEnsemble:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, trees: int = 24, depth: int = 3, penalty: float = 0.002) -> RuleEnsemble:
     """Fits on at most about ``most`` labelled rows of each class, none of the held-out fifth.
 
-    At most ``most_rules`` rules go to the lasso, shorter ones first. Without rows of both
-    classes there are no rules and the score is near the class that there is (0.5 without labels).
+    Every path of the forest is a rule (at most ``trees`` times 2^(``depth`` + 1) - 2 of them) and
+    all go to the lasso. Without rows of both classes there are no rules and the score is near the class that there is (0.5 without labels).
     """
     import math
 
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
         return RuleEnsemble(math.log(good / bad), [])
     grown = stats.withColumn("features", array_to_vector("stats"))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, maxBins=64, featureSubsetStrategy="0.4", subsamplingRate=0.7, minInstancesPerNode=8, seed=3).fit(grown)
-    rules = sorted(dict.fromkeys(r for t in forest.trees for r in paths(t)), key=lambda r: (len(r.parts), r.parts))[:most_rules]
+    rules = sorted(dict.fromkeys(r for t in forest.trees for r in paths(t)), key=lambda r: (len(r.parts), r.parts))
     truth = stats.select("label", "weight", array_to_vector(F.array(*[r.column().cast("double") for r in rules])).alias("truth"))
     model = LogisticRegression(featuresCol="truth", labelCol="label", weightCol="weight", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(truth)
     weights = model.coefficients.toArray()

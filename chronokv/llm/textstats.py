@@ -132,10 +132,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.nd
     odd = (DIGIT | SYMBOL)[data]
     inner[1:-1] = odd[1:-1] & letters[:-2] & letters[2:] if len(data) > 2 else False
     inner[offsets[:-1][offsets[:-1] < len(data)]] = False
+    inner[offsets[1:][offsets[1:] > 0] - 1] = False
     out["obfuscated"] = share(count(inner), words)
     run = np.zeros(len(data), dtype=bool)
     if len(data) > 2:
         run[2:] = letters[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+        for k in range(2):  # a run lies in one text
+            early = offsets[:-1] + k
+            run[early[early < len(data)]] = False
     out["letter_runs"] = share(count(run), words)
     code, kinds_, word_row, _ = letter_words(data, offsets)
     w = lexicon(kinds_)[code] if kinds_ else np.zeros(0)

@@ -21,8 +21,11 @@ from chronokv.llm.common import binary_view, gathered, settled, stage, text_byte
 from chronokv.llm.textstats import held_out, labelled_sample, letter_words, terms, with_statistics
 
 
-def learn_lexicon(sample: DataFrame, most: int = 4000, support: int = 5, ratio: float = 15.0) -> dict[str, float]:
-    """Terms with ``support`` toxic texts at least and a share ``ratio`` times the clean texts'; the ``most`` commonest."""
+def learn_lexicon(sample: DataFrame, support: int = 5, ratio: float = 15.0) -> dict[str, float]:
+    """Terms with ``support`` toxic texts at least and a share ``ratio`` times the clean texts'.
+
+    As many as the sample has, which is of bounded size; all of them go to the driver.
+    """
 
     def run(batches):
         from collections import Counter
@@ -45,7 +48,7 @@ def learn_lexicon(sample: DataFrame, most: int = 4000, support: int = 5, ratio:
         return {}
     counted = sample.select("label", text_bytes("text").alias("data")).mapInArrow(tidy(run), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
-    rows = counted.where((F.col("toxic") >= support) & (odds >= ratio)).orderBy(F.desc("toxic"), "term").limit(most).select("term", odds.alias("odds"), "toxic").collect()
+    rows = counted.where((F.col("toxic") >= support) & (odds >= ratio)).select("term", odds.alias("odds")).collect()
     return {r["term"]: math.log(r["odds"]) for r in rows}
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -109,3 +111,54 @@ def contaminated(rows, items, width=5, percent=80):
                 if o and 100 * o >= percent * total:
                     out[i, j] = max(out.get((i, j), 0), round(o / total, 6))
     return out
+
+
+def statistics(raw: bytes, weights: dict, second: frozenset, function: frozenset, stems) -> dict:
+    """The statistics of one text, byte by byte and word by word."""
+    share = lambda a, b: a / b if b else 0.0
+    upper = lambda b: 65 <= b <= 90
+    letter = lambda b: upper(b) or 97 <= b <= 122 or b >= 128
+    count = lambda chars: sum(b in chars.encode() for b in raw)
+    symbols = "%$&*#@^~_+=<>\\/[]{}`"
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [w.translate(LOWER) for w in words]
+    lines = re.findall(rb"[^\n]*\n|[^\n]+", raw)
+    said = [w.translate(LOWER) for w in re.findall(rb"[A-Za-z\x80-\xFF]+", raw)]
+    text = [w.decode("utf-8", "replace") for w in said]
+    weight = [max((weights.get(t, 0.0) for t in ("=" + w.lower(), *(w.lower()[:k] for k in stems if k < len(w.lower())))), default=0.0) for w in text]
+    you = [k for k, w in enumerate(said) if w in second]
+    n, odd = len(said), [chr(b) in symbols or 48 <= b <= 57 for b in raw]
+    shout = lambda w: sum(map(upper, w)) >= 2 and sum(map(upper, w)) * 2 > sum(map(letter, w))
+    strong = 0.75 * max(weights.values(), default=1.0)
+    return {
+        "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(words)), "word_length": share(sum(map(len, words)), len(words)),
+        "upper": share(sum(map(upper, raw)), sum(map(letter, raw))), "digit": share(count("0123456789"), len(raw)), "mark": share(count(".,;:!?'\"()-"), len(raw)),
+        "symbol": share(count(symbols), len(raw)), "pipe": share(count("|"), len(raw)), "exclaim": share(count("!"), len(raw)), "foreign": share(sum(b >= 128 for b in raw), len(raw)),
+        "shout_words": share(sum(map(shout, words)), len(words)), "repeat_next": share(sum(a == b for a, b in zip(low, low[1:])), len(words)),
+        "distinct_words": share(len(set(low)), len(words)), "top_word": share(max(Counter(low).values(), default=0), len(words)),
+        "lines": math.log1p(len(lines)), "repeat_lines": share(len(lines) - len(set(lines)), len(lines)), "short_lines": share(sum(len(x) < 30 for x in lines), len(lines)),
+        "function_words": share(sum(w in function for w in text), n),
+        "obfuscated": share(sum(odd[k] and letter(raw[k - 1]) and letter(raw[k + 1]) for k in range(1, len(raw) - 1)), len(words)),
+        "letter_runs": share(sum(letter(raw[k]) and raw[k] == raw[k - 1] == raw[k - 2] for k in range(2, len(raw))), len(words)),
+        "second_person": share(len(you), n), "lexicon": share(sum(weight), n), "lexicon_best": max(weight, default=0.0),
+        "lexicon_kinds": math.log1p(len({w for w, x in zip(said, weight) if x})), "lexicon_near_you": share(sum(x > 0 and any(abs(k - y) <= 5 for y in you) for k, x in enumerate(weight)), n),
+        "lexicon_strong": share(sum(x for x in weight if x >= strong), n),
+    }
+
+
+def lexicon(sample, stems, support=5, ratio=15.0):
+    """{term: log odds} from (text, label) rows."""
+    counts, total = (Counter(), Counter()), Counter(y for _, y in sample)
+    for t, y in sample:
+        words = {w.translate(LOWER).decode("utf-8", "replace").lower() for w in re.findall(rb"[A-Za-z\x80-\xFF]+", t.encode())}
+        counts[y].update({x for w in words for x in ("=" + w, *(w[:k] for k in stems if k < len(w)))})
+    odds = {t: (k / total[1]) / ((counts[0][t] + 0.5) / total[0]) for t, k in counts[1].items() if k >= support}
+    return {t: math.log(o) for t, o in odds.items() if o >= ratio}
+
+
+def tree_value(node, x):
+    """What a Spark tree says of a row of features."""
+    while node.numDescendants():
+        split = node.split()
+        node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+    return node.prediction()

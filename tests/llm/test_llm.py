@@ -439,6 +439,7 @@ def test_held_out_accuracy(labelled, run, label, least):
 def test_scores_without_labels(docs, rows, spark, run):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert run(docs, labels).count() == len(rows)
+    assert run(docs.where("false"), labels).count() == 0
     assert run(docs, spark.createDataFrame([(9, 1, 1), (9, 0, 0), (None, 1, 1), (10, None, None)], "doc_id long, quality int, toxic int")).where("score is null").count() == 0
 
 
@@ -453,6 +454,61 @@ def test_statistics_of_edges():
     assert whole[4][textstats.NAMES.index("lexicon_near_you")] > 0 and whole[4][textstats.NAMES.index("obfuscated")] > 0
 
 
+def _texts(seed: int, n: int) -> list[str]:
+    import random
+
+    r = random.Random(seed)
+    words = "you YOU your stupid stup1d idiot idiots IDIOT!! the and of Haus für é éclair aaa aa a 1a a1 x$y | <b> [] don't ... 中中中 \t\t zz-top e3e WOW".split(" ")
+    text = lambda: "".join(r.choice(words) + r.choice([" ", "  ", "\n", "", ", ", "\n\n"]) for _ in range(r.randint(0, 60)))
+    return ["", " ", "aa", "a1", "b", "a", *(text() for _ in range(n)), "line\nline\nline", "x" * 900]
+
+
+def test_statistics_equal_plain_ones():
+    texts = [t.encode() for t in _texts(1, 60)]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    weights = {"=idiot": 3.0, "idiot": 2.0, "stupi": 1.0, "=é": 0.5}
+    for own in (weights, {}):
+        got = textstats.statistics(np.frombuffer(b"".join(texts), np.uint8), at, textstats.Lexicon(own))
+        for i, t in enumerate(texts):
+            want = brute.statistics(t, own, textstats.SECOND, textstats.FUNCTION, textstats.STEMS)
+            assert dict(zip(textstats.NAMES, got[i].tolist(), strict=True)) == pytest.approx(want, abs=1e-12), t
+
+
+def test_lexicon_equals_plain_counts(spark):
+    texts = _texts(2, 200)
+    sample = [(t, int("idiot" in t.lower() and k % 3 > 0)) for k, t in enumerate(texts)]
+    with common.scratch(spark):
+        got = toxicity.learn_lexicon(spark.createDataFrame(sample, "text string, label int").repartition(3), ratio=1.5)
+    assert got == pytest.approx(brute.lexicon(sample, textstats.STEMS, ratio=1.5)) and len(got) > 3
+
+
+def test_scores_equal_plain_ones(labelled):
+    """Trees, calibration and rules, applied by hand to statistics computed by hand."""
+    d, labels = labelled
+    spark = d.sparkSession
+    some = [r.text for r in d.limit(60).collect()] + _texts(3, 20)
+    texts = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    of = lambda t, w: [x for _, x in sorted(((textstats.NAMES.index(k), v) for k, v in brute.statistics(t.encode(), w, textstats.SECOND, textstats.FUNCTION, textstats.STEMS).items()))]
+    with common.scratch(spark):
+        model = toxicity.fit(d, labels)
+        got = {r.doc_id: r.score for r in model.score(texts, ["doc_id"]).collect()}
+        roots = [t._call_java("rootNode") for t in model.trees.trees]
+        bounds, values = model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()
+        for i, t in enumerate(some):
+            x = of(t, model.weights)
+            margin = sum(w * brute.tree_value(n, x) for w, n in zip(model.trees.treeWeights, roots, strict=True))
+            raw = 1 / (1 + math.exp(-2 * margin))
+            want = min(1.0, max(0.0, 0.999 * np.interp(raw, bounds, values) + 0.001 * raw))
+            assert got[i] == pytest.approx(want, abs=1e-9), i
+        ensemble = quality.fit(d, labels)
+        assert 0 < len(ensemble.rules) < 24 * 14
+        got = {r.doc_id: r.score for r in textstats.with_statistics(texts).withColumn("score", ensemble.score()).collect()}
+        for i, t in enumerate(some):
+            x = of(t, {})
+            total = ensemble.intercept + sum(w for rule, w in ensemble.rules if all(x[k] <= b if most else x[k] > b for k, most, b in rule.parts))
+            assert got[i] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), i
+
+
 def test_rules_are_conjunctions(spark):
     rule = quality._shortened([(0, True, 5.0), (0, True, 3.0), (1, False, 1.0), (1, False, 2.0)])
     assert rule.parts == ((0, True, 3.0), (1, False, 2.0))
