@@ -44,8 +44,8 @@ def corpus(seed: int, n: int = 60) -> list[tuple[int | None, str | None]]:
     return out
 
 
-def removed(rows, length=50):
-    """{(doc_id, text): (n_bytes, n_removed, n_spans, sha256)}."""
+def kept(rows, length=50):
+    """{(doc_id, text): which of its bytes go}."""
     first: dict[bytes, float] = {}
     order = lambda i: float("inf") if i is None else i
     for i, t in rows:
@@ -60,12 +60,20 @@ def removed(rows, length=50):
         for k in range(len(b) - length + 1):
             if first[b[k : k + length]] < order(i):
                 gone[k : k + length] = b"\1" * length
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
-        out[i, t] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[i, t] = gone
     return out
 
 
+def left(t, gone):
+    return bytes(x for x, g in zip((t or "").encode(), gone, strict=True) if not g)
+
+
+def removed(rows, length=50):
+    """{(doc_id, text): (n_bytes, n_removed, n_spans, sha256)}."""
+    spans = lambda gone: sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
+    return {(i, t): (len(gone), sum(gone), spans(gone), hashlib.sha256(left(t, gone)).hexdigest()) for (i, t), gone in kept(rows, length).items()}
+
+
 def shingles(text, width):
     w = (text or "").encode().translate(LOWER).split()
     return frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])

@@ -1,13 +1,18 @@
 """The pipeline's stages, each held against brute force on what it was given."""
 
 import sys
+import zlib
+from collections import Counter
 from pathlib import Path
 
+import numpy as np
+from tokenizers import Tokenizer
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
 import corpus_pipeline
-from chronokv.llm import common
+from chronokv.llm import common, tokens
 
 
 def test_stages(spark, sf_dir):
@@ -18,19 +23,36 @@ def test_stages(spark, sf_dir):
     for name, f in corpus_pipeline.STAGES[:-1]:
         out = common.stage(f(spark, docs, sf_dir), name)
         assert out.columns == docs.columns
-        now = {r.doc_id: r.text for r in out.collect()}
+        rows = out.collect()
+        now = {r.doc_id: r.text for r in rows}
         gone = set(kept) - set(now)
         if name == "toxicity":
             assert len(gone - toxic) <= 0.1 * len(kept)
         elif name == "jaccard":
             assert gone == {i for i, _, c in brute.jaccard(sorted(kept.items()), 5, 80) if i != c}
         elif name == "substrings":
-            assert not gone
-            want = brute.removed(sorted(kept.items()))
-            assert all(now[i] == t for i, t in kept.items() if not want[i, t][1])
-            assert all(len(now[i].encode()) <= want[i, t][0] - want[i, t][1] for i, t in kept.items())
+            want = brute.kept(sorted(kept.items()))
+            assert now == {i: None if t is None else brute.left(t, want[i, t]).decode("utf-8", "ignore") for i, t in kept.items()}
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
         else:
             assert gone == {i for i, _ in brute.contaminated(sorted(kept.items()), items)}
         docs, kept = out, now
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    tokenizer = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in kept.items()}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert sorted((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in packed) == sorted((i, k, len(x[k : k + 2048]), len(x), crc(x[k : k + 2048])) for i, x in ids.items() for k in range(0, len(x), 2048))
+    ends: dict = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048 and len(ends) <= -(-sum(map(len, ids.values())) // 2048) + 1
+
+
+def test_run_gives_the_stages_result(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    with common.scratch(spark):
+        for _, f in corpus_pipeline.STAGES:
+            docs = f(spark, docs, sf_dir)
+        want = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in docs.collect())
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
