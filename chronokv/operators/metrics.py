@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronokv.operators.ordering import lagged
+
 #: The metric library's default upper bounds in seconds (fixed values).
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
@@ -64,11 +66,17 @@ def parse_metrics(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def rate(samples: DataFrame, by: list[str], window_us: int) -> DataFrame:
-    """Increase per second of a counter (us, cnt) over the ``window_us`` before each sample, resets counted as starts from 0."""
-    w = Window.partitionBy(*by).orderBy("us")
-    step = samples.withColumn("step", F.when(F.col("cnt") >= F.lag("cnt").over(w), F.col("cnt") - F.lag("cnt").over(w)).otherwise(F.when(F.lag("cnt").over(w).isNotNull(), F.col("cnt")).otherwise(0)))
-    back = Window.partitionBy(*by).orderBy("us").rangeBetween(-window_us, 0)
-    return step.withColumn("rate", F.sum("step").over(back) / (window_us / 1e6)).drop("step")
+    """Increase per second of a counter (us, cnt) over the ``window_us`` before each sample, resets counted as starts from 0.
+
+    A series' times are distinct. The sums run over spans of ``window_us``, each with the one
+    before it, so that a long series is not sorted in one task.
+    """
+    known = lagged(samples, by, ["us"], ["cnt"])
+    before, at = F.col("before_cnt"), F.floor(F.col("us") / window_us)
+    step = F.when(before.isNull(), 0).when(F.col("cnt") >= before, F.col("cnt") - before).otherwise(F.col("cnt"))
+    spans = known.select(*samples.columns, step.alias("step"), at.alias("own"), F.explode(F.array(at, at + 1)).alias("span"))
+    back = Window.partitionBy(*by, "span").orderBy("us").rangeBetween(-window_us, 0)
+    return spans.withColumn("rate", F.sum("step").over(back) / (window_us / 1e6)).where("own = span").select(*samples.columns, "rate")
 
 
 def counters(increments: DataFrame, by: list[str], at: str) -> DataFrame:

@@ -543,7 +543,7 @@ def prom_parse(spark, sf):
 @query(""", c AS (SELECT method, us, count(*) OVER (PARTITION BY method ORDER BY us, event_id) AS cnt, event_id FROM http_log), s AS (SELECT *, CASE WHEN lag(cnt) OVER w IS NULL THEN 0 ELSE 1 END AS step FROM c WINDOW w AS (PARTITION BY method ORDER BY us))
 SELECT method, us, cnt, round(sum(step) OVER (PARTITION BY method ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) / 3600.0, 9) AS rate FROM s""")
 def prom_rate(spark, sf):
-    c = views.http_log(spark, sf).select("method", "us", F.count("*").over(Window.partitionBy("method").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("cnt"))
+    c = numbered(views.http_log(spark, sf).select("method", "us", "event_id"), ["method"], ["us", "event_id"], "cnt").drop("event_id")
     return metrics.rate(c, ["method"], 3_600_000_000).withColumn("rate", F.round("rate", 9))
 
 

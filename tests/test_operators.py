@@ -229,6 +229,31 @@ def test_quantiles(spark):
     assert q(b((0.1, 0), (math.inf, 0)), 0.9) == 0.0
 
 
+def test_rates_over_spans_and_resets(spark):
+    import random
+
+    r, samples = random.Random(1), []
+    for k in range(2):
+        us, cnt = 0, 0
+        for _ in range(300):
+            us, cnt = us + r.randint(1, 40), 0 if r.random() < 0.02 else cnt + r.randint(0, 3)
+            samples.append((k, us, cnt))
+    got = {(x.k, x.us): x.rate for x in metrics.rate(spark.createDataFrame(samples, "k int, us long, cnt long"), ["k"], 100).collect()}
+    for k in range(2):
+        own = [(u, c) for j, u, c in samples if j == k]
+        steps = [(u, 0 if n == 0 else c - own[n - 1][1] if c >= own[n - 1][1] else c) for n, (u, c) in enumerate(own)]
+        for u, _ in own:
+            assert got[k, u] == pytest.approx(sum(s for v, s in steps if u - 100 <= v <= u) / 1e-4)
+
+
+def test_increase_of_counters(spark):
+    hourly = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("a", 4, 2), ("b", 4, 9)], "s string, hour long, cnt long")
+    grown = metrics.last_increase(metrics.counters(hourly, ["s"], "hour"), spark.createDataFrame([(4,)], "now long"), ["s"], "hour", 3)
+    assert rows(grown, "s", "increase") == [("a", 5), ("b", 0)]
+    reset = spark.createDataFrame([("a", 1, 9), ("a", 2, 4), ("a", 3, 6)], "s string, hour long, cnt long")
+    assert rows(metrics.last_increase(reset, spark.createDataFrame([(3,)], "now long"), ["s"], "hour", 2), "s", "increase") == [("a", 6)]
+
+
 def test_nearest_rank_takes_the_upper_middle(spark):
     v = spark.createDataFrame([("a", float(x)) for x in range(10)] + [("b", 3.0), ("b", None)], "g string, v double")
     got = {r.g: r for r in metrics.nearest_rank(v, ["g"], "v", {"p50": 0.5, "p99": 0.99}).collect()}
