@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _one_machine() -> str:
+    return tempfile.mkdtemp(prefix="chronokv-")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder for checkpoints and results, in the folder that all executors share."""
+    """A new folder for checkpoints and results below ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a session on one machine (tests) gets a folder of its own; on a cluster
+    it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{_one_machine()}"
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
