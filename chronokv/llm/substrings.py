@@ -239,8 +239,8 @@ def smallest_owner(strings: np.ndarray, offsets: np.ndarray, low: np.ndarray, hi
 
     Returns (owners, offsets): of string i the starts 0 .. size - length. Each string is a piece,
     so its first ``length`` bytes have the smallest hash of all; only pieces of one hash share
-    strings. The smallest document of a hash needs no search; the strings that only its largest
-    has need not be found.
+    strings. What the smallest document of a hash has needs no search; what only the largest has
+    need not be found, and so nothing of a hash without other pieces (an exact copy's).
     """
     size = np.diff(offsets)
     starts = np.maximum(0, size - length + 1)
@@ -256,7 +256,10 @@ def smallest_owner(strings: np.ndarray, offsets: np.ndarray, low: np.ndarray, hi
     first, last = np.full(group.max() + 1, NULL_ID), np.full(group.max() + 1, np.iinfo(np.int64).min)
     np.minimum.at(first, group, low)
     np.maximum.at(last, group, high)
-    indexed, sought = np.flatnonzero(low < last[group]), np.flatnonzero(low > first[group])
+    sought = np.flatnonzero(low > first[group])
+    busy = np.zeros(len(first), dtype=bool)
+    busy[group[sought]] = True
+    indexed = np.flatnonzero((low < last[group]) & busy[group])
     if not len(indexed) or not len(sought):
         return out, out_at
     free = np.flatnonzero(np.bincount(strings, minlength=256)[1:] == 0)
@@ -375,6 +378,7 @@ def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
     bits = bucket_bits(chunks)
     shared = count_classes(chunks, _keys(length, kgram), bits)
     groups = max(1, math.isqrt(chunks.count()))  # of chunks, for hot buckets
+    hot_bits = max(1, bits - 5)  # few pieces are hot: fewer, fuller buckets
 
     def send(batches):
         for x in rows_of(batches):
@@ -408,7 +412,8 @@ def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
             of = np.repeat(np.arange(len(start)), n)
             begin = start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * PIECE
             size = np.minimum(end[of] - begin, PIECE) + length - 1
-            bucket = (mix(deal[of]) >> np.uint64(64 - bits)).astype(np.int64)
+            shift = np.where(part[of] < 0, 64 - bits, 64 - hot_bits).astype(np.uint64)
+            bucket = (mix(deal[of]) >> shift).astype(np.int64)
             order = np.lexsort((begin, part[of], bucket))
             begin, size, bucket, of = begin[order], size[order], bucket[order], of[order]
             at = np.concatenate([[0], np.cumsum(size)])
