@@ -9,8 +9,9 @@ Weights: term count times 1 + ln((1 + T) / (1 + number of the T templates with t
 for the notices and the whole texts; a term of no template has the largest weight. A line is
 looked at only if it has one of the telling terms: these are taken from the notices,
 uncommon and rare ones first, until what is left of each notice is too light to reach the threshold alone, so by Cauchy
-and Schwarz no line is missed. For the same reason a line is dropped if the terms that it shares
-with each notice are too light together. Only what is left is taken apart and shuffled, once.
+and Schwarz no line is missed. For the same reason a line is dropped if its terms that no notice
+has are too heavy beside the others, or the terms that it shares with each notice too light. Only
+what is left is taken apart and shuffled, once.
 """
 
 from __future__ import annotations
@@ -105,13 +106,14 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, texts
     spark = files.sparkSession
     keep = [c for c in files.columns if c != text]
     license, similarity, inherited_from, effective = (fresh(c, *keep) for c in ("license", "similarity", "inherited_from", "effective_license"))
-    # Staged narrow: what a row is called again, whether it is a licence file, its telling lines and a licence file's body.
+    # Staged narrow: what a row is called again, whether it is a licence file, the terms of its telling lines and of a licence file's body.
     body = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
     is_file = F.coalesce(F.regexp_like(F.col(path).cast("string"), F.lit(LICENSE_FILE)), F.lit(False))
     marks = sorted(telling(notices, threshold), key=lambda t: (-len(t), t))
     telling_line = "(^|[^a-z0-9])(" + "|".join(map(re.escape, marks)) + ")([^a-z0-9]|$)"
     lines = F.filter(F.split(body, "\n"), lambda x: F.regexp_like(x, F.lit(telling_line)))
-    parts = F.concat(F.array(F.when(is_file, body)), lines)  # part 0 is the body, null in other files
+    words = lambda x: F.regexp_extract_all(x, F.lit(TERM), 0)
+    parts = F.concat(F.array(F.when(is_file, words(body))), F.transform(lines, words))  # part 0 is the body, null in other files
     rows = stage(files.select(F.struct(*keep).alias("file"), F.col(path).cast("string").alias("at"), F.monotonically_increasing_id().alias("row"), is_file.alias("is_file"), parts.alias("parts")), "files")
 
     families = [(weights(notices), vectors(notices)), (weights(whole), vectors(whole))]
@@ -123,8 +125,10 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, texts
             share.setdefault(t, [0.0] * len(names))[i + k * first] = x
     known = spark.createDataFrame([(t, *[float(w.get(t, other)) for (w, other), _ in families], x) for t, x in share.items()], "term string, w0 double, w1 double, share array<double>")
 
-    taken = rows.select("row", F.posexplode("parts").alias("part", "s")).where("s is not null").select("row", "part", F.regexp_extract_all("s", F.lit(TERM), 0).alias("terms"))
-    near = taken.where((F.col("part") == 0) | (_reach(families[0][1]) >= threshold * threshold * 0.999999))
+    taken = rows.select("row", F.posexplode("parts").alias("part", "terms")).where("terms is not null")
+    least = threshold * threshold * 0.999999
+    body, known_share = F.col("part") == 0, _known_share(*families[0][0])
+    near = taken.where(body | (known_share >= least)).where(body | (known_share * _reach(families[0][1]) >= least))
     counts = near.select("row", "part", F.explode("terms").alias("term")).repartition("row", "part").groupBy("row", "part", "term").agg(F.count("*").alias("tf"))
     other = [o for (_, o), _ in families]
     weighed = counts.join(F.broadcast(known), "term", "left").select("row", "part", *[(F.col("tf") * F.coalesce(f"w{k}", F.lit(o))).alias(f"x{k}") for k, o in enumerate(other)], "share")  # one row per template term
@@ -145,6 +149,16 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, texts
     return done.select("file.*", F.col("license").alias(license), F.col("similarity").alias(similarity), F.when(lacks, F.col("ancestor")).alias(inherited_from), F.coalesce("license", "theirs").alias(effective))
 
 
+def _known_share(weight: dict[str, float], other: float) -> Column:
+    """At most which share of the squared norm of ``terms`` is of terms that some template has."""
+    mine = F.array_intersect("terms", F.array(*[F.lit(t) for t in sorted(weight)]))
+    square = F.create_map(*[F.lit(v) for t, w in sorted(weight.items()) for v in (t, w * w)])
+    times = lambda t: F.size("terms") - F.size(F.array_remove("terms", t))
+    known = F.aggregate(mine, F.lit(0.0), lambda a, t: a + F.element_at(square, t) * times(t) * times(t))
+    rest = (F.size(F.array_distinct("terms")) - F.size(mine)) * other * other
+    return F.try_divide(known, known + rest)
+
+
 def _reach(rows: list[tuple[int, str, str, float]]) -> Column:
     """The largest squared weight that ``terms`` shares with a template: a bound on the squared cosine."""
     by: dict[int, list[tuple[str, float]]] = {}
