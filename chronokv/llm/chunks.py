@@ -36,15 +36,14 @@ def expand(blob: bytes, dtype=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=dtype)
 
 
-def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, others: list[str] | None = None, row: str | None = None) -> DataFrame:
+def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, others: list[str] | None = None) -> DataFrame:
     """(chunk, ids, uids, offsets, body, n_bytes, others): ids, uids and offsets are arrays of 64-bit numbers.
 
-    A null doc_id is the largest number. ``row`` names a column of numbers that tell the rows
-    apart (uids); without it they are numbered here. ``others`` names columns that stay with the
-    documents: as the Arrow stream of their batch, so that every type comes back as it was.
+    A null doc_id is the largest number; uids number the rows. ``others`` names columns that stay
+    with the documents: as the Arrow stream of their batch, so that every type comes back as it was.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), (F.col(row) if row else F.lit(None)).cast("long").alias("uid"), text_bytes(text).alias("data"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others or [])])
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), text_bytes(text).alias("data"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others or [])])
 
     def pack(batches):
         from pyspark import TaskContext
@@ -53,7 +52,7 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_b
         for k, batch in enumerate(gathered(batches, "data", chunk_bytes)):
             data, at = binary_view(batch.column("data"))
             ids = batch.column("doc_id").to_numpy().astype(np.int64)
-            uids = batch.column("uid").to_numpy() if row else uid_of(part << 32 | k, np.arange(len(ids)))
+            uids = uid_of(part << 32 | k, np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([squeeze(uids.astype(np.int64))], pa.binary()), pa.array([squeeze(at)], pa.binary()), pa.array([squeeze(data, 3)], pa.binary()), pa.array([len(data)], pa.int64()), pa.array([_stream(batch, len(others)) if others else None], pa.binary())], names=["chunk", "ids", "uids", "offsets", "body", "n_bytes", "others"])
 
     name = f"chunks_{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -28,13 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor can see; without that setting it is an error."""
+    """A new folder below ``spark.checkpoint.dir``, which every executor can see.
+
+    Where that is unset, a session on one machine (tests) gets a folder of its own; on a cluster
+    it is an error, as a folder of one machine would lose files there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{_one_machine()}"
     return f"{root.rstrip('/')}/chronokv-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _one_machine() -> str:
+    return tempfile.mkdtemp(prefix="chronokv-")
+
+
 @dataclass
 class Scratch:
     """A folder and the tables over it."""
@@ -123,7 +135,7 @@ def fresh(name: str, *taken: str) -> str:
     return name
 
 
-def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def checked_broadcast(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """Broadcasts a staged table of ``rows`` narrow rows at most, counted; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
@@ -133,6 +145,12 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+def text_key(text: str) -> Column:
+    """128 bits that stand for a text; a null is an empty one."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(body).alias("a"), F.xxhash64(body, F.lit(1)).alias("b"))
+
+
 #: What a Python worker keeps from task to task; dropped when it runs something else.
 KEPT: list[dict] = []
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronokv.llm.common import stage
 
-BROADCAST_EDGES = 500_000
+BROADCAST_EDGES = 50_000
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

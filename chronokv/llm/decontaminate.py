@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import checked_broadcast, settled, stage
+from chronokv.llm.common import checked_broadcast, finished, scratch, settled, stage, text_key
 
 #: At a similarity of 0.8 two fingerprints differ in 9.7 of 64 bits on average, with a deviation
 #: of 2.9; 23 bits are 4.6 deviations above.
 RADIUS = 23
+SENT = 500_000  # narrow rows (of a benchmark, keys of texts) up to which they are sent to all tasks that read documents
 
 
 def words(text: str | Column) -> Column:
@@ -92,12 +93,6 @@ def reachable(places: DataFrame, percent: int) -> DataFrame:
     return enough.select("text_key", "item", "n", "width", F.explode(F.sequence("at", F.col("next") - 1)).alias("at"))
 
 
-def text_key(text: str | Column) -> Column:
-    """128 bits that stand for a text; a null is an empty one."""
-    body = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
-    return F.struct(F.xxhash64(body).alias("a"), F.xxhash64(body, F.lit(1)).alias("b"))
-
-
 def similar_texts(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS, text: str = "text", item_id: str = "item_id", prints: list | None = None) -> DataFrame:
     """(text_key, item_id, similarity): each distinct text and each item that it holds a similar window of.
 
@@ -111,15 +106,15 @@ def similar_texts(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent
         return docs.select(text_key(text).alias("text_key"), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("similarity")).where("false")
     item_shingles = stage(items.select("item", "item_id", "n", F.explode(F.filter(tagged_shingles("w", widths), lambda s: s["width"] == F.col("width"))).alias("s")).select("item", "item_id", "n", "s.width", "s.h"), "item-shingles")
     counts = stage(item_shingles.groupBy("item", "n", "width", "h").agg(F.count("*").alias("e")).withColumn("total", F.col("n") - F.col("width") + 1), "item-counts")
-    known = checked_broadcast(stage(rarest(counts, percent), "rarest"))
+    known = checked_broadcast(stage(rarest(counts, percent), "rarest"), SENT)
 
     rows = docs.select(text_key(text).alias("text_key"), words(text).alias("w"))
     found = rows.select("text_key", F.explode(tagged_shingles("w", widths)).alias("s")).select("text_key", "s.width", "s.h").join(known, ["width", "h"])
     pairs = stage(found.select("text_key", "item").distinct(), "pairs")
     # Only texts with such pairs are read again, each once.
-    wanted = checked_broadcast(stage(pairs.select("text_key").distinct(), "texts"))
+    wanted = checked_broadcast(stage(pairs.select("text_key").distinct(), "texts"), SENT)
     again = stage(rows.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]), "again")
-    told = pairs.join(checked_broadcast(counts), "item").select("text_key", "item", "n", "width", "h")
+    told = pairs.join(checked_broadcast(counts, SENT), "item").select("text_key", "item", "n", "width", "h")
     each = again.select("text_key", F.size("w").alias("size"), F.explode(tagged_shingles("w", widths)).alias("s")).select("text_key", "size", "s.*")
     places = each.join(told, ["text_key", "width", "h"]).select("text_key", "item", "size", "n", "width", "p")
     windows = stage(reachable(places, percent), "windows")
@@ -131,13 +126,13 @@ def similar_texts(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent
     item_print = stage(item_shingles.groupBy("item", "item_id").agg(fingerprint("h").alias("g"), F.count("*").alias("item_total")), "item-prints")
     left = print_of.select(*window, "f", "total", F.explode(blocks("f", radius)).alias("b")).select("*", "b.*").drop("b")
     right = item_print.select("item", "item_id", "g", "item_total", F.explode(blocks("g", radius)).alias("b")).select("*", "b.*").drop("b")
-    near = left.join(checked_broadcast(right), ["item", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
+    near = left.join(checked_broadcast(right, SENT), ["item", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
     candidates = near.select(*window, "total", "item_id", "item_total").distinct()
     if prints is not None:
         prints += [print_of, stage(candidates, "candidates")]
 
     own = inside.groupBy(*window, "h").agg(F.count("*").alias("c"))
-    shared = candidates.join(own, window).join(checked_broadcast(counts.select("item", "h", "e")), ["item", "h"]).groupBy(*window, "item_id", "total", "item_total").agg(F.sum(F.least("c", "e")).alias("o"))
+    shared = candidates.join(own, window).join(checked_broadcast(counts.select("item", "h", "e"), SENT), ["item", "h"]).groupBy(*window, "item_id", "total", "item_total").agg(F.sum(F.least("c", "e")).alias("o"))
     union = F.col("total") + F.col("item_total") - F.col("o")
     return stage(shared.where(100 * F.col("o") >= percent * union).groupBy("text_key", "item_id").agg(F.round(F.max(F.col("o") / union), 6).alias("similarity")), "similar")
 
@@ -153,18 +148,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     """
     similar = similar_texts(docs, benchmark, width, percent, radius, text, item_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"))
-    return rows.join(checked_broadcast(similar), "text_key").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    return rows.join(checked_broadcast(similar, SENT), "text_key").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
-@settled
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows whose text holds no window similar to an item, with all their columns.
 
     Rows are removed and not identifiers: a clean row stays whatever other rows its doc_id has,
-    and so does one without a doc_id.
+    and so does one without a doc_id. Only the found texts' keys are written.
     """
-    found = stage(similar_texts(docs, benchmark, width, percent).select("text_key").distinct(), "found")
-    return docs.join(checked_broadcast(found), text_key("text") == found["text_key"], "left_anti")
+    with scratch(docs.sparkSession):
+        found = finished(similar_texts(docs, benchmark, width, percent).select("text_key").distinct(), "found")
+    return docs.join(checked_broadcast(found, SENT), text_key("text") == found["text_key"], "left_anti")
 
 
 #: Every window against every item that shares a shingle with it.

@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, rows_of
-from chronokv.llm.common import LOWER, checked_broadcast, fresh, settled, shingle_hashes, stage, tidy
+from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, others_of, rows_of
+from chronokv.llm.common import LOWER, checked_broadcast, finished, fresh, scratch, settled, shingle_hashes, stage, text_key, tidy
 from chronokv.llm.components import components
 
 PART = 512  # documents in a part of a split block
+SENT = 500_000  # rows of three numbers that are sent to all tasks that read documents
 
 
 def _keys(width: int):
@@ -40,13 +41,14 @@ def _keys(width: int):
     return keys_of
 
 
-def sets(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def sets(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(uid, doc_id, n, signature, tokens): tokens are null where no other set can reach the threshold.
 
-    ``uid`` numbers the rows (by ``row``, if given); ``tokens`` are the kept shingles as ordered
-    64-bit numbers.
+    ``uid`` numbers the rows; ``tokens`` are the kept shingles as ordered 64-bit numbers. ``keep``
+    names columns of numbers that stay with the rows, as k0, k1 and so on.
     """
-    chunks = chunked(docs, doc_id, text, row=row)
+    chunks = chunked(docs, doc_id, text, others=keep)
+    kept_too = [f"k{i}" for i in range(len(keep or []))]
     bits = bucket_bits(chunks)
     shared = count_classes(chunks, _keys(width), bits)
 
@@ -71,10 +73,11 @@ def sets(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text
                 else:
                     out.append(None)
                     signature.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(expand(x["uids"], np.int64)), pa.array(ids, mask=ids == NULL_ID), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(out, pa.binary())], names=["uid", "doc_id", "n", "signature", "tokens"])
+            more = others_of(x).columns if keep else []
+            yield pa.RecordBatch.from_arrays([pa.array(expand(x["uids"], np.int64)), pa.array(ids, mask=ids == NULL_ID), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(out, pa.binary()), *more], names=["uid", "doc_id", "n", "signature", "tokens", *kept_too])
 
-    joined = chunks.join(shared.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "uids", "offsets", "body", "parts")
-    return stage(joined.mapInArrow(tidy(build), "uid long, doc_id long, n long, signature binary, tokens binary"), "sets")
+    joined = chunks.join(shared.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "uids", "offsets", "body", "others", "parts")
+    return stage(joined.mapInArrow(tidy(build), "uid long, doc_id long, n long, signature binary, tokens binary" + "".join(f", {c} long" for c in kept_too)), "sets")
 
 
 def rare_tokens(representatives: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +199,7 @@ def links(representatives: DataFrame, percent: int, part: int = PART) -> DataFra
     placed = block.join(sizes, "component").withColumnRenamed("node", "uid")
     parts = F.ceil(F.col("size") / part).cast("int")
     dealt = placed.select("uid", F.col("component").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"))
-    members = stage(representatives.select("uid", "n", "tokens").join(dealt, "uid"), "members")
+    members = stage(representatives.select("uid", "n", "tokens").join(dealt.hint("merge"), "uid"), "members")
 
     def run(rows: DataFrame) -> DataFrame:
         return rows.groupBy("block", "i", "j").applyInArrow(lambda t: _join_group(t, percent), "a long, b long")
@@ -223,8 +226,8 @@ def links(representatives: DataFrame, percent: int, part: int = PART) -> DataFra
 
 
 @settled
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """A row per document: uid, doc_id, n_shingles, component_id, first_uid.
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A row per document: uid, doc_id, n_shingles, component_id, first_uid, and the ``keep`` columns as k0, k1 and so on.
 
     ``component_id`` is the smallest doc_id reachable by links of ``percent`` or more, the
     document's own included; ``first_uid`` is the row that has it (of several the one with the
@@ -232,10 +235,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     a component's minimum, which is null where it has no others; repeated doc_ids are documents
     of their own. An empty table gives no rows; other columns are ignored.
     """
-    all_sets = sets(docs, width, percent, doc_id, text, row)
+    all_sets = sets(docs, width, percent, doc_id, text, keep)
+    more = [f"k{i}" for i in range(len(keep or []))]
     alive = all_sets.where("tokens is not null")
     same = stage(alive.groupBy("signature").agg(F.min("uid").alias("uid"), F.count("*").alias("k"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")), "classes")
-    representatives = stage(alive.join(same, ["signature", "uid"], "left_semi").select("uid", "signature", "n", "tokens"), "representatives")
+    representatives = stage(alive.join(same.hint("merge"), ["signature", "uid"], "left_semi").select("uid", "signature", "n", "tokens"), "representatives")
     linked = components(links(representatives, percent)).withColumnRenamed("node", "uid")
     classes = same.join(linked, "uid", "left").where("k > 1 or component is not null").select("signature", "first", F.coalesce("component", "uid").alias("class"))
     classes = stage(classes, "shared-classes")
@@ -243,20 +247,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     # Sets of their own never meet the joins below; the rest find their class by a table that is sent to all tasks while it is small.
     grouped = checked_broadcast(stage(classes.join(least, "class").select("signature", "least"), "grouped"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    lone = all_sets.where("tokens is null").select("uid", "doc_id", "n", own.alias("least"))
-    found = alive.join(grouped, "signature", "left").select("uid", "doc_id", "n", F.coalesce("least", own).alias("least"))
-    return lone.unionByName(found).select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("first_uid"))
+    lone = all_sets.where("tokens is null").select("uid", "doc_id", "n", own.alias("least"), *more)
+    found = alive.join(grouped, "signature", "left").select("uid", "doc_id", "n", F.coalesce("least", own).alias("least"), *more)
+    return lone.unionByName(found).select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("first_uid"), *more)
 
 
-@settled
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Of the rows of every component the one with the smallest doc_id, with all its columns.
 
     Rows are removed, not identifiers: other rows with a removed row's doc_id, or without one,
     stay if they stand for themselves. Of rows that share a component's smallest doc_id, and of
-    a component's rows if none has a doc_id, one stays.
+    a component's rows if none has a doc_id, one stays. Rows are told apart by their doc_id and
+    128 bits of hashes of their text, so nothing but decisions is written; of rows that agree in
+    both one is taken, if they stand for a component.
     """
-    row = fresh("row", *docs.columns)
-    held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    gone = jaccard_components(held, width, percent, row=row).where("uid <> first_uid").select(F.col("uid").alias(row))
-    return held.join(checked_broadcast(gone), row, "left_anti").select(*docs.columns)
+    a, b = fresh("key_a", *docs.columns), fresh("key_b", *docs.columns)
+    hashed = docs.withColumns({a: text_key("text")["a"], b: text_key("text")["b"]})
+    with scratch(docs.sparkSession):
+        found = jaccard_components(hashed, width, percent, keep=[a, b])
+        alike = stage(found.groupBy("doc_id", "k0", "k1").agg(F.count("*").alias("k"), F.bool_or(F.col("uid") == F.col("first_uid")).alias("stays")), "alike")
+        gone = finished(alike.where("not stays").select(F.col("doc_id").alias("d"), "k0", "k1"), "gone")
+        twice = finished(alike.where("stays and k > 1").select(F.col("doc_id").alias("d"), "k0", "k1"), "twice")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col(a) == F.col("k0")) & (F.col(b) == F.col("k1"))
+    left = hashed.join(checked_broadcast(gone, SENT), same, "left_anti")
+    if twice.limit(1).count():
+        some = checked_broadcast(twice, SENT)
+        left = left.join(some, same, "left_anti").union(left.join(some, same, "left_semi").dropDuplicates(["doc_id", a, b]))
+    return left.select(*docs.columns)

@@ -213,29 +213,48 @@ def describe(store: DataFrame) -> DataFrame:
     return said.groupBy("digest").agg(*[F.min(c).alias(c) for c in said.columns if c != "digest"])
 
 
+PAGE = "row long, doc_id long, html string, digest string, media binary"
+
+
+def _stored(batches):
+    """Batches of (row, doc_id, data): an image of each text and a page of the text and that image."""
+    for batch in gathered(batches, "data"):
+        data, at = binary_view(batch.column("data"))
+        raw, html, digest, media = data.tobytes(), [], [], []
+        for i, d in enumerate(batch.column("doc_id").to_pylist()):
+            body = raw[at[i] : at[i + 1]]
+            blob = to_png(padded(body), len(body))
+            digest.append(hashlib.sha256(blob).hexdigest())
+            media.append(blob)
+            first, *rest = escape(body.decode("utf-8", "replace")).split("\n")
+            figure = f'<figure><img src="{SCHEME}{digest[-1]}"><figcaption>document {"null" if d is None else d}</figcaption></figure>'
+            html.append(f"<article><p>{first}</p>{figure}{''.join(f'<p>{x}</p>' for x in rest)}</article>")
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(html, pa.string()), pa.array(digest, pa.string()), pa.array(media, pa.binary())], names=["row", "doc_id", "html", "digest", "media"])
+
+
+def _told(batches):
+    """Of each page what its sequence says of the image: (row, doc_id, media, position, digest, caption, n_items, text_chars)."""
+    for batch in batches:
+        out = []
+        for html in batch.column("html").to_pylist():
+            sequence = parse(html)
+            at, item = next((k, x) for k, x in enumerate(sequence) if x["kind"] == "media")
+            out.append((at, item["ref"].removeprefix(SCHEME), item["caption"], len(sequence), sum(len(x["text"]) for x in sequence if x["text"])))
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("media"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=["row", "doc_id", "media", "position", "digest", "caption", "n_items", "text_chars"])
+
+
+def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("data"))
+
+
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every text as an image and writes a page of the text and that image: (row, doc_id, html, digest, media).
 
     The page has the whole text, a paragraph for each line, with the figure after the first. A
     null text is an empty one; its image has one line of zeros.
     """
-
-    def run(batches):
-        for batch in gathered(batches, "data"):
-            data, at = binary_view(batch.column("data"))
-            raw, html, digest, media = data.tobytes(), [], [], []
-            for i, d in enumerate(batch.column("doc_id").to_pylist()):
-                body = raw[at[i] : at[i + 1]]
-                blob = to_png(padded(body), len(body))
-                digest.append(hashlib.sha256(blob).hexdigest())
-                media.append(blob)
-                first, *rest = escape(body.decode("utf-8", "replace")).split("\n")
-                figure = f'<figure><img src="{SCHEME}{digest[-1]}"><figcaption>document {"null" if d is None else d}</figcaption></figure>'
-                html.append(f"<article><p>{first}</p>{figure}{''.join(f'<p>{x}</p>' for x in rest)}</article>")
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(html, pa.string()), pa.array(digest, pa.string()), pa.array(media, pa.binary())], names=["row", "doc_id", "html", "digest", "media"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("data"))
-    return stage(rows.mapInArrow(tidy(run), "row long, doc_id long, html string, digest string, media binary"), "media")
+    return stage(_numbered(docs, doc_id, text).mapInArrow(tidy(_stored), PAGE), "media")
 
 
 @settled
@@ -243,16 +262,12 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """A row per document with what its stored payload says, see :func:`describe`, and of its sequence.
 
     ``position`` and ``caption`` are those of the media item; ``n_items`` counts the sequence's
-    items and ``text_chars`` the characters of its text items. Whole texts are stored and parsed;
-    only counts, references and descriptions are shuffled. An empty table gives no rows; null and
-    repeated doc_ids are kept.
+    items and ``text_chars`` the characters of its text items. Whole texts are stored, and their
+    pages parsed as they are made, so that no text is written twice; only references and
+    descriptions are shuffled. An empty table gives no rows; null and repeated doc_ids are kept.
     """
-    store = store_texts(docs, doc_id, text)
-    # A page's items leave one task, so this sends one narrow row for each document.
-    media = F.when(F.col("kind") == "media", F.struct("position", "digest", "caption"))
-    sequence = items(store, row="row").groupBy("row", "doc_id").agg(F.max(media).alias("m"), F.count("*").alias("n_items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("text_chars"))
-    references = stage(sequence.select("row", "doc_id", "n_items", "text_chars", "m.*"), "references")
-    return resolve(references, stage(describe(store), "described")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "text_chars")
+    store = stage(_numbered(docs, doc_id, text).mapInArrow(tidy(lambda batches: _told(_stored(batches))), "row long, doc_id long, media binary, position int, digest string, caption string, n_items long, text_chars long"), "media")
+    return resolve(store.drop("media", "row"), stage(describe(store), "described")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "text_chars")
 
 
 @settled

@@ -95,7 +95,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str | None, doc_
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in gathered(batches, "data"):
+        for batch in gathered(batches, "data", 3 << 20):
             ids, at = encoder(path).encode(*binary_view(batch.column("data")))
             n = np.diff(at)
             k = (n + capacity - 1) // capacity
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, do
     table = slots(plan(histogram, capacity))
     # A row for each part and length: a piece's rank among all of its length.
     before = counts.select("part", F.col("length"), (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = all_pieces.join(checked_broadcast(stage(before, "before")), ["part", "length"])
+    ranked = all_pieces.join(checked_broadcast(stage(before, "before"), 500_000), ["part", "length"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -495,11 +495,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, do
     return _with_marks(chunks, mark_repeats(chunks, length, kgram, hot_class)).mapInArrow(tidy(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
-@settled
 def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all its columns, the repeated passages cut out of the text.
 
-    Where a cut parts a character, its other bytes go too. A text that was null stays null.
+    Where a cut parts a character, its other bytes go too. A text that was null stays null. The
+    chunks and marks that the result reads stay until the caller's ``scratch`` block ends.
     """
     names = [c for c in docs.columns if c != text]
     absent = fresh("absent", *names)

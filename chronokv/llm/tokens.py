@@ -85,7 +85,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, kept: list[tuple[int, int]] = ()
 class Encoder:
     """Encodes batches of texts, in pieces where that is safe; keeps the ids of at most ``2 * keep`` pieces."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokv.llm.common import binary_view, gathered, settled, stage, text_bytes, tidy
+from chronokv.llm.common import binary_view, gathered, scratch, settled, stage, text_bytes, tidy
 from chronokv.llm.textstats import held_out, labelled_sample, letter_words, terms, with_statistics
 
 
@@ -103,9 +103,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     return model.score(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-@settled
 def clean_only(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is below the threshold, with all their columns."""
-    model = fit(docs, labels)
+    """The documents whose score is below the threshold, with all their columns; nothing is written but while fitting."""
+    with scratch(docs.sparkSession):
+        model = fit(docs, labels)
     scored = model.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), ["row"])
     return scored.where(F.col("score") < threshold).select("row.*")
