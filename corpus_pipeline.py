@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronokv.llm import decontaminate, jaccard, packing, substrings, toxicity
-from chronokv.llm.common import finished, scratch, table
+from chronokv.llm.common import finished, scratch, stage, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents.
+    """The stages over the table documents; each is written and read again.
 
-    Every operator writes its result and returns the written table, which the next one reads;
-    what the stages wrote is deleted when the last one's result is there.
+    What the stages wrote is deleted when the last one's result is there.
     """
     with scratch(spark):
         docs = table(spark, sf_dir, "documents")
-        for _, f in STAGES:
-            docs = f(spark, docs, sf_dir)
-        return finished(docs, "pipeline")
+        for name, f in STAGES[:-1]:
+            docs = stage(f(spark, docs, sf_dir), name)
+        return finished(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
