@@ -180,6 +180,17 @@ def test_nodes_are_tried_in_order(spark):
     assert rows(health.candidates(asked, nodes), "request", "attempt", "node_id") == [(1, 0, 20), (1, 1, 10), (1, 2, 30), (2, 0, 10), (2, 1, 20), (2, 2, 30), (3, 0, 10), (3, 1, 20), (3, 2, 30), (4, 0, 5)]
 
 
+def test_tried_nodes_take_little_disk(spark, tmp_path):
+    nodes = {c: sorted((k * 7919 + c) % 100_003 for k in range(600)) for c in range(25)}
+    asked = [(i, c, None if i < 500 else -1 if i < 600 else nodes.get(c, [7] * 10)[9]) for i in range(1560) for c in [i % 26]]  # cluster 25 has no nodes
+    df = health.candidates(spark.createDataFrame(asked, "request long, cluster long, hint long"), spark.createDataFrame([(c, n) for c, x in nodes.items() for n in x], "cluster long, node_id long"))
+    df.write.parquet(f"file://{tmp_path}/out")
+    want = [(i, k, n) for i, c, h in asked for k, n in enumerate(sorted(nodes.get(c, []), key=lambda n: (n != h, n)))]
+    got = spark.read.parquet(f"file://{tmp_path}/out").toPandas().sort_values(["request", "attempt"])
+    assert list(map(tuple, got.to_numpy().tolist())) == want
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.8 * len(want)
+
+
 def test_planted_violations_are_found(spark):
     log = spark.createDataFrame([(1, 1, 1, "a"), (1, 2, 1, "b"), (1, 3, 2, "c"), (2, 1, 1, "a"), (2, 2, 9, "x"), (2, 3, 2, "c")], "node long, idx long, term long, payload string")
     assert rows(raft.log_matching(log), "node_a", "node_b", "first_difference", "last_agreement") == [(1, 2, 2, 3)]
