@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronokv.operators.ordering import lagged
+from chronokv.operators.ordering import lagged, running
 
 #: The metric library's default upper bounds in seconds (fixed values).
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -68,15 +68,18 @@ def parse_metrics(lines: DataFrame, column: str = "value") -> DataFrame:
 def rate(samples: DataFrame, by: list[str], window_us: int) -> DataFrame:
     """Increase per second of a counter (us, cnt) over the ``window_us`` before each sample, resets counted as starts from 0.
 
-    A series' times are distinct. The sums run over spans of ``window_us``, each with the one
-    before it, so that a long series is not sorted in one task.
+    Samples of one time are taken in the order of their counts. Every step is added at its time and
+    taken off after ``window_us``, so that one running sum has every window, however many samples
+    there are in it; it runs over ranges, so that a long series is not sorted in one task.
     """
-    known = lagged(samples, by, ["us"], ["cnt"])
-    before, at = F.col("before_cnt"), F.floor(F.col("us") / window_us)
+    known = lagged(samples, by, ["us", "cnt"], ["cnt"])
+    before, us = F.col("before_cnt"), F.col("us")
     step = F.when(before.isNull(), 0).when(F.col("cnt") >= before, F.col("cnt") - before).otherwise(F.col("cnt"))
-    spans = known.select(*samples.columns, step.alias("step"), at.alias("own"), F.explode(F.array(at, at + 1)).alias("span"))
-    back = Window.partitionBy(*by, "span").orderBy("us").rangeBetween(-window_us, 0)
-    return spans.withColumn("rate", F.sum("step").over(back) / (window_us / 1e6)).where("own = span").select(*samples.columns, "rate")
+    rest = [c for c in samples.columns if c not in (*by, "us")]
+    change = lambda at, off, x: F.struct(at.alias("at"), F.lit(off).alias("off"), x.alias("change"), *[(F.lit(None).cast(samples.schema[c].dataType) if off else F.col(c)).alias(c) for c in rest])
+    both = F.array(change(us, False, step), change(us + window_us, True, -step))  # what is taken off at a time still counts then
+    sums = running(known.select(*by, F.explode(both).alias("x")).select(*by, "x.*"), by, ["at", "off"], "change", "sum")
+    return sums.where("not off").withColumnRenamed("at", "us").select(*samples.columns, (F.col("sum") / (window_us / 1e6)).alias("rate"))
 
 
 def counters(increments: DataFrame, by: list[str], at: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Numbers and predecessors within a few keys that hold very many rows.
+"""Numbers, predecessors and running sums within a few keys that hold very many rows.
 
 A window over such a key sorts it in one task. Here the rows are dealt by ranges of (keys, order),
 each range is sorted on its own, and what a range must know of those before it (a count, the last
@@ -38,6 +38,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], number: str) -> D
     return dealt.withColumn(number, own).join(counts, [*keys, part]).withColumn(number, F.col(number) + F.col(earlier)).select(*df.columns, number)
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, total: str) -> DataFrame:
+    """The sum of a column up to each row and its equals in the order, within the key."""
+    part, earlier = _name(df, "part"), _name(df, "earlier")
+    dealt = ranges(df, keys, order, part)  # equals are in one range
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, part).agg(F.sum(value).alias("n")).select(*keys, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(earlier))
+    own = F.sum(value).over(Window.partitionBy(*keys, part).orderBy(*order))
+    return dealt.withColumn(total, own).join(sums, [*keys, part]).withColumn(total, F.col(total) + F.col(earlier)).select(*df.columns, total)
+
+
 def lagged(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """``before_<column>``: the values of the row before, within the key; null for the first."""
     part, edge = _name(df, "part"), _name(df, "edge")

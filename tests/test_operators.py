@@ -257,6 +257,18 @@ def test_rates_over_spans_and_resets(spark):
             assert got[k, u] == pytest.approx(sum(s for v, s in steps if u - 100 <= v <= u) / 1e-4)
 
 
+def test_rates_of_crowded_windows_and_times(spark):
+    """Every window holds all samples, and samples share their times; a sum of each window on its own takes the square of their number."""
+    import time
+
+    n = 120_000
+    samples = spark.range(n).select(F.lit("s").alias("k"), F.floor(F.col("id") / 2).alias("us"), F.col("id").alias("cnt"))
+    began = time.perf_counter()
+    got = metrics.rate(samples, ["k"], 10**6).select("us", "cnt", "rate").toPandas().sort_values("cnt")
+    assert got["cnt"].tolist() == list(range(n)) and got["rate"].tolist() == [float(i | 1) for i in range(n)]
+    assert time.perf_counter() - began < 60
+
+
 def test_increase_of_counters(spark):
     hourly = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("a", 4, 2), ("b", 4, 9)], "s string, hour long, cnt long")
     grown = metrics.last_increase(metrics.counters(hourly, ["s"], "hour"), spark.createDataFrame([(4,)], "now long"), ["s"], "hour", 3)
