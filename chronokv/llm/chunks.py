@@ -9,6 +9,7 @@ then 1 + floor(log2(count)) for more, so 2 is two or three.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -24,16 +25,27 @@ CHUNK_BYTES = 4 << 20
 KEY_BYTES = 5
 
 
-def squeeze(x: np.ndarray | bytes, level: int = 1) -> bytes:
+@functools.cache
+def _compressor(level: int):
+    """Kept by the worker: to make one takes longer than to compress a small array."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=level)
 
 
-def expand(blob: bytes, dtype=np.uint8) -> np.ndarray:
+@functools.cache
+def _decompressor():
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=dtype)
+    return zstandard.ZstdDecompressor()
+
+
+def squeeze(x: np.ndarray | bytes, level: int = 1) -> bytes:
+    return _compressor(level).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+
+
+def expand(blob: bytes, dtype=np.uint8) -> np.ndarray:
+    return np.frombuffer(_decompressor().decompress(blob), dtype=dtype)
 
 
 def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, others: list[str] | None = None) -> DataFrame:
@@ -121,12 +133,24 @@ def by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[at].astype(np.int64), np.append(at, len(keys))
 
 
-def bucket_bits(chunks: DataFrame, bytes_each: int = 2 << 20) -> int:
-    """So many buckets that one has the keys of about ``bytes_each`` of text, 2 at least."""
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+def portion(total: int, least: int, most: int) -> int:
+    """A 64th of ``total`` bytes, from ``least`` to ``most``.
+
+    Every chunk writes to every bucket, so that their messages grow with the square of the input;
+    large chunks and buckets keep these few beside the bytes that they carry.
+    """
+    return min(most, max(least, -(-total // 64)))
+
+
+def bits_for(total: int, bytes_each: int = 2 << 20) -> int:
+    """So many buckets (as a power of two) that one has the keys of about ``bytes_each`` of ``total`` bytes of text, 2 at least."""
     return int(max(1, np.ceil(np.log2(max(2, total / bytes_each)))))
 
 
+def bucket_bits(chunks: DataFrame, bytes_each: int = 2 << 20) -> int:
+    return bits_for(chunks.agg(F.sum("n_bytes")).first()[0] or 0, bytes_each)
+
+
 KeysOf = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 

@@ -30,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from chronokv.llm.chunks import NULL_ID, bucket_bits, chunked, classes_of, count_classes, distinct_pairs, expand, key_counts, opened, others_of, rows_of, squeeze
-from chronokv.llm.common import fresh, mix, settled, stage, tidy, words8
+from chronokv.llm.chunks import CHUNK_BYTES, NULL_ID, bits_for, chunked, classes_of, count_classes, distinct_pairs, expand, opened, others_of, portion, rows_of, squeeze
+from chronokv.llm.common import binary_view, fresh, mix, settled, stage, text_bytes, tidy, words8
 
 LENGTH = 50
 KGRAM = 26
 PIECE = 128  # starts in a piece at most
 HOT = 11  # class of a hash in 1024 documents or more: its strings are dealt by a second hash too, and reduced over groups of chunks
+MOST_CHUNK, LEAST_BUCKET, MOST_BUCKET = 16 << 20, 2 << 20, 16 << 20  # bytes of text
+SENT = 2 << 20  # bytes of messages that leave a worker at once
+LOT = 8 << 20  # bytes that are indexed and searched at once, but for those of one hash
 
 
 def _sliding(h: np.ndarray, width: int, f=np.minimum) -> np.ndarray:
@@ -96,7 +99,7 @@ def minima(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kgram: i
 def _keys(length: int, kgram: int):
     def keys_of(data, offsets):
         _, _, row, least = minima(data, offsets, length, kgram)
-        return distinct_pairs(row, least)
+        return distinct_pairs(row, mix(least))  # least hashes alone would crowd the first buckets
 
     return keys_of
 
@@ -227,11 +230,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def _joined(strings: np.ndarray, offsets: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of ``some`` of the strings, and their offsets."""
-    size = np.diff(offsets)[some]
+def spliced(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes data[begin : begin + size] one after another, and their offsets."""
     at = np.concatenate([[0], np.cumsum(size)])
-    return strings[np.repeat(offsets[:-1][some] - at[:-1], size) + np.arange(at[-1])], at
+    out, lo = np.empty(at[-1], np.uint8), 0
+    while lo < len(size):  # by steps, as places take eight times their bytes
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK, "right")) - 1)
+        out[at[lo] : at[hi]] = data[np.repeat(begin[lo:hi] - at[lo:hi], size[lo:hi]) + np.arange(at[lo], at[hi])]
+        lo = hi
+    return out, at
 
 
 def smallest_owner(strings: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH, kgram: int = KGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -248,24 +255,40 @@ def smallest_owner(strings: np.ndarray, offsets: np.ndarray, low: np.ndarray, hi
     out = np.repeat(low, starts)
     if not len(size):
         return out, out_at
-    begin = (offsets[:-1, None] + np.arange(length)).ravel()
-    heads = strings[np.minimum(begin, len(strings) - 1)]
-    wide = length - kgram + 1
-    hashes = kgram_hashes(np.append(heads, np.zeros(kgram, np.uint8)), kgram)[: len(heads)].reshape(-1, length)[:, :wide].min(axis=1)
+    wide, hashes = length - kgram + 1, np.zeros(len(size), np.uint64)
+    step = max(1, BLOCK // length)
+    for lo in range(0, len(size), step):
+        begin = offsets[lo : min(len(size), lo + step)]
+        heads = strings[np.minimum(begin[:, None] + np.arange(length), len(strings) - 1).ravel()]
+        hashes[lo : lo + len(begin)] = kgram_hashes(np.append(heads, np.zeros(kgram, np.uint8)), kgram)[: len(heads)].reshape(-1, length)[:, :wide].min(axis=1)
     _, group = np.unique(hashes, return_inverse=True)
     first, last = np.full(group.max() + 1, NULL_ID), np.full(group.max() + 1, np.iinfo(np.int64).min)
     np.minimum.at(first, group, low)
     np.maximum.at(last, group, high)
-    sought = np.flatnonzero(low > first[group])
+    sought = low > first[group]
     busy = np.zeros(len(first), dtype=bool)
     busy[group[sought]] = True
-    indexed = np.flatnonzero((low < last[group]) & busy[group])
-    if not len(indexed) or not len(sought):
-        return out, out_at
-    free = np.flatnonzero(np.bincount(strings, minlength=256)[1:] == 0)
+    indexed = (low < last[group]) & busy[group]
+    wanted = np.zeros(len(first), dtype=bool)
+    wanted[group[indexed]] = True
+    sought &= wanted[group]
+    weight = np.bincount(group, np.where(indexed, size, 0) + np.where(sought, size, 0))
+    lot = (np.cumsum(weight) // LOT).astype(np.int64)[group]  # hashes share no strings
+    some = np.flatnonzero(indexed | sought)
+    some = some[np.argsort(lot[some], kind="stable")]
+    for part in np.split(some, np.flatnonzero(np.diff(lot[some])) + 1) if len(some) else []:
+        _search(strings, offsets, low, part[indexed[part]], part[sought[part]], length, out, out_at)
+    return out, out_at
+
+
+def _search(strings: np.ndarray, offsets: np.ndarray, low: np.ndarray, indexed: np.ndarray, sought: np.ndarray, length: int, out: np.ndarray, out_at: np.ndarray) -> None:
+    """Lowers ``out`` of the ``sought`` strings to the smallest documents that an index of the ``indexed`` ones names."""
+    size = np.diff(offsets)
+    plain, at = spliced(strings, offsets[:-1][indexed], size[indexed])
+    patterns, pattern_at = spliced(strings, offsets[:-1][sought], size[sought])
+    free = np.flatnonzero((np.bincount(plain, minlength=256) + np.bincount(patterns, minlength=256))[1:] == 0)
     if not len(free):
         raise ValueError("the strings use every byte; UTF-8 does not")
-    plain, at = _joined(strings, offsets, indexed)
     n = len(indexed)
     text = np.full(len(plain) + n, free[-1] + 1, np.uint8)  # a byte that no string has ends each
     text[np.arange(len(plain)) + np.repeat(np.arange(n), np.diff(at))] = plain
@@ -283,7 +306,6 @@ def smallest_owner(strings: np.ndarray, offsets: np.ndarray, low: np.ndarray, hi
         return np.repeat(np.minimum.reduceat(np.where(fits, low[indexed][of], NULL_ID), interval), np.diff(np.append(interval, len(sa))))
 
     index = RunIndex(text, least_of)
-    patterns, pattern_at = _joined(strings, offsets, sought)
     base, wanted = out_at[:-1][sought], size[sought]
     for which, place, row, stat in index.stream(pattern_at[:-1], pattern_at[1:], patterns, -(-length // 8) * 8 + 8):
         begin = place - pattern_at[which]
@@ -291,7 +313,6 @@ def smallest_owner(strings: np.ndarray, offsets: np.ndarray, low: np.ndarray, hi
         if ok.any():
             to = base[which[ok]] + begin[ok]
             out[to] = np.minimum(out[to], index.number(row[ok]))
-    return out, out_at
 
 
 def _rows(table: pa.Table) -> list[dict]:
@@ -373,65 +394,68 @@ def _answer(pieces: pa.Table, told: pa.Table) -> pa.Table:
     return pa.table({"chunk": pieces.column("chunk"), "at": pieces.column("at"), "starts": pieces.column("starts"), "marks": pa.array(marks, pa.binary())})
 
 
+def _parted(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end, largest hash) of the parts, with one largest hash each, of runs of string starts."""
+    n = end - start
+    runs, starts, ends, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    sent, lo = np.concatenate([[0], np.cumsum(n + length - 1)]), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(sent, sent[lo] + BLOCK, "right")) - 1)
+        text, at = spliced(data, start[lo:hi], n[lo:hi] + length - 1)
+        most = _sliding(kgram_hashes(text, kgram), length - kgram + 1, np.maximum)
+        of = np.repeat(np.arange(hi - lo), n[lo:hi])
+        within = np.arange(len(of)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+        value, place = most[at[of] + within], start[lo:hi][of] + within
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (value[1:] != value[:-1])]))
+        runs.append(lo + of[first])
+        starts.append(place[first])
+        ends.append(place[np.append(first[1:], len(place)) - 1] + 1)
+        values.append(value[first])
+        lo = hi
+    return np.concatenate(runs), np.concatenate(starts), np.concatenate(ends), np.concatenate(values)
+
+
 def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot_class: int = HOT) -> DataFrame:
     """(chunk, parts): for each chunk the places in its bytes whose string also starts in a smaller document."""
-    bits = bucket_bits(chunks)
+    total, n_chunks = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    bits = bits_for(total, portion(total, LEAST_BUCKET, MOST_BUCKET))
     shared = count_classes(chunks, _keys(length, kgram), bits)
-    groups = max(1, math.isqrt(chunks.count()))  # of chunks, for hot buckets
-    hot_bits = max(1, bits - 5)  # few pieces are hot: fewer, fuller buckets
+    groups = max(1, math.isqrt(n_chunks))  # of chunks, for hot buckets
+    hot_bits = max(1, bits_for(total) - 5)  # few pieces are hot: fewer, fuller buckets
 
     def send(batches):
         for x in rows_of(batches):
             data, offsets, ids = opened(x)
             start, end, row, least = minima(data, offsets, length, kgram)
-            keys, _ = key_counts(distinct_pairs(row, least)[1])
-            kind = classes_of(keys, x["parts"], bits)[np.searchsorted(keys, least)]
-            deal, part = least.copy(), np.full(len(least), -1, np.int32)
+            deal = mix(least)
+            keys, which = np.unique(deal, return_inverse=True)
+            kind = classes_of(keys, x["parts"], bits)[which]
             own = int(mix(np.array([x["chunk"]], np.uint64))[0] % np.uint64(groups))
-            hot = np.flatnonzero(kind >= hot_class)
-            if len(hot):  # within these runs the largest hash parts the strings further
-                n = end[hot] - start[hot]
-                place = np.repeat(start[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                of = np.repeat(hot, n)
-                most = np.concatenate([_sliding(kgram_hashes(data[start[k] : end[k] + length - 1], kgram), length - kgram + 1, np.maximum) for k in hot])
-                head = np.ones(len(place), dtype=bool)
-                head[1:] = (of[1:] != of[:-1]) | (most[1:] != most[:-1])
-                first = np.flatnonzero(head)
-                cool = np.flatnonzero((kind > 0) & (kind < hot_class))
-                start = np.concatenate([start[cool], place[first]])
-                end = np.concatenate([end[cool], place[np.append(first[1:], len(place)) - 1] + 1])
-                row = np.concatenate([row[cool], row[of[first]]])
-                deal = np.concatenate([deal[cool], mix(deal[of[first]] ^ most[first])])
-                part = np.concatenate([part[cool], np.full(len(first), own, np.int32)])
-            else:
-                some = kind > 0
-                start, end, row, deal, part = start[some], end[some], row[some], deal[some], part[some]
-            if not len(start):
+            cool, hot = np.flatnonzero((kind > 0) & (kind < hot_class)), np.flatnonzero(kind >= hot_class)
+            run, first, stop, most = _parted(data, start[hot], end[hot], length, kgram)
+            of = np.concatenate([cool, hot[run]])
+            if not len(of):
                 continue
+            start, end, row = np.concatenate([start[cool], first]), np.concatenate([end[cool], stop]), row[of]
+            deal, part = np.concatenate([deal[cool], mix(deal[hot[run]] ^ most)]), np.where(np.arange(len(of)) < len(cool), -1, own).astype(np.int32)
             n = (end - start + PIECE - 1) // PIECE
             of = np.repeat(np.arange(len(start)), n)
             begin = start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * PIECE
             size = np.minimum(end[of] - begin, PIECE) + length - 1
-            shift = np.where(part[of] < 0, 64 - bits, 64 - hot_bits).astype(np.uint64)
-            bucket = (mix(deal[of]) >> shift).astype(np.int64)
+            bucket = (deal[of] >> np.where(part[of] < 0, 64 - bits, 64 - hot_bits).astype(np.uint64)).astype(np.int32)
             order = np.lexsort((begin, part[of], bucket))
-            begin, size, bucket, of = begin[order], size[order], bucket[order], of[order]
-            at = np.concatenate([[0], np.cumsum(size)])
-            text = data[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
-            edges = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[of[1:]] != part[of[:-1]]), [True]]))
+            begin, size, bucket, part, doc = begin[order], size[order], bucket[order], part[of[order]], ids[row[of[order]]]
+            edges = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]), [True]]))
+            held, n_bytes = [], 0
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                cut = at[lo : hi + 1] - at[lo]
-                coded = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.copy()), pa.py_buffer(text[at[lo] : at[hi]].copy())]).dictionary_encode()
-                kinds = coded.dictionary.to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in (
-                        ([int(bucket[lo])], pa.int32()), ([int(part[of[lo]])], pa.int32()), ([x["chunk"]], pa.int64()),
-                        ([squeeze(np.array([len(k) for k in kinds], np.uint16))], pa.binary()), ([squeeze(b"".join(kinds), 3)], pa.binary()),
-                        ([squeeze(coded.indices.to_numpy().astype(np.uint32))], pa.binary()), ([squeeze(np.diff(begin[lo:hi], prepend=0))], pa.binary()),
-                        ([squeeze((size[lo:hi] - length + 1).astype(np.uint16))], pa.binary()), ([squeeze(ids[row[of[lo:hi]]])], pa.binary()),
-                    )],
-                    names=["bucket", "part", "chunk", "sizes", "body", "string", "at", "starts", "ids"],
-                )
+                text, at = spliced(data, begin[lo:hi], size[lo:hi])
+                coded = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at), pa.py_buffer(text)]).dictionary_encode()
+                kinds, kinds_at = binary_view(coded.dictionary)
+                held.append((bucket[lo], part[lo], x["chunk"], squeeze(np.diff(kinds_at).astype(np.uint16)), squeeze(kinds, 3), squeeze(coded.indices.to_numpy().astype(np.uint32)), squeeze(np.diff(begin[lo:hi], prepend=0)), squeeze((size[lo:hi] - length + 1).astype(np.uint16)), squeeze(doc[lo:hi])))
+                n_bytes += sum(map(len, held[-1][3:]))
+                if n_bytes > SENT or hi == edges[-1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6), strict=True)], names=["bucket", "part", "chunk", "sizes", "body", "string", "at", "starts", "ids"])
+                    held, n_bytes = [], 0
 
     joined = chunks.join(shared.hint("shuffle_hash"), "chunk").select("chunk", "ids", "offsets", "body", "parts")
     sent = joined.mapInArrow(tidy(send), "bucket int, part int, chunk long, sizes binary, body binary, string binary, at binary, starts binary, ids binary")
@@ -447,15 +471,19 @@ def mark_repeats(chunks: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
 
 def covered(n: int, parts: list[dict] | None, length: int = LENGTH) -> np.ndarray:
     """The bytes of a chunk that a marked string covers."""
-    edge = np.zeros(n + 1, np.int32)
+    marked = np.zeros(n + length - 1, dtype=bool)
     for p in parts or []:
         begin, starts = np.cumsum(expand(p["at"], np.int64)), expand(p["starts"], np.uint16).astype(np.int64)
         ends = np.cumsum(starts)
         marks = np.unpackbits(expand(p["marks"]))[: int(ends[-1]) if len(ends) else 0].astype(bool)
-        place = (np.repeat(begin - (ends - starts), starts) + np.arange(len(marks)))[marks]
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+        marked[(np.repeat(begin - (ends - starts), starts) + np.arange(len(marks)))[marks] + length - 1] = True
+    return _sliding(marked, length, np.logical_or)
+
+
+def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of the bytes are set in each document."""
+    total = np.cumsum(mask, dtype=np.int32 if len(mask) < 1 << 31 else np.int64)
+    return np.diff(np.where(offsets > 0, total[offsets - 1], 0).astype(np.int64)) if len(mask) else np.zeros(len(offsets) - 1, np.int64)
 
 
 def _left(x: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -466,16 +494,19 @@ def _left(x: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     head[1:] &= ~gone[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
     head[first] |= gone[first]
-    total, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(head)])
-    left = data[~gone]
-    kept_at = offsets - total[offsets]
-    return ids, np.diff(offsets), np.diff(total[offsets]), np.diff(spans[offsets]), [left[kept_at[i] : kept_at[i + 1]].tobytes() for i in range(len(ids))]
+    removed, left = _sums(gone, offsets), data[~gone]
+    kept_at = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)])
+    return ids, np.diff(offsets), removed, _sums(head, offsets), [left[kept_at[i] : kept_at[i + 1]].tobytes() for i in range(len(ids))]
 
 
 def _with_marks(chunks: DataFrame, marks: DataFrame) -> DataFrame:
     return chunks.join(marks.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offsets", "body", "others", "parts")
 
 
+def _chunk_bytes(docs: DataFrame, text: str) -> int:
+    return portion(docs.agg(F.sum(F.octet_length(text_bytes(text)))).first()[0] or 0, CHUNK_BYTES, MOST_CHUNK)
+
+
 @settled
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, doc_id: str = "doc_id", text: str = "text", hot_class: int = HOT) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), kept_sha256.
@@ -485,7 +516,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, do
     counts as larger than all others; rows with equal doc_ids do not remove from each other. An
     empty table gives no rows; other columns are ignored.
     """
-    chunks = chunked(docs, doc_id, text)
+    chunks = chunked(docs, doc_id, text, _chunk_bytes(docs, text))
 
     def keep(batches):
         for x in rows_of(batches):
@@ -503,7 +534,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, d
     """
     names = [c for c in docs.columns if c != text]
     absent = fresh("absent", *names)
-    chunks = chunked(docs.withColumn(absent, F.col(text).isNull()), doc_id, text, others=[*names, absent])
+    chunks = chunked(docs.withColumn(absent, F.col(text).isNull()), doc_id, text, _chunk_bytes(docs, text), others=[*names, absent])
     marks = mark_repeats(chunks, length, kgram)
     out = StructType([*[StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(names)], StructField("left", StringType())])
 

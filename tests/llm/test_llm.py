@@ -214,6 +214,34 @@ def test_smallest_owner_of_pieces():
         assert least[where[i] : where[i + 1]].tolist() == [best[x[k : k + 50]] for k in range(len(x) - 49)]
 
 
+def test_owners_are_the_same_lot_by_lot(monkeypatch):
+    r = np.random.default_rng(8)
+    base = bytes(r.integers(97, 123, 3000).astype(np.uint8))
+    texts = [base[a : a + r.integers(50, 400)] + bytes(r.integers(97, 123, 60).astype(np.uint8)) for a in np.sort(r.integers(0, 2900, 40))]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    start, end, row, _ = substrings.minima(data, at)
+    low: dict = {}
+    for a, b, d in zip(start, end, row, strict=True):
+        low.setdefault(data[a : b + 49].tobytes(), r.permutation(40)[d])
+    pieces, low = np.frombuffer(b"".join(low), np.uint8), (np.concatenate([[0], np.cumsum([len(x) for x in low])]), np.array([*low.values()]))
+    owners = []
+    for lot in (1 << 30, 200):
+        monkeypatch.setattr(substrings, "LOT", lot)
+        owners.append(substrings.smallest_owner(pieces, *low, low[1] + 5)[0])
+    assert (owners[0] == owners[1]).all() and (owners[0] < np.repeat(low[1], np.diff(low[0]) - 49)).any()
+
+
+def test_repeats_need_few_messages_at_any_size():
+    for text in (10 << 30, 50 << 30):  # 6 and 30 GB of Parquet
+        chunk, bucket = substrings.portion(text, substrings.CHUNK_BYTES, substrings.MOST_CHUNK), substrings.portion(text, substrings.LEAST_BUCKET, substrings.MOST_BUCKET)
+        assert max(chunk, bucket) <= 16 << 20  # bytes that a task holds at once
+        messages = text / chunk * 2 ** substrings.bits_for(text, bucket)
+        assert text / messages > 2500  # bytes of text for each; 512 and 102 before, with chunks of 4 MB and buckets of 2 MB
+    data = np.random.default_rng(9).integers(97, 123, 200_000).astype(np.uint8)
+    key = substrings._keys(50, 26)(data, np.array([0, len(data)]))[1]
+    assert np.bincount((key >> np.uint64(58)).astype(np.int64), minlength=64).max() < 3 * len(key) / 64  # buckets are alike; the first had a third before
+
+
 # 2
 
 
